@@ -1,0 +1,74 @@
+"""Row positions without funnelling a group (or the whole table) into one task.
+
+``Window.orderBy(...)`` without a partition moves every row to one task, and a
+per-speaker window moves a hot speaker to one task. Instead we
+
+1. draw a bounded random sample of the sort keys (a distributed top-k by a
+   random number: each task keeps at most k rows) and take its quantiles as
+   bucket bounds -- a hot group is split across buckets by its order key;
+2. assign each row its bucket by comparing with the literal bounds: a
+   deterministic function of the row, so every branch of the plan agrees (Spark's
+   own range partitioner re-samples per exchange and can disagree);
+3. number rows within (bucket, group) with a window -- buckets are balanced;
+4. count rows per (bucket, group): a table bounded by buckets + groups;
+5. add the number of rows of the row's group in earlier buckets.
+
+For a global ordinal the offset table has one row per bucket -- a proven
+bound -- and is broadcast. For grouped ordinals it is joined back, broadcast
+only when its size, measured at run time by adaptive execution, is small.
+Order keys must be non-null and, together with the group keys, unique.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+SAMPLE_PER_BUCKET = 64
+
+
+def _bucket(df: DataFrame, cols: Sequence[str], parts: int | None) -> Column:
+    spark = df.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*[F.col(c) for c in cols])
+    sample = (df.select(key.alias("k")).orderBy(F.rand(17))
+              .limit(SAMPLE_PER_BUCKET * n).collect())
+    ks = sorted(tuple(r["k"]) for r in sample)
+    bounds = sorted({ks[(i * len(ks)) // n] for i in range(1, n)}) if ks else []
+    if not bounds:
+        return F.lit(0)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    arr = F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(cols, b)])
+                    for b in bounds])
+    return F.size(F.filter(arr, lambda b: b <= key))
+
+
+def global_ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal",
+                   parts: int | None = None) -> DataFrame:
+    """0-based position of each row in ``order`` (which must be unique)."""
+    b = df.withColumn("_b", _bucket(df, order, parts))
+    local = b.withColumn("_local", F.row_number().over(
+        Window.partitionBy("_b").orderBy(*order)) - 1)
+    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per bucket: a whole-table window and a broadcast are bounded
+    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    out = local.join(F.broadcast(offsets), "_b", "inner")
+    return out.withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint")).drop("_b", "_local", "_off")
+
+
+def group_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+                  name: str = "ordinal", parts: int | None = None) -> DataFrame:
+    """0-based position of each row within its ``keys`` group, in ``order``."""
+    b = df.withColumn("_b", _bucket(df, [*keys, *order], parts))
+    local = b.withColumn("_local", F.row_number().over(
+        Window.partitionBy("_b", *keys).orderBy(*order)) - 1)
+    counts = b.groupBy("_b", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_b", *keys, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    # AQE measures the offset table at run time and broadcasts it when small
+    # (spark.sql.adaptive.autoBroadcastJoinThreshold); otherwise a sort-merge join.
+    out = local.join(offsets, ["_b", *keys], "inner")
+    return out.withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint")).drop("_b", "_local", "_off")
