@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "validation", "test")
@@ -16,3 +16,74 @@ def speaker_counts(df: DataFrame, speaker: str = "speaker", split: str = "split"
     cols = [F.col(s).cast("bigint").alias(s) for s in SPLITS]
     total = sum((F.col(s) for s in SPLITS), F.lit(0)).cast("bigint").alias("total")
     return p.select(speaker, *cols, total)
+
+
+def pending_work(catalogue: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(model, target) pairs of the catalogue without a stored result."""
+    return catalogue.join(stored.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Field-level overlay -- a new non-null field replaces the stored one,
+    stored fields the new record lacks are kept, unmatched records of both sides
+    survive (full outer join + coalesce)."""
+    fields = [c for c in new.columns if c not in keys]
+    o = old.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in fields])
+    n = new.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in fields])
+    j = o.join(n, list(keys), "full_outer")
+    return j.select(*keys, *[F.coalesce(f"_n_{c}", f"_o_{c}").alias(c) for c in fields])
+
+
+def protocol_hash(*cols: str) -> F.Column:
+    """Canonical protocol fingerprint (strings and integers only)."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256)
+
+
+def running_macro(per_fold: DataFrame, order: str = "fold_no") -> DataFrame:
+    """Macro average after each finished fold (one row per fold: small)."""
+    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return per_fold.select("*", F.avg("wer").over(w).alias("running_wer"),
+                           F.avg("cer").over(w).alias("running_cer"),
+                           F.count(F.lit(1)).over(w).alias("folds_done"))
+
+
+def last_eval(log: DataFrame, run: str = "run", step: str = "step") -> DataFrame:
+    """Per run, the last log entry carrying ``eval_wer``; none -> no row."""
+    e = log.where(F.col("eval_wer").isNotNull())
+    return e.groupBy(run).agg(F.max_by(F.struct("eval_wer", "eval_loss", "epoch", step),
+                                       F.col(step)).alias("_l")).select(run, "_l.*")
+
+
+def best_checkpoint(log: DataFrame, run: str = "run", step: str = "step") -> DataFrame:
+    """Lowest eval_wer, earliest step on ties."""
+    e = log.where(F.col("eval_wer").isNotNull())
+    return e.groupBy(run).agg(F.min_by(F.struct(step, "eval_wer"),
+                                       F.struct("eval_wer", step)).alias("_b")).select(run, "_b.*")
+
+
+def loss_buckets(log: DataFrame, logging_steps: int, run: str = "run", step: str = "step") -> DataFrame:
+    """Mean of each loss component since the previous log flush."""
+    b = F.floor((F.col(step) - 1) / logging_steps).cast("bigint")
+    return log.groupBy(run, b.alias("flush")).agg(F.avg("ce_loss").alias("ce_loss"),
+                                                   F.avg("consistency_loss").alias("consistency_loss"))
+
+
+def newest_checkpoints(ckpt: DataFrame, keep: int, run: str = "run", step: str = "step") -> DataFrame:
+    """The newest ``keep`` checkpoints per run. The rank filter lets Spark
+    apply a partial per-task top-k before the shuffle (window group limit), so a
+    hot run does not ship all its rows."""
+    w = Window.partitionBy(run).orderBy(F.col(step).desc())
+    return ckpt.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).drop("_r")
+
+
+def finite_or_zero(c: F.Column) -> F.Column:
+    """NaN or +-inf -> 0."""
+    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(0.0)).otherwise(c)
+
+
+def latency_table(timings: DataFrame, keys: Sequence[str], seconds: str, order: str) -> DataFrame:
+    """Mean seconds per (model, device) after dropping each pair's first
+    (warm-up) run."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    t = timings.withColumn("_r", F.row_number().over(w)).where(F.col("_r") > 1)
+    return t.groupBy(*keys).agg(F.avg(seconds).alias("mean_seconds"), F.count(F.lit(1)).alias("runs"))
