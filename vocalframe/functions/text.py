@@ -96,7 +96,9 @@ def word_count(c: Column) -> Column:
 
 def format_metric(c: Column, digits: int = 3) -> Column:
     """Fixed decimals, or an em dash for a missing value."""
-    return F.coalesce(F.format_string(f"%.{digits}f", c), F.lit("—"))
+    # round the exact value first: Java's %f alone rounds the shortest decimal
+    # form of the double, which differs from Python's formatting at ties
+    return F.coalesce(F.format_string(f"%.{digits}f", F.round(c, digits)), F.lit("—"))
 
 
 def or_default(c: Column, default: str = "") -> Column:

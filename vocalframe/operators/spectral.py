@@ -7,7 +7,7 @@ independent of partitioning; per-batch draws take the batch id as their key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocalframe.operators.splits import hash_draw
@@ -32,7 +32,7 @@ U32 = 4294967296.0
 def channel_keep(groups: Column, bits: int, c: Column) -> Column:
     """M1 for one channel: bit (c mod bits) of groups[c div bits] (little-endian)."""
     r = F.element_at(groups, (c / bits).cast("int") + 1)
-    return F.shiftright(r, (c % bits).cast("int")).bitwiseAND(F.lit(1))
+    return F.getbit(r, (c % bits).cast("int")).cast("int")
 
 
 def apply_channel_mask(mel: Column, groups: Column, bits: int) -> Column:
@@ -112,20 +112,24 @@ def contiguous_mask_span(seed: int, batch: Column, key: Column, channels: int,
     return start, length
 
 
-def log_softmax(x: Column) -> Column:
-    mx = F.array_max(x)
-    lse = F.log(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - mx))) + mx
-    return F.transform(x, lambda v: v - lse)
-
-
-def jsd(logits_p: Column, logits_q: Column) -> Column:
-    """M9 for one row: 0.5 * (KL(p||m) + KL(q||m)), m = (p + q) / 2."""
-    lp, lq = log_softmax(logits_p), log_softmax(logits_q)
-    terms = F.zip_with(lp, lq, lambda a, b: F.struct(
-        F.exp(a).alias("p"), F.exp(b).alias("q"), a.alias("lp"), b.alias("lq")))
-    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + 0.5 * (
-        t["p"] * (t["lp"] - F.log(0.5 * (t["p"] + t["q"])))
-        + t["q"] * (t["lq"] - F.log(0.5 * (t["p"] + t["q"])))))
+def with_log_softmax(df: DataFrame, src: str, dst: str) -> DataFrame:
+    """Stable log-softmax of an array column; the normaliser is computed once per
+    row (bound), not once per element."""
+    from vocalframe.functions.bind import bind
+    x = F.col(src)
+    out = bind(df, {"_mx": F.array_max(x)})
+    out = bind(out, {"_lse": F.log(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("_mx"))))
+                     + F.col("_mx")})
+    return bind(out, {dst: F.transform(x, lambda v: v - F.col("_lse"))}, drop=("_mx", "_lse"))
+
+
+def jsd_from_log(lp: Column, lq: Column) -> Column:
+    """M9 for one row from log-probabilities: 0.5 * (KL(p||m) + KL(q||m))."""
+    def term(a, b):
+        p, q = F.exp(a), F.exp(b)
+        lm = F.log(0.5 * (p + q))
+        return 0.5 * (p * (a - lm) + q * (b - lm))
+    return F.aggregate(F.zip_with(lp, lq, term), F.lit(0.0), lambda acc, v: acc + v)
 
 
 def cosine(a: Column, b: Column) -> Column:

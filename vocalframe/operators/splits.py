@@ -63,8 +63,8 @@ def phrase_split(df: DataFrame, text: str, every: int, idx: str = "idx") -> Data
 
 def hash_draw(*parts: Column | str) -> Column:
     """Deterministic 32-bit draw from md5 of '|'-joined parts (same in DuckDB)."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(p) if isinstance(p, str) else p
-                                                         for p in parts])), 1, 8), 16, 10).cast("bigint")
+    cols = [(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("bigint")
 
 
 def ratio_split(df: DataFrame, seed: int, ratios: Sequence[float] = (0.8, 0.1, 0.1),

@@ -256,11 +256,11 @@ def agreement_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
 avgs AS (SELECT target, avg(wer) AS wer, avg(cer) AS cer FROM res GROUP BY target),
 body AS (
   SELECT target, 1 AS part, model AS sort_key,
-         '| ' || model || ' | ' || coalesce(format('{:.3f}', wer), '—') || ' | ' ||
-         coalesce(format('{:.3f}', cer), '—') || ' | ' || num_samples::VARCHAR || ' |' AS line FROM res
+         '| ' || model || ' | ' || coalesce(format('{:.3f}', round(wer, 3)), '—') || ' | ' ||
+         coalesce(format('{:.3f}', round(cer, 3)), '—') || ' | ' || num_samples::VARCHAR || ' |' AS line FROM res
   UNION ALL SELECT target, 0, '', '| model | WER | CER | samples |' FROM avgs
-  UNION ALL SELECT target, 2, '', '| **macro** | **' || coalesce(format('{:.3f}', wer), '—') || '** | **' ||
-         coalesce(format('{:.3f}', cer), '—') || '** | |' FROM avgs)
+  UNION ALL SELECT target, 2, '', '| **macro** | **' || coalesce(format('{:.3f}', round(wer, 3)), '—') || '** | **' ||
+         coalesce(format('{:.3f}', round(cer, 3)), '—') || '** | |' FROM avgs)
 SELECT target, (row_number() OVER (PARTITION BY target ORDER BY part, sort_key) - 1)::BIGINT AS line_no, line FROM body""")
 def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per target a markdown table -- header, one row per model (sorted),

@@ -128,8 +128,8 @@ def severity_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("metric_text", ("T11", "A3"), V.with_views(V.SCORED) + f"""
 , r AS (SELECT speaker, {V.rates()} FROM err GROUP BY speaker)
-SELECT speaker, coalesce(format('{{:.3f}}', wer), '—') AS wer_text,
-       coalesce(format('{{:.3f}}', cer), '—') AS cer_text FROM r""")
+SELECT speaker, coalesce(format('{{:.3f}}', round(wer, 3)), '—') AS wer_text,
+       coalesce(format('{{:.3f}}', round(cer, 3)), '—') AS cer_text FROM r""")
 def metric_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = metrics.metric_record(scored_lines(spark, sf_dir), ["speaker"])
     return per.select("speaker", format_metric(F.col("wer")).alias("wer_text"),
