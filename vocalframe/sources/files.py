@@ -166,7 +166,7 @@ def fold_catalogue(spark: SparkSession, method_dir: str, speakers: Sequence[str]
     return out
 
 
-def checkpoint_kinds(spark: SparkSession, root: str) -> DataFrame:
+def checkpoint_kinds(spark: SparkSession, root: str, model_folder: str = "final-model") -> DataFrame:
     """Per model folder: ``lora_adapter`` if an adapter config exists, else
     ``bottleneck_adapter`` if its config names an adapter, else
     ``whisper_finetuned`` if a config exists; other folders raise."""
@@ -175,6 +175,7 @@ def checkpoint_kinds(spark: SparkSession, root: str) -> DataFrame:
              .select(_strip_scheme(F.col("path")).alias("p"), F.col("content").cast("string").alias("c")))
     files = files.select(F.regexp_extract("p", r"^(.*)/[^/]+$", 1).alias("model_dir"),
                          basename(F.col("p")).alias("name"), "c")
+    files = files.where(F.col("model_dir").endswith("/" + model_folder))
     g = files.groupBy("model_dir").agg(
         F.bool_or(F.col("name") == "adapter_config.json").alias("_lora"),
         F.bool_or((F.col("name") == "config.json") & F.col("c").contains("bottleneck")).alias("_bn"),
