@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 CODE_BASE = 0x100
 MAX_DICT = 0xD800 - CODE_BASE
 # Pairs whose character DP table exceeds this many cells go to the Arrow job.
-LONG_PAIR_CELLS = 20_000
+LONG_PAIR_CELLS = 2_000
 
 
 def pair_dictionary(ref_words: Column, hyp_words: Column) -> Column:

@@ -1,6 +1,7 @@
-"""Text column expressions (T1-T3, T11, T12): built-in expressions only, except the
-NFKC step, which Spark lacks and which runs in an Arrow UDF on just the rows that
-contain a character outside a known NFKC-stable set.
+"""Text column expressions (T1-T3, T11, T12), built-in expressions only. NFKC,
+which Spark SQL lacks, runs in the JVM through ICU4J (bundled with Spark) on just
+the rows holding a character outside a known NFKC-stable set; an Arrow UDF is
+the fallback where ICU4J is not on the classpath.
 """
 
 from __future__ import annotations
@@ -29,16 +30,40 @@ NFKC_UNSAFE = r"[^\x{00}-\x{7f}\x{c0}-\x{132}\x{134}-\x{13e}\x{141}-\x{148}\x{14
 
 
 @F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
+def _nfkc_arrow(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-def nfkc(c: Column) -> Column:
-    """NFKC; only rows holding an unsafe character cross into Python (others send null).
+_ICU_OK: dict[str, bool] = {}
 
-    ``c`` is referenced three times: pass a plain column reference, not an
-    expensive expression (see :func:`with_normalized`)."""
-    return F.coalesce(_nfkc(F.when(c.rlike(NFKC_UNSAFE), c)), c)
+
+def icu_available(spark) -> bool:
+    """Whether ICU4J (shipped with Spark 4 for collations) is reachable from SQL;
+    probed once per session with a one-row literal query."""
+    key = spark.sparkContext.applicationId
+    if key not in _ICU_OK:
+        try:
+            got = spark.sql("SELECT reflect('com.ibm.icu.text.Normalizer', 'compose', "
+                            "'\\uFB01', true) AS v").collect()[0][0]
+            _ICU_OK[key] = got == "fi"
+        except Exception:  # noqa: BLE001 - not on the classpath
+            _ICU_OK[key] = False
+    return _ICU_OK[key]
+
+
+def nfkc(c: Column, jvm: bool = True) -> Column:
+    """NFKC. ``jvm``: ICU4J's compatibility composition through SQL ``reflect``
+    (stays in the JVM); otherwise an Arrow UDF that sends only non-null values."""
+    if jvm:
+        return F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"),
+                               c, F.lit(True))
+    return F.coalesce(_nfkc_arrow(c), c)
+
+
+def needs_nfkc(c: Column) -> Column:
+    """Rows holding a character outside the NFKC-stable set; the byte/char length
+    test short-circuits the regex for ASCII-only text."""
+    return (F.char_length(c) != F.octet_length(c)) & c.rlike(NFKC_UNSAFE)
 
 
 def _pre(c: Column) -> Column:
@@ -49,7 +74,7 @@ def _pre(c: Column) -> Column:
 
 def _post(c: Column) -> Column:
     s = F.regexp_replace(c, MARK_SYMBOL_PUNCT, " ")
-    return F.regexp_replace(F.lower(s), WHITESPACE_RUN, " ")
+    return F.regexp_replace(s, WHITESPACE_RUN, " ")
 
 
 def basic_normalize(c: Column) -> Column:
@@ -62,15 +87,26 @@ def with_normalized(df: DataFrame, src: str | dict[str, str], dst: str | None =
     """T1 as a DataFrame step: lower, drop <..>/[..] and (..) spans, NFKC, marks/
     symbols/punctuation to space, lower again, collapse whitespace runs (no strip).
 
-    ``src`` may be a ``{source: target}`` mapping to normalise several columns in
-    one pass (their NFKC calls share one Arrow node). The pre-NFKC text is bound
-    once per row, so Catalyst cannot copy the regex chain into each of its uses.
+    Only rows with a character outside the NFKC-stable set take the NFKC step and
+    the second lower (replacing symbols by spaces commutes with lowercasing, and
+    both steps are the identity on the other rows). ``src`` may map several
+    source columns to targets. The pre-NFKC text is bound once per row, so
+    Catalyst cannot copy the regex chain into each of its uses.
     """
     from vocalframe.functions.bind import bind
     pairs = src if isinstance(src, dict) else {src: dst}
     tmp = {d: f"__{d}_pre" for d in pairs.values()}
     out = bind(df, {tmp[d]: _pre(F.col(s)) for s, d in pairs.items()})
-    post = {d: _post(nfkc(F.col(tmp[d])) if unicode_nfkc else F.col(tmp[d])) for d in pairs.values()}
+    jvm = icu_available(df.sparkSession) if unicode_nfkc else True
+    post = {}
+    for d in pairs.values():
+        t = F.col(tmp[d])
+        if unicode_nfkc:
+            if jvm:
+                t = F.when(needs_nfkc(t), F.lower(nfkc(t, True))).otherwise(t)
+            else:
+                t = F.coalesce(F.lower(_nfkc_arrow(F.when(needs_nfkc(t), t))), t)
+        post[d] = _post(t)
     return bind(out, post, drop=tuple(tmp.values()))
 
 
@@ -89,6 +125,11 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), WHITESPACE_RUN), "")
 
 
+def normalized_words(c: Column) -> Column:
+    """Tokens of T1 output, whose only whitespace is single spaces."""
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), " "), "")
+
+
 def word_count(c: Column) -> Column:
     """Number of whitespace tokens; 0 for empty/null."""
     return F.size(words(c))

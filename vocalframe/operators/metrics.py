@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vocalframe.functions import edits
 from vocalframe.functions.bind import bind
-from vocalframe.functions.text import with_normalized, words
+from vocalframe.functions.text import normalized_words, with_normalized, words
 
 
 def pair_errors(df: DataFrame, ref: str = "reference", hyp: str = "prediction",
@@ -35,7 +35,8 @@ def pair_errors(df: DataFrame, ref: str = "reference", hyp: str = "prediction",
                                "hyp_norm": F.coalesce(F.col(hyp), F.lit(""))})
     if ref_norm is not None:
         out = out.withColumn("ref_norm", F.col(ref_norm))
-    out = bind(out, {"_rw": words(F.col("ref_norm")), "_hw": words(F.col("hyp_norm"))})
+    tok = normalized_words if normalize else words
+    out = bind(out, {"_rw": tok(F.col("ref_norm")), "_hw": tok(F.col("hyp_norm"))})
     out = bind(out, {
         "_rs": F.array_join("_rw", " "),
         "_hs": F.array_join("_hw", " "),
