@@ -158,3 +158,52 @@ def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = lines.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(SEED)), F.col("idx").cast("string"))))
     pos = global_ordinal(keyed, ["_h", "idx"], name="_p")
     return pos.select("idx", splits.batch_id(F.col("_p"), BATCH).alias("batch_id"))
+
+
+def select_speaker(df: DataFrame, speaker: str, col: str = "speaker") -> DataFrame:
+    """Rows whose speaker equals ``speaker`` after Python-style stripping;
+    a missing column raises (an empty result is checked by the caller's action)."""
+    from vocalframe.functions.text import strip_ws
+    if col not in df.columns:
+        raise ValueError(f"speaker column {col!r} not found; columns: {df.columns}")
+    return df.where(strip_ws(F.col(col).cast("string")) == speaker)
+
+
+@register("speaker_selection", ("P8", "P9", "J11", "S17"), V.with_views(V.LINES) + """,
+sel AS (SELECT 'selected' AS part, lang FROM lines WHERE trim(speaker) = 'src3'),
+inc AS (SELECT 'included' AS part, lang FROM lines WHERE speaker IN ('src1', 'src2')),
+exc AS (SELECT 'excluded' AS part, lang FROM lines WHERE speaker NOT IN ('src1', 'src2'))
+SELECT part, lang, count(*)::BIGINT AS n FROM (SELECT * FROM sel UNION ALL SELECT * FROM inc UNION ALL SELECT * FROM exc)
+GROUP BY part, lang""")
+def speaker_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P8 one speaker by trimmed equality; P9 include / exclude lists; J11 the
+    row sets concatenated by name; S17 a sharded view."""
+    from vocalframe.sources.files import shard
+    lines = shard(fixtures.lines(spark, sf_dir).select("speaker", "lang"), 8)
+    sel = select_speaker(lines, "src3").select(F.lit("selected").alias("part"), "lang")
+    inc = lines.where(F.col("speaker").isin("src1", "src2")).select(F.lit("included").alias("part"), "lang")
+    exc = lines.where(~F.col("speaker").isin("src1", "src2")).select(F.lit("excluded").alias("part"), "lang")
+    return sel.unionByName(inc).unionByName(exc).groupBy("part", "lang").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("run_records", ("S18", "D1", "T13"), V.with_views(V.LINES, V.SEV) + f""",
+f AS (SELECT speaker AS held_out, severity FROM sevd WHERE lower(severity) <> 'normal'),
+per AS (SELECT speaker, count(*)::BIGINT AS c FROM lines GROUP BY speaker)
+SELECT held_out, severity, ((SELECT sum(c) FROM per) - c)::INTEGER AS train_samples,
+       c::INTEGER AS validation_samples, '{SEED}' AS seed
+FROM f JOIN per ON per.speaker = f.held_out""")
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-fold run-config documents assembled as JSON text by Spark, then
+    read back field by field (the sink shape is checked, not its formatting)."""
+    from vocalframe.sources.files import run_records as records
+    folds = _folds(spark, sf_dir)
+    counts = splits.loso_summary(fixtures.lines(spark, sf_dir), folds.drop("severity"), SEED)
+    doc = records(folds.select("held_out", "severity"), counts.select("held_out", "train_samples",
+                                                                      "validation_samples"),
+                  f'{{"seed": "{SEED}"}}')
+    schema = ("held_out_speaker string, severity string, train_samples int, "
+              "validation_samples int, parameters map<string,string>")
+    back = doc.select(F.from_json("run_config", schema).alias("r"))
+    return back.select(F.col("r.held_out_speaker").alias("held_out"), "r.severity", "r.train_samples",
+                       "r.validation_samples", F.element_at("r.parameters", F.lit("seed")).alias("seed"))
