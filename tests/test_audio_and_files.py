@@ -114,3 +114,23 @@ def test_sinks_roundtrip(spark):
     json.dump(st, open(f"{d}/trainer_state.json", "w"))
     log = files.read_trainer_state(spark, f"{d}/trainer_state.json").orderBy("pos").collect()
     assert [r.step for r in log] == [1, 2] and log[1].eval_wer == 30.0
+
+
+def test_split_snapshot_and_json_sink(spark):
+    d = tempfile.mkdtemp(prefix="vf-split-")
+    df = spark.createDataFrame([(0, "train"), (1, "test"), (2, "train")], "idx long, split string")
+    df.write.partitionBy("split").parquet(f"{d}/t")
+    assert files.load_split(spark, f"{d}/t", "train").count() == 2
+    with pytest.raises(ValueError, match="available"):
+        files.load_split(spark, f"{d}/t", "validation")
+    calls = []
+
+    def derive():
+        calls.append(1)
+        return df
+    files.snapshot(spark, f"{d}/snap", derive)
+    files.snapshot(spark, f"{d}/snap", derive)
+    assert len(calls) == 1
+    files.write_json(df, f"{d}/j")
+    files.write_json(df.limit(1), f"{d}/j")  # replaced on success
+    assert spark.read.json(f"{d}/j").count() == 1
