@@ -100,3 +100,19 @@ def test_edit_distance_symmetric_and_zero(spark):
     rev = [(r.word_errors, r.char_errors) for r in pair_errors(
         df.select(F.col("prediction").alias("reference"), F.col("reference").alias("prediction"))).collect()]
     assert fwd == rev and fwd[1] == (0, 0)
+
+
+def test_batched_bit_parallel_matches_dp():
+    from vocalframe.functions.bitparallel import _bucket_distances, levenshtein_many
+    rng = random.Random(11)
+    pats, texts = [], []
+    for _ in range(120):
+        m = rng.choice([1, 2, 63, 64, 65, 127, 128, 129, 200])
+        n = m + rng.randint(0, 40)
+        pats.append("".join(rng.choice("ab c") for _ in range(m)))
+        texts.append("".join(rng.choice("abcd ") for _ in range(n)))
+    got = _bucket_distances(pats, texts)  # the numpy path, forced
+    assert [int(g) for g in got] == [_dp(p, t) for p, t in zip(pats, texts)]
+    toks = [[rng.choice(["aa", "b", "zz"]) for _ in range(rng.randint(0, 90))] for _ in range(60)]
+    toks2 = [[rng.choice(["aa", "b", "c"]) for _ in range(rng.randint(0, 90))] for _ in range(60)]
+    assert [int(g) for g in levenshtein_many(toks, toks2)] == [_dp(a, b) for a, b in zip(toks, toks2)]

@@ -5,8 +5,9 @@ giving every distinct word of a pair one BMP code point (a per-pair
 dictionary), then Spark's built-in ``levenshtein`` (which counts code points)
 does the work. Long pairs -- where the O(n*m) built-in becomes a straggler --
 go to one Arrow UDF running the bit-parallel Levenshtein recurrence (Myers 1999,
-Hyyrö 2001) with Python integers as bit vectors: O(n * ceil(m/64)) machine-word
-operations per pair. Only long pairs send data to Python; other rows send nulls.
+Hyyrö 2001): O(n * ceil(m/64)) machine-word operations per pair, vectorised over
+the pairs of an Arrow batch (:mod:`vocalframe.functions.bitparallel`). Only long
+pairs send data to Python; other rows send nulls.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vocalframe.functions.bitparallel import levenshtein_bits, levenshtein_many  # noqa: F401
+
 # Code points 0x0100 .. 0xD7FF are usable: 55,040 distinct words per pair.
 CODE_BASE = 0x100
 MAX_DICT = 0xD800 - CODE_BASE
@@ -46,49 +49,22 @@ def char_edit_distance(ref: Column, hyp: Column) -> Column:
     return F.levenshtein(ref, hyp)
 
 
-def levenshtein_bits(a, b) -> int:
-    """Unit-cost edit distance of two sequences (str or list) by bit vectors."""
-    if len(a) < len(b):
-        a, b = b, a
-    m = len(b)
-    if m == 0:
-        return len(a)
-    peq: dict = {}
-    bit = 1
-    for x in b:
-        peq[x] = peq.get(x, 0) | bit
-        bit <<= 1
-    full = (1 << m) - 1
-    top = 1 << (m - 1)
-    vp, vn, dist = full, 0, m
-    for x in a:
-        eq = peq.get(x, 0)
-        xv = eq | vn
-        d0 = ((((eq & vp) + vp) & full) ^ vp) | eq
-        hp = vn | (~(d0 | vp) & full)
-        hn = vp & d0
-        if hp & top:
-            dist += 1
-        elif hn & top:
-            dist -= 1
-        hp = ((hp << 1) | 1) & full
-        hn = (hn << 1) & full
-        vp = hn | (~(xv | hp) & full)
-        vn = hp & xv
-    return dist
-
-
-def _long_pairs(rw: pd.Series, hw: pd.Series, rs: pd.Series, hs: pd.Series) -> pd.DataFrame:
-    we, ce = [], []
-    for a, b, c, d in zip(rw, hw, rs, hs):
-        if c is None:
-            we.append(None)
-            ce.append(None)
-            continue
-        we.append(levenshtein_bits(list(a), list(b)))
-        ce.append(levenshtein_bits(c, d))
-    return pd.DataFrame({"word_errors": pd.array(we, dtype="Int64"),
-                         "char_errors": pd.array(ce, dtype="Int64")})
+def _long_pairs(rs: pd.Series, hs: pd.Series) -> pd.DataFrame:
+    """Word and character distances of space-joined token strings for the rows
+    that carry them (others are null); the whole Arrow batch is scored at once by
+    the batched bit-parallel kernel. Words are re-split here, so only two
+    strings per row cross the Arrow boundary."""
+    live = [i for i, c in enumerate(rs) if c is not None]
+    we = pd.array([None] * len(rs), dtype="Int64")
+    ce = pd.array([None] * len(rs), dtype="Int64")
+    if live:
+        a = [rs.iloc[i] for i in live]
+        b = [hs.iloc[i] if hs.iloc[i] is not None else "" for i in live]
+        ce[live] = levenshtein_many(a, b)
+        # token sequences are short (one limb): per-pair integers beat the batch
+        we[live] = [levenshtein_bits(x.split(" ") if x else [], y.split(" ") if y else [])
+                    for x, y in zip(a, b)]
+    return pd.DataFrame({"word_errors": we, "char_errors": ce})
 
 
 long_pair_udf = F.pandas_udf(_long_pairs, T.StructType([

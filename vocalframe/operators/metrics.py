@@ -45,7 +45,7 @@ def pair_errors(df: DataFrame, ref: str = "reference", hyp: str = "prediction",
     long = ((F.size("_d") > edits.MAX_DICT)
             | (F.char_length("_rs").cast("bigint") * F.char_length("_hs") > edits.LONG_PAIR_CELLS))
     out = bind(out, {"_long": long})
-    lp = edits.long_pair_udf(*[F.when(F.col("_long"), F.col(c)) for c in ("_rw", "_hw", "_rs", "_hs")])
+    lp = edits.long_pair_udf(*[F.when(F.col("_long"), F.col(c)) for c in ("_rs", "_hs")])
     out = bind(out, {"_lp": lp})
     short = ~F.col("_long")
     out = out.withColumns({

@@ -82,9 +82,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     already give every core work, and an extra shuffle would only cost I/O.
     """
     spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
         return df
+    # a few partitions per core even out rows of very different cost
+    target = 4 * cores
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
 
