@@ -40,7 +40,8 @@ def mel(samples: Column) -> Column:
 def fmt(arr: Column, d: int = 5) -> Column:
     """Fixed decimals of the exact value (round first: Java's %f alone rounds
     the shortest decimal form, which differs from Python/DuckDB at ties)."""
-    return F.array_join(F.transform(arr, lambda x: F.format_string(f"%.{d}f", F.round(x.cast("double"), d))), ",")
+    # + 0.0 turns a rounded -0.0 into 0.0 (engines differ on the sign of zero)
+    return F.array_join(F.transform(arr, lambda x: F.format_string(f"%.{d}f", F.round(x.cast("double"), d) + 0.0)), ",")
 
 
 def ints(arr: Column) -> Column:
@@ -49,7 +50,7 @@ def ints(arr: Column) -> Column:
 
 # ---- DuckDB side ---------------------------------------------------------
 def dfmt(x: str, d: int = 5) -> str:
-    return f"array_to_string(list_transform({x}, lambda v: format('{{:.{d}f}}', round(v::DOUBLE, {d}))), ',')"
+    return f"array_to_string(list_transform({x}, lambda v: format('{{:.{d}f}}', round(v::DOUBLE, {d}) + 0.0)), ',')"
 
 
 def ddraw(*parts: str) -> str:
