@@ -26,17 +26,21 @@ def dedup_per_speaker(df: DataFrame, speaker: str = "speaker", text: str = "text
 
 
 def pair_transcripts(df: DataFrame, control: str, patient: str, key: str,
-                     speaker: str = "speaker", idx: str = "idx") -> DataFrame:
+                     speaker: str = "speaker", idx: str = "idx", keyed=None) -> DataFrame:
     """Every control row whose ``key`` text also occurs for the patient is
     paired with the patient's lowest-idx row of that text; unmatched control rows
     are dropped; several controls may share one partner.
 
     The patient side is reduced to one row per text before the equi-join, so a
-    hot text cannot fan out.
+    hot text cannot fan out. ``keyed`` (DataFrame -> DataFrame adding ``key``) is
+    applied after each side's speaker filter, so only the two speakers' rows
+    pay for deriving the key.
     """
-    pat = (df.where(F.col(speaker) == patient)
-           .groupBy(key).agg(F.min(idx).alias("patient_idx")))
-    ctl = df.where(F.col(speaker) == control).select(F.col(idx).alias("control_idx"), key)
+    def side(who):
+        d = df.where(F.col(speaker) == who)
+        return keyed(d) if keyed is not None else d
+    pat = side(patient).groupBy(key).agg(F.min(idx).alias("patient_idx"))
+    ctl = side(control).select(F.col(idx).alias("control_idx"), key)
     return ctl.join(pat, key, "inner").select("control_idx", "patient_idx")
 
 

@@ -67,8 +67,10 @@ def phrase_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 pat AS (SELECT norm, min(idx) AS patient_idx FROM utt WHERE speaker = '{PATIENT}' GROUP BY norm)
 SELECT u.idx AS control_idx, pat.patient_idx FROM utt u JOIN pat USING (norm) WHERE u.speaker = '{CONTROL}'""")
 def transcript_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    utt = with_normalized(fixtures.lines(spark, sf_dir), "text", "norm")
-    return pairing.pair_transcripts(utt, CONTROL, PATIENT, "norm")
+    # the speaker filters reach the Parquet scan; only those rows are normalised
+    lines = fixtures.lines(spark, sf_dir)
+    return pairing.pair_transcripts(lines, CONTROL, PATIENT, "norm",
+                                    keyed=lambda d: with_normalized(d, "text", "norm"))
 
 
 def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
