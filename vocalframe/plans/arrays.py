@@ -221,7 +221,9 @@ def _encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
                                                "text", "norm"), "norm")
     utt = with_normalized(fixtures.lines(spark, sf_dir).select("idx", "text"), "text", "norm")
     enc = L.encode(utt, "norm", vocab, with_start=F.size(words(F.col("norm"))) >= 3)
-    pos = global_ordinal(enc.select("idx", "ids"), ["idx"], name="_p")
+    # the encodings feed the ordinal's sample, counts and numbering: write once
+    from vocalframe.session import cut_lineage
+    pos = global_ordinal(cut_lineage(enc.select("idx", "ids")), ["idx"], name="_p")
     return pos.withColumn("batch_id", (F.col("_p") / LBATCH).cast("bigint")).drop("_p"), vocab
 
 

@@ -59,7 +59,12 @@ num AS (SELECT norm, (row_number() OVER (ORDER BY f) - 1)::BIGINT AS phrase_no F
 SELECT idx, phrase_no, CASE WHEN phrase_no % {PHRASE_EVERY} = 0 THEN 'validation' ELSE 'train' END AS split
 FROM utt JOIN num USING (norm)""")
 def phrase_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    utt = with_normalized(fixtures.lines(spark, sf_dir), "text", "norm")
+    from vocalframe.session import cut_lineage
+    # the normalised lines feed four consumers (bound sample, phrase counts,
+    # phrase numbering, join-back): write them once instead of re-running the
+    # regex chain for each
+    utt = cut_lineage(with_normalized(fixtures.lines(spark, sf_dir).select("idx", "text"), "text", "norm")
+                      .select("idx", "norm"))
     return splits.phrase_split(utt, "norm", PHRASE_EVERY).select("idx", "phrase_no", "split")
 
 
