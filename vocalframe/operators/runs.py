@@ -82,8 +82,16 @@ def finite_or_zero(c: F.Column) -> F.Column:
 
 
 def latency_table(timings: DataFrame, keys: Sequence[str], seconds: str, order: str) -> DataFrame:
-    """Mean seconds per (model, device) after dropping each pair's first
-    (warm-up) run."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    t = timings.withColumn("_r", F.row_number().over(w)).where(F.col("_r") > 1)
-    return t.groupBy(*keys).agg(F.avg(seconds).alias("mean_seconds"), F.count(F.lit(1)).alias("runs"))
+    """A16 (+ A15): mean seconds per (model, device) after dropping each pair's
+    first (warm-up) run; total runtime and runs per second on the same rows.
+
+    The warm-up row is found with a partial ``min`` aggregate (one row per
+    pair) and removed by an anti-join, so no (model, device) group is ever
+    gathered into one task."""
+    first = timings.groupBy(*keys).agg(F.min(order).alias(order))
+    kept = timings.join(first, [*keys, order], "left_anti")
+    n = F.count(F.lit(1))
+    return kept.groupBy(*keys).agg(
+        F.round(F.avg(seconds), 9).alias("mean_seconds"), n.alias("runs"),
+        F.round(F.sum(seconds), 9).alias("runtime"),
+        F.round(n / F.sum(seconds), 9).alias("samples_per_second"))

@@ -231,12 +231,7 @@ def latency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("model"),
         F.when(F.col("user_id") % 2 == 0, "cuda").otherwise("cpu").alias("device"),
         F.col("value").alias("seconds"), "event_id")
-    w = Window.partitionBy("model", "device").orderBy("event_id")
-    t = e.withColumn("_r", F.row_number().over(w)).where(F.col("_r") > 1)
-    return t.groupBy("model", "device").agg(
-        F.round(F.avg("seconds"), 9).alias("mean_seconds"), F.count(F.lit(1)).alias("runs"),
-        F.round(F.sum("seconds"), 9).alias("runtime"),
-        F.round(F.count(F.lit(1)) / F.sum("seconds"), 9).alias("samples_per_second"))
+    return runs.latency_table(e, ["model", "device"], "seconds", "event_id")
 
 
 @register("agreement_cer", ("A18", "A2", "J3"), V.with_views(V.SCORED) + """
