@@ -116,3 +116,13 @@ def test_batched_bit_parallel_matches_dp():
     toks = [[rng.choice(["aa", "b", "zz"]) for _ in range(rng.randint(0, 90))] for _ in range(60)]
     toks2 = [[rng.choice(["aa", "b", "c"]) for _ in range(rng.randint(0, 90))] for _ in range(60)]
     assert [int(g) for g in levenshtein_many(toks, toks2)] == [_dp(a, b) for a, b in zip(toks, toks2)]
+
+
+def test_nfkc_fallback_matches_icu(spark, monkeypatch):
+    """The Arrow-UDF NFKC path (used where ICU4J is absent) agrees with ICU."""
+    from vocalframe.functions import text as TX
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(CASES)], "i int, t string")
+    icu = {r.i: r.n for r in with_normalized(df, "t", "n").collect()}
+    monkeypatch.setattr(TX, "icu_available", lambda s: False)
+    arrow = {r.i: r.n for r in TX.with_normalized(df, "t", "n").collect()}
+    assert icu == arrow
