@@ -170,3 +170,29 @@ def test_ratio_split_exact_counts(spark):
     df = spark.range(1000).select(F.col("id").alias("idx"))
     c = {r.split: r["count"] for r in splits.ratio_split(df, 7).groupBy("split").count().collect()}
     assert c == {"train": 800, "validation": 100, "test": 100}
+
+
+def test_split_dispatcher(spark):
+    df = spark.createDataFrame([(i, f"s{i % 4}") for i in range(100)], "idx long, speaker string")
+    c = {r.split: r["count"] for r in splits.split_dataset(df, "ratio", 3).groupBy("split").count().collect()}
+    assert c == {"train": 80, "validation": 10, "test": 10}
+    lo = {r.speaker: r.split for r in splits.split_dataset(df, "loso", loso_test_speaker="s1",
+                                                           loso_val_speaker="s2").collect()}
+    assert lo["s1"] == "test" and lo["s2"] == "validation" and lo["s0"] == "train"
+    with pytest.raises(ValueError):
+        splits.split_dataset(df, "kfold")
+
+
+def test_refresh_and_resume_guard(spark):
+    from vocalframe.operators import runs
+    res = spark.createDataFrame([("m1", "torgo", 10.0, 5.0, 3), ("m2", "torgo", 20.0, None, 4)],
+                                "model string, target string, wer double, cer double, num_samples long")
+    avg = runs.refresh_averages(res, "loso").collect()[0]
+    assert avg.wer == 10.0 and avg.num_models == 1  # the incomplete record is ignored
+    one = runs.refresh_averages(res.limit(1), "single").collect()[0]
+    assert one.num_models == 1
+    a = spark.createDataFrame([("r1", "x"), ("r2", "y")], "run string, fp string")
+    runs.check_resume(a, a, ["run"], "fp")
+    b = spark.createDataFrame([("r1", "x"), ("r2", "z")], "run string, fp string")
+    with pytest.raises(ValueError, match="r2"):
+        runs.check_resume(a, b, ["run"], "fp")

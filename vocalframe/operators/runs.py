@@ -95,3 +95,25 @@ def latency_table(timings: DataFrame, keys: Sequence[str], seconds: str, order:
         F.round(F.avg(seconds), 9).alias("mean_seconds"), n.alias("runs"),
         F.round(F.sum(seconds), 9).alias("runtime"),
         F.round(n / F.sum(seconds), 9).alias("samples_per_second"))
+
+
+def refresh_averages(results: DataFrame, mode: str) -> DataFrame:
+    """``loso`` -> per-target averages over models (A8); ``single`` -> the one
+    model's results copied through (no averages). The caller stamps updated_at."""
+    from vocalframe.operators.metrics import model_average
+    if mode == "loso":
+        return model_average(results)
+    if mode == "single":
+        return results.select("target", "wer", "cer", F.lit(1).cast("bigint").alias("num_models"),
+                              F.array(F.col("num_samples")).alias("num_samples_per_model"))
+    raise ValueError(f"unknown evaluation mode {mode!r}")
+
+
+def check_resume(stored: DataFrame, current: DataFrame, keys: Sequence[str], fingerprint: str) -> None:
+    """Refuse to resume when a stored run's protocol fingerprint differs from
+    the current one (compares one row per run; raises naming the runs)."""
+    j = stored.select(*keys, F.col(fingerprint).alias("_s")).join(
+        current.select(*keys, F.col(fingerprint).alias("_c")), list(keys), "inner")
+    bad = j.where(F.col("_s") != F.col("_c")).select(*keys).limit(5).collect()
+    if bad:
+        raise ValueError(f"stored results were produced with a different protocol: {[tuple(r) for r in bad]}")

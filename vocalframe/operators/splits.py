@@ -101,3 +101,21 @@ def sample_seed(seed: int, epoch: Column, size: int | Column, position: Column)
 def batch_id(position: Column, size: int) -> Column:
     """Fixed-size batches in position order."""
     return F.floor(position / F.lit(size)).cast("bigint")
+
+
+def split_dataset(df: DataFrame, method: str, seed: int = 42,
+                  ratios: Sequence[float] = (0.8, 0.1, 0.1),
+                  loso_test_speaker: str | None = None, loso_val_speaker: str | None = None,
+                  speaker: str = "speaker", idx: str = "idx") -> DataFrame:
+    """The split dispatcher -- ``ratio`` (seeded, exact counts) or ``loso``
+    (test and validation speakers, the rest train); adds a ``split`` column.
+    The index manifest is ``df.select("split", idx)`` (see files.write_split_manifest)."""
+    if method == "ratio":
+        if abs(sum(ratios) - 1.0) > 1e-9:
+            raise ValueError(f"ratios must sum to 1, got {list(ratios)}")
+        return ratio_split(df, seed, ratios, idx)
+    if method == "loso":
+        if not loso_test_speaker or not loso_val_speaker:
+            raise ValueError("loso split needs a test and a validation speaker")
+        return speaker_split(df, loso_val_speaker, loso_test_speaker, speaker)
+    raise ValueError(f"unknown split method {method!r}; expected 'ratio' or 'loso'")

@@ -1 +1,7 @@
-"""streaming"""
+"""Streaming: intentionally empty.
+
+The reference has no streams -- no watermark, event-time window, session, state
+or late data (SURVEY section 2.12). Its one lazy iterable is disabled, and its
+resumption is batch work: pending work, upserts and the resume guard
+(:mod:`vocalframe.operators.runs`, J6-J8). Nothing here is listed as work.
+"""
