@@ -1 +1,2 @@
-"""functions"""
+"""Column expressions: text normalisation, edit distances, paths/JSON/time,
+and the once-per-row bind barrier."""

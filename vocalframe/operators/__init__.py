@@ -1 +1,2 @@
-"""operators"""
+"""DataFrame -> DataFrame operators: metrics, splits, pairing, ordinals, runs,
+labels, waveform and feature arrays, Arrow audio jobs, user models."""
