@@ -151,8 +151,8 @@ def levenshtein_many(a: Sequence, b: Sequence, bucket: int = 1024) -> np.ndarray
         return out
     order = sorted(range(len(idx)), key=lambda q: (len(texts[q]), len(pats[q])))
     groups, cur = [], []
-    for q in order:  # buckets of similar length: cut at `bucket` pairs or 1.25x growth
-        if cur and (len(cur) >= bucket or len(texts[q]) > 1.25 * len(texts[cur[0]]) + 8):
+    for q in order:  # buckets of similar length: cut at `bucket` pairs or 1.6x growth
+        if cur and (len(cur) >= bucket or len(texts[q]) > 1.6 * len(texts[cur[0]]) + 8):
             groups.append(cur)
             cur = []
         cur.append(q)

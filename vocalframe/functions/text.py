@@ -72,9 +72,13 @@ def _pre(c: Column) -> Column:
     return F.regexp_replace(s, PAREN_SPAN, "")
 
 
+# One pass for "marks/symbols/punctuation -> space, then whitespace runs -> one
+# space": both turn every maximal run of such characters into a single space.
+MSP_OR_WS_RUN = "(?:" + MARK_SYMBOL_PUNCT + "|" + PY_WHITESPACE + ")+"
+
+
 def _post(c: Column) -> Column:
-    s = F.regexp_replace(c, MARK_SYMBOL_PUNCT, " ")
-    return F.regexp_replace(s, WHITESPACE_RUN, " ")
+    return F.regexp_replace(c, MSP_OR_WS_RUN, " ")
 
 
 def basic_normalize(c: Column) -> Column:

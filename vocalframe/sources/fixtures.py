@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalframe.functions.text import with_normalized, words
+from vocalframe.functions.text import normalized_words, with_normalized
 from vocalframe.session import spread
 from vocalframe.sources.tables import table
 
@@ -61,7 +61,7 @@ def with_prediction(utt: DataFrame, norm: str = "norm") -> DataFrame:
     """Adds the normalised reference ``norm`` and the derived ``prediction``."""
     if norm not in utt.columns:
         utt = with_normalized(utt, "text", norm)
-    return utt.withColumn("prediction", F.array_join(corrupt(words(F.col(norm))), " "))
+    return utt.withColumn("prediction", F.array_join(corrupt(normalized_words(F.col(norm))), " "))
 
 
 def severity_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
