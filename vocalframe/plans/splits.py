@@ -125,7 +125,10 @@ SELECT idx, CASE WHEN rn < floor(0.8 * n) THEN 'train'
                  WHEN rn < floor(0.8 * n) + floor(0.1 * n) THEN 'validation' ELSE 'test' END AS split
 FROM r""")
 def ratio_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.ratio_split(fixtures.lines(spark, sf_dir).select("idx"), SEED)
+    # the ids are read four times (count, bound sample, counts, numbering):
+    # materialise the narrow id column once rather than re-deriving the lines
+    from vocalframe.session import cut_lineage
+    return splits.ratio_split(cut_lineage(fixtures.lines(spark, sf_dir).select("idx")), SEED)
 
 
 @register("first_n", ("D6",), V.with_views(V.LINES) + f"SELECT idx FROM lines ORDER BY idx LIMIT {FIRST_N}")
@@ -138,7 +141,8 @@ def first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT speaker, idx, (row_number() OVER (PARTITION BY speaker ORDER BY idx) - 1)::BIGINT AS ordinal FROM lines""")
 def speaker_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2 in long form: (speaker, idx, position within the speaker)."""
-    lines = fixtures.lines(spark, sf_dir).select("speaker", "idx")
+    from vocalframe.session import cut_lineage
+    lines = cut_lineage(fixtures.lines(spark, sf_dir).select("speaker", "idx"))
     return group_ordinal(lines, ["speaker"], ["idx"]).select("speaker", "idx", "ordinal")
 
 
@@ -148,7 +152,8 @@ SELECT idx, e.epoch::BIGINT AS epoch, position::BIGINT AS position,
        ({SEED} + e.epoch * n + position)::BIGINT AS sample_seed, (position // {BATCH})::BIGINT AS batch_id
 FROM p, (SELECT unnest(range({EPOCHS})) AS epoch) e""")
 def epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = fixtures.lines(spark, sf_dir).select("idx")
+    from vocalframe.session import cut_lineage
+    lines = cut_lineage(fixtures.lines(spark, sf_dir).select("idx"))
     n = lines.count()
     pos = global_ordinal(lines, ["idx"], name="position")
     ep = splits.epochs(pos, EPOCHS).withColumn("epoch", F.col("epoch").cast("bigint"))
@@ -161,7 +166,8 @@ def epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT idx, ((row_number() OVER (ORDER BY md5('{SEED}|' || idx::VARCHAR), idx) - 1) // {BATCH})::BIGINT AS batch_id
 FROM lines""")
 def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = fixtures.lines(spark, sf_dir).select("idx")
+    from vocalframe.session import cut_lineage
+    lines = cut_lineage(fixtures.lines(spark, sf_dir).select("idx"))
     keyed = lines.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(SEED)), F.col("idx").cast("string"))))
     pos = global_ordinal(keyed, ["_h", "idx"], name="_p")
     return pos.select("idx", splits.batch_id(F.col("_p"), BATCH).alias("batch_id"))
