@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocalframe.functions.text import light_normalize, word_count
+from vocalframe.functions.bind import bind
+from vocalframe.functions.text import words
 
 
 def dedup_per_speaker(df: DataFrame, speaker: str = "speaker", text: str = "text",
@@ -16,10 +17,13 @@ def dedup_per_speaker(df: DataFrame, speaker: str = "speaker", text: str = "text
     Returns (speaker, idx) of the kept rows. ``min`` aggregates map-side, so a
     hot speaker or a hot text is combined before the shuffle.
     """
-    keyed = df.select(F.coalesce(F.col(speaker).cast("string"), F.lit("")).alias("speaker"),
-                      F.col(idx).alias("idx"),
-                      light_normalize(F.col(text)).alias("_norm"),
-                      (word_count(F.col(text)) <= short_word_max_words).alias("_short"))
+    # one tokenisation serves both the light normal form and the word count
+    # (lowercasing never changes whitespace)
+    toks = bind(df.select(F.coalesce(F.col(speaker).cast("string"), F.lit("")).alias("speaker"),
+                          F.col(idx).alias("idx"), F.col(text).alias("_t")),
+                {"_w": words(F.lower(F.col("_t")))}, drop=("_t",))
+    keyed = toks.select("speaker", "idx", F.array_join("_w", " ").alias("_norm"),
+                        (F.size("_w") <= short_word_max_words).alias("_short"))
     return (keyed.where(F.col("_norm") != "")
             .groupBy("speaker", "_short", "_norm").agg(F.min("idx").alias("idx"))
             .select("speaker", "idx"))
