@@ -37,14 +37,13 @@ def pair_errors(df: DataFrame, ref: str = "reference", hyp: str = "prediction",
         out = out.withColumn("ref_norm", F.col(ref_norm))
     tok = normalized_words if normalize else words
     out = bind(out, {"_rw": tok(F.col("ref_norm")), "_hw": tok(F.col("hyp_norm"))})
-    out = bind(out, {
-        "_rs": F.array_join("_rw", " "),
-        "_hs": F.array_join("_hw", " "),
-        "_d": edits.pair_dictionary(F.col("_rw"), F.col("_hw")),
-    })
-    long = ((F.size("_d") > edits.MAX_DICT)
+    out = bind(out, {"_rs": F.array_join("_rw", " "), "_hs": F.array_join("_hw", " ")})
+    # long: a big DP table, or more words than one pair dictionary can code (an
+    # upper bound on its size); only short pairs build the dictionary
+    long = ((F.size("_rw") + F.size("_hw") > edits.MAX_DICT)
             | (F.char_length("_rs").cast("bigint") * F.char_length("_hs") > edits.LONG_PAIR_CELLS))
     out = bind(out, {"_long": long})
+    out = bind(out, {"_d": F.when(~F.col("_long"), edits.pair_dictionary(F.col("_rw"), F.col("_hw")))})
     lp = edits.long_pair_udf(*[F.when(F.col("_long"), F.col(c)) for c in ("_rs", "_hs")])
     out = bind(out, {"_lp": lp})
     short = ~F.col("_long")
