@@ -21,7 +21,7 @@ _LOCAL_CONF = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app: str = "vocalframe") -> SparkSession:
+              app: str = "vocalframe", driver_memory: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings the library assumes.
 
     On a cluster the submitter owns master, memory and partition counts; locally
@@ -34,6 +34,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:  # local mode: the driver JVM is also the executor
+        builder = builder.config("spark.driver.memory", driver_memory)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
