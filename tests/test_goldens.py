@@ -185,7 +185,7 @@ def test_split_dispatcher(spark):
 
 def test_refresh_and_resume_guard(spark):
     from vocalframe.operators import runs
-    res = spark.createDataFrame([("m1", "torgo", 10.0, 5.0, 3), ("m2", "torgo", 20.0, None, 4)],
+    res = spark.createDataFrame([("m1", "primary", 10.0, 5.0, 3), ("m2", "primary", 20.0, None, 4)],
                                 "model string, target string, wer double, cer double, num_samples long")
     avg = runs.refresh_averages(res, "loso").collect()[0]
     assert avg.wer == 10.0 and avg.num_models == 1  # the incomplete record is ignored

@@ -98,6 +98,6 @@ def base_model(override: Column, adapter_config: Column) -> Column:
                       F.raise_error(F.lit("base model is not declared")).cast("string"))
 
 
-def expand_targets(target: Column) -> Column:
-    """P14: 'both' -> the two corpora, else the target itself."""
-    return F.when(target == "both", F.array(F.lit("torgo"), F.lit("librispeech"))).otherwise(F.array(target))
+def expand_targets(target: Column, corpora: tuple[str, str] = ("primary", "retention")) -> Column:
+    """P14: 'both' -> the two evaluation corpora, else the target itself."""
+    return F.when(target == "both", F.array(*[F.lit(c) for c in corpora])).otherwise(F.array(target))

@@ -87,7 +87,7 @@ def json_time_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     overlay = F.map_concat(F.create_map(F.lit("k"), F.get_json_object(props, "$.k")),
                            F.when(F.col("event_type") == "view", F.create_map(F.lit("k"), F.lit("99")))
                            .otherwise(F.create_map().cast("map<string,string>")))
-    targets = P.expand_targets(F.when(F.col("event_type") == "error", F.lit("both")).otherwise(F.lit("torgo")))
+    targets = P.expand_targets(F.when(F.col("event_type") == "error", F.lit("both")).otherwise(F.lit("primary")))
     return ev.select(
         "event_id", P.iso_utc(F.col("ts")).alias("ts_iso"), F.get_json_object(props, "$.k").alias("k"),
         F.element_at(overlay, F.lit("k")).alias("overlaid"),
