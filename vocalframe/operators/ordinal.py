@@ -3,9 +3,9 @@
 ``Window.orderBy(...)`` without a partition moves every row to one task, and a
 per-speaker window moves a hot speaker to one task. Instead we
 
-1. draw a bounded random sample of the sort keys (a distributed top-k by a
-   random number: each task keeps at most k rows) and take its quantiles as
-   bucket bounds -- a hot group is split across buckets by its order key;
+1. draw a bounded random sample of the sort keys (a Bernoulli sample sized
+   from the row count, hard-capped) and take its quantiles as bucket bounds --
+   a hot group is split across buckets by its order key;
 2. assign each row its bucket by comparing with the literal bounds: a
    deterministic function of the row, so every branch of the plan agrees (Spark's
    own range partitioner re-samples per exchange and can disagree);
@@ -33,8 +33,12 @@ def _bucket(df: DataFrame, cols: Sequence[str], parts: int | None) -> Column:
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.struct(*[F.col(c) for c in cols])
-    sample = (df.select(key.alias("k")).orderBy(F.rand(17))
-              .limit(SAMPLE_PER_BUCKET * n).collect())
+    target = SAMPLE_PER_BUCKET * n
+    rows = df.count()
+    # a Bernoulli sample of ~2x the target, hard-capped: the driver receives a
+    # bounded number of keys however many partitions or rows there are
+    frac = min(1.0, 2.0 * target / max(rows, 1))
+    sample = df.select(key.alias("k")).sample(False, frac, 17).limit(4 * target).collect()
     ks = sorted(tuple(r["k"]) for r in sample)
     bounds = sorted({ks[(i * len(ks)) // n] for i in range(1, n)}) if ks else []
     if not bounds:
