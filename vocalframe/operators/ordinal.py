@@ -6,7 +6,7 @@ per-speaker window moves a hot speaker to one task. Instead we
 1. draw a bounded random sample of the sort keys (a Bernoulli sample sized
    from the row count, hard-capped) and take its quantiles as bucket bounds --
    a hot group is split across buckets by its order key;
-2. assign each row its bucket by comparing with the literal bounds: a
+2. assign each row its bucket by binary search over the literal bounds: a
    deterministic function of the row, so every branch of the plan agrees (Spark's
    own range partitioner re-samples per exchange and can disagree);
 3. number rows within (bucket, group) with a window -- buckets are balanced;
@@ -27,13 +27,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PER_BUCKET = 64
+MAX_SAMPLE = 200_000
 
 
 def _bucket(df: DataFrame, cols: Sequence[str], parts: int | None) -> Column:
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.struct(*[F.col(c) for c in cols])
-    target = SAMPLE_PER_BUCKET * n
+    target = min(SAMPLE_PER_BUCKET * n, MAX_SAMPLE)
     rows = df.count()
     # a Bernoulli sample of ~2x the target, hard-capped: the driver receives a
     # bounded number of keys however many partitions or rows there are
@@ -46,7 +47,22 @@ def _bucket(df: DataFrame, cols: Sequence[str], parts: int | None) -> Column:
     types = {f.name: f.dataType for f in df.schema.fields}
     arr = F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(cols, b)])
                     for b in bounds])
-    return F.size(F.filter(arr, lambda b: b <= key))
+    return _count_le(arr, len(bounds), key)
+
+
+def _count_le(arr: Column, m: int, key: Column) -> Column:
+    """Number of sorted bounds <= key, by binary search: ceil(log2(m+1))
+    comparisons per row instead of m."""
+    steps = max(1, m.bit_length())
+    init = F.struct(F.lit(0).alias("lo"), F.lit(m).alias("hi"))
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = ((lo + hi + 1) / 2).cast("int")
+        return (F.when(lo >= hi, acc)
+                .when(F.element_at(arr, mid) <= key, F.struct(mid.alias("lo"), hi.alias("hi")))
+                .otherwise(F.struct(lo.alias("lo"), (mid - 1).alias("hi"))))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
 
 
 def global_ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal",
