@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalframe.llm import url_rules
+from vocalframe.llm import imatch, mixing, quotes, url_rules
 from vocalframe.llm.oracles import ORACLES  # noqa: F401
 from vocalframe.llm.store import table
 
@@ -29,3 +29,22 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page url under the rules and its alias group."""
     out = url_rules.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict", "via")
+
+
+@_query
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, of its half-edited text, and their likeness."""
+    return imatch.compare_edited(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query
+def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply links and clean texts of the conversations, written as quoting threads."""
+    return quotes.link_quotes(quotes.quoting_thread(table(spark, sf_dir, "conversations")))
