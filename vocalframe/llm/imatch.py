@@ -48,34 +48,31 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = 0.002, high: float
     band = df.where((F.col("count") >= 2) & (F.col("count") >= low * n) & (F.col("count") <= high * n))
     h = F.concat(F.sha2(F.concat(F.lit(seed + "|0|"), F.col("term")), 256),
                  F.sha2(F.concat(F.lit(seed + "|1|"), F.col("term")), 256))
-    mask = sum((F.when(F.conv(F.substring(h, 4 * k + 1, 4), 16, 10).cast("int") < t, F.lit(1 << k)).otherwise(0)
-                for k, t in enumerate(THRESHOLDS)), F.lit(0).cast("bigint"))
+    band = band.select("term", h.alias("h"))
+    bits = F.zip_with(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), F.array(*map(F.lit, THRESHOLDS)), lambda k, t: F.when(
+        F.conv(F.substring(F.col("h"), 4 * k + 1, F.lit(4)), 16, 10).cast("int") < t, F.pow(F.lit(2.0), k)).otherwise(0.0))
+    mask = F.aggregate(bits, F.lit(0.0), lambda x, y: x + y).cast("bigint")
     ident = F.conv(F.substring(F.md5(F.col("term")), 1, 8), 16, 10).cast("bigint") % (1 << 31)
     code = ident * (1 << 32) + mask
     return keep(band.select("term", code.alias("code")).where("code % 4294967296 > 0"))
 
 
-def signature(codes: Column) -> Column:
-    """The fingerprint string of a collected list of codes."""
-    ordered = F.array_sort(codes)
-    parts = []
-    for k in range(SUBSETS):
-        bit = F.lit(1 << k).cast("bigint")
-        own = F.filter(ordered, lambda c: c.bitwiseAND(bit) != 0)  # noqa: B023  used at once
-        parts.append(F.when(F.size(own) > 0, F.substring(F.md5(F.array_join(own.cast("array<string>"), ",")), 1, 8))
-                     .otherwise(NONE))
-    return F.concat(*parts)
+def signature(ordered: Column) -> Column:
+    """The fingerprint string of a sorted array of codes."""
+    bits = F.array(*[F.lit(1 << k).cast("bigint") for k in range(SUBSETS)])
+    own = F.transform(bits, lambda bit: F.array_join(F.filter(ordered, lambda c: c.bitwiseAND(bit) != 0).cast("array<string>"), ","))
+    return F.array_join(F.transform(own, lambda o: F.when(o == "", NONE).otherwise(F.substring(F.md5(o), 1, 8))), "")
 
 
 def likeness(a: Column, b: Column, equal: Column) -> Column:
     """Share of equal signatures; ``equal`` decides when neither text has a term."""
-    same, both = F.lit(0), F.lit(0)
-    for k in range(SUBSETS):
-        x, y = F.substring(a, 8 * k + 1, 8), F.substring(b, 8 * k + 1, 8)
-        some = (x != NONE) | (y != NONE)
-        both = both + F.when(some, 1).otherwise(0)
-        same = same + F.when(some & (x == y), 1).otherwise(0)
-    return F.when(equal, 1.0).when(both > 0, same / both).otherwise(0.0).cast("double")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.struct(
+        F.substring(a, 8 * k + 1, F.lit(8)).alias("x"), F.substring(b, 8 * k + 1, F.lit(8)).alias("y")))
+    votes = F.aggregate(pairs, F.struct(F.lit(0).alias("same"), F.lit(0).alias("both")), lambda s, p: F.struct(
+        (s["same"] + F.when((p["x"] == p["y"]) & (p["x"] != NONE), 1).otherwise(0)).alias("same"),
+        (s["both"] + F.when((p["x"] != NONE) | (p["y"] != NONE), 1).otherwise(0)).alias("both")),
+        lambda s: F.when(s["both"] > 0, s["same"] / s["both"]).otherwise(0.0))
+    return F.when(equal, 1.0).otherwise(votes).cast("double")
 
 
 def fingerprints(texts: DataFrame, keys: list[str], variants: list[str], words: DataFrame) -> DataFrame:
@@ -92,7 +89,7 @@ def fingerprints(texts: DataFrame, keys: list[str], variants: list[str], words:
     rows = texts.select(*keys, F.explode_outer(tagged).alias("x")).select(*keys, "x.v", F.col("x.t").alias("term"))
     met = rows.join(words, "term", "left")
     lists = [F.collect_list(F.when(F.col("v") == i, F.col("code"))).alias(f"_c{i}") for i in range(len(variants))]
-    out = met.groupBy(*keys).agg(*lists)
+    out = met.groupBy(*keys).agg(*[F.sort_array(c) for c in lists]).toDF(*keys, *[f"_c{i}" for i in range(len(variants))])
     return out.select(*keys, *[signature(F.col(f"_c{i}")).alias(f"fp_{v}") for i, v in enumerate(variants)])
 
 
