@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalframe.llm import imatch, mixing, quotes, url_rules
+from vocalframe.llm import imatch, mixing, quotes, tokenfiles, url_rules
 from vocalframe.llm.oracles import ORACLES  # noqa: F401
 from vocalframe.llm.store import table
 
@@ -48,3 +48,16 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reply links and clean texts of the conversations, written as quoting threads."""
     return quotes.link_quotes(quotes.quoting_thread(table(spark, sf_dir, "conversations")))
+
+
+def byte_bpe() -> str:
+    """The public tokenizer file; a path that is the same on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets, lengths and checksums of every document's ids, read back from the token files."""
+    folder = tokenfiles.write_tokens(table(spark, sf_dir, "documents"), byte_bpe())
+    return tokenfiles.read_tokens(spark, folder, digest_only=True)
