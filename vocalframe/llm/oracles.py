@@ -37,3 +37,27 @@ SELECT p.page_id, coalesce(c.host, '') AS host, coalesce(c.path, '') AS path, b.
 FROM pages p LEFT JOIN parts c ON c.url = p.url LEFT JOIN best b ON b.url = p.url
 LEFT JOIN forms f ON f.url = p.url LEFT JOIN alias a ON a.form = f.form
 """
+
+ORACLES["op2_decontamination"] = r"""
+WITH lowered AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w,
+         row_number() OVER () AS r FROM documents),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(list_slice(w, k, k + least(13, len(w)) - 1), ' ') AS s
+  FROM items, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS g(k) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM windows),
+grams AS (
+  SELECT r, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') AS s
+  FROM lowered, lengths, unnest(generate_series(1, len(w) - n + 1)) AS g(k) WHERE len(w) >= n),
+found AS (SELECT r, g.n, k, item FROM grams g JOIN windows x ON g.n = x.n AND g.s = x.s),
+words AS (SELECT DISTINCT r, unnest(generate_series(k, k + n - 1)) AS p FROM found),
+hits AS (SELECT r, count(*) AS n_hit FROM words GROUP BY 1),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM found) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM lowered LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+"""

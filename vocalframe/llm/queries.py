@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalframe.llm import imatch, mixing, quotes, tokenfiles, url_rules
+from vocalframe.llm import decontam, imatch, mixing, quotes, tokenfiles, url_rules
 from vocalframe.llm.oracles import ORACLES  # noqa: F401
 from vocalframe.llm.store import table
 
@@ -61,3 +61,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offsets, lengths and checksums of every document's ids, read back from the token files."""
     folder = tokenfiles.write_tokens(table(spark, sf_dir, "documents"), byte_bpe())
     return tokenfiles.read_tokens(spark, folder, digest_only=True)
+
+
+@_query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words in every document, by windows of 13 words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    s = decontam.scan(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return s.select(
+        "doc_id", F.col("scan.n_words").alias("n_words"), F.col("scan.n_hit").alias("n_hit"),
+        F.size("scan.items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("scan.items"), ",").cast("binary"), 256).alias("items_sha256"),
+        decontam.contaminated(F.col("scan.n_hit"), F.col("scan.n_words")).alias("contaminated"))
