@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalframe.llm import decontam, imatch, mixing, quotes, tokenfiles, url_rules
+from vocalframe.llm import decontam, imatch, langid, mixing, quotes, tokenfiles, url_rules
 from vocalframe.llm.oracles import ORACLES  # noqa: F401
 from vocalframe.llm.store import table
 
@@ -73,3 +73,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("scan.items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("scan.items"), ",").cast("binary"), 256).alias("items_sha256"),
         decontam.contaminated(F.col("scan.n_hit"), F.col("scan.n_words")).alias("contaminated"))
+
+
+@_query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; every fourth document (by crc32 of its id) is held out of training."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(langid.fold("doc_id", 4) == 2, F.lit(False))
+    scorer = langid.fit(docs.where(~held))
+    out = langid.identify(docs.select("doc_id", "text", held.alias("held_out")), scorer)
+    return out.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"),
+                      F.col("language.cross_entropy").alias("cross_entropy"), F.col("language.rejected").alias("rejected"))
