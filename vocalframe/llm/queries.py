@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalframe.llm import decontam, imatch, langid, mixing, quotes, tokenfiles, url_rules
+from vocalframe.llm import decontam, fm, imatch, langid, mixing, quotes, tokenfiles, url_rules
 from vocalframe.llm.oracles import ORACLES  # noqa: F401
 from vocalframe.llm.store import table
 
@@ -84,3 +84,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.identify(docs.select("doc_id", "text", held.alias("held_out")), scorer)
     return out.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"),
                       F.col("language.cross_entropy").alias("cross_entropy"), F.col("language.rejected").alias("rejected"))
+
+
+@_query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text; every fifth document (by crc32 of its id) is held out of training."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    held = F.coalesce(langid.fold("doc_id", 5) == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    machine = fm.fit(docs, labels.where(~held))
+    out = fm.score(docs.withColumn("held_out", held), machine)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
