@@ -21,11 +21,11 @@ def is_local(filesystem: fs.FileSystem) -> bool:
 def write_bytes(uri: str, data: bytes) -> None:
     f, path = open_fs(uri)
     f.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with f.open_output_stream(path) as out:
+    with f.open_output_stream(path, compression=None) as out:
         out.write(data)
 
 
 def read_bytes(uri: str) -> bytes:
     f, path = open_fs(uri)
-    with f.open_input_stream(path) as src:
+    with f.open_input_stream(path, compression=None) as src:
         return src.read()

@@ -61,3 +61,15 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM lowered LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 """
+
+ORACLES["op5_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT d, max(page_id) AS keep FROM p GROUP BY d),
+j AS (SELECT page_id, strlen(h) AS n, p.d AS d, keep FROM p JOIN m ON p.d = m.d)
+SELECT page_id, n AS payload_bytes,
+       array_to_string(list_transform(generate_series(0, 7), lambda k: array_to_string(list_transform([15, 10, 5, 0], lambda b:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(d, 5 * k + 1, 5) AS BIGINT) >> b) & 31) AS INTEGER), 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id < keep THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < keep THEN keep END AS refers_to
+FROM j
+"""

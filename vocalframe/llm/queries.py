@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalframe.llm import decontam, fm, imatch, langid, mixing, quotes, tokenfiles, url_rules
+from vocalframe.llm import decontam, fm, imatch, langid, mixing, quotes, tokenfiles, url_rules, warc
 from vocalframe.llm.oracles import ORACLES  # noqa: F401
-from vocalframe.llm.store import table
+from vocalframe.llm.store import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -95,3 +95,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = fm.fit(docs, labels.where(~held))
     out = fm.score(docs.withColumn("held_out", held), machine)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back, payloads checked against their digests."""
+    folder = shared_folder(spark)
+    warc.archive(table(spark, sf_dir, "pages"), folder)
+    r = warc.read_archive(spark, folder)
+    return r.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                    warc.page_of(F.col("refers_to")).alias("refers_to"))

@@ -140,7 +140,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, doc
                 name = f"part-{part:05d}-{uuid.uuid4().hex}"
                 f, path = open_fs(f"{folder}/{name}")
                 f.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                out = f.open_output_stream(path + ".bin")
+                out = f.open_output_stream(path + ".bin", compression=None)
             for i in range(0, batch.num_rows, 512):
                 some = batch.slice(i, 512)
                 tokens, lengths = enc.encode(some.column("text").to_pylist())
