@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalframe.llm import decontam, fm, imatch, langid, mixing, quotes, tokenfiles, url_rules, warc
+from vocalframe.llm import decontam, fm, imatch, langid, mixing, ngram_jaccard, quotes, tokenfiles, url_rules, warc
 from vocalframe.llm.oracles import ORACLES  # noqa: F401
 from vocalframe.llm.store import shared_folder, table
 
@@ -105,3 +105,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = warc.read_archive(spark, folder)
     return r.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                     warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+@_query
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, copies and links of every document at Jaccard 0.8 over five-word shingles."""
+    out = ngram_jaccard.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "class_id", "rep_id", "n_copies", "n_links")
