@@ -16,19 +16,17 @@ linked to nothing.
    threshold after n comparisons with m matches is a binomial tail; a pair is
    dropped when it falls below ``tolerance``.
 5. The others are verified exactly on their texts.
-6. The rest of large buckets: members not linked to their leader go into another
-   round with a new leader, together with those linked members that could still
-   reach one of them. 1 - Jaccard is a metric, so a linked member at distance x
-   from the leader can only reach an unlinked one at distance y if x >= y - 0.2; for
-   that, leaders are verified down to similarity 0.6. After ``ROUNDS`` rounds the
-   remaining pairs are all candidates. So members of one large bucket may be linked
-   through a leader instead of to each other, but no two texts at the threshold
-   end in different classes for lack of a comparison.
+6. The rest of the large buckets: where members of a bucket are still in different
+   components, every pair across components is compared in blocks of ``BLOCK``
+   members, again by steps 4 and 5, and only links that join components are
+   returned. So members of one large bucket are linked through others rather than
+   all to each other, while no link that would join two classes is lost.
 7. Classes are the connected components of the links.
 
-Scale: texts are shuffled only for pairs that survive pruning; hubs are dealt over
-several tasks, and a task streams one hub text and one member at a time. Nothing but
-loop conditions is collected.
+Scale: texts are shuffled only for documents with a candidate; hubs are dealt over
+several tasks, a task streams one hub text and one member at a time, and a block
+task holds two blocks. The rows of every step grow with the members of the buckets,
+not with their pairs. Nothing but row counts and loop conditions is collected.
 
 Nulls and odd input: null and empty texts are classes of their own; repeated rows are
 copies; null ids are allowed (a class of null ids has a null class_id); an empty
@@ -54,7 +52,8 @@ BANDS, ROWS = 24, 4
 VALUES = BANDS * ROWS
 STEP = 16
 SMALL = 48
-ROUNDS = 3
+BLOCK = 512
+BROADCAST_IDS = 1_000_000
 HUB_TASK = 200          # members that one task compares with a hub
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,38 +146,52 @@ def least_matches(threshold: float, tolerance: float, bits: int = 8) -> list[tup
     return out
 
 
-def prune(pairs: DataFrame, reps: DataFrame, threshold: float, near: float, tolerance: float) -> DataFrame:
-    """Pairs (a, b, star) whose posterior never falls below the tolerance; ``star`` pairs are
-    held to ``near`` instead of ``threshold``."""
+def prune(pairs: DataFrame, reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """Pairs (a, b) whose posterior never falls below the tolerance."""
     sig = reps.select("uid", "sig")
     j = (pairs.join(sig.withColumnsRenamed({"uid": "a", "sig": "sa"}), "a")
-         .join(sig.withColumnsRenamed({"uid": "b", "sig": "sb"}), "b").select("a", "b", "star", "sa", "sb"))
-    strict, loose = least_matches(threshold, tolerance), least_matches(near, tolerance)
+         .join(sig.withColumnsRenamed({"uid": "b", "sig": "sb"}), "b").select("a", "b", "sa", "sb"))
+    steps = least_matches(threshold, tolerance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 20_000):
                 some = batch.slice(i, 20_000)
-                star = some.column("star").to_numpy(zero_copy_only=False)
                 x, y = (np.frombuffer(b"".join(some.column(c).to_pylist()), np.uint8).reshape(-1, VALUES) for c in ("sa", "sb"))
-                alive, matches = np.arange(len(star)), np.zeros(len(star), np.int64)
-                for (n, m), (_, m_near) in zip(strict, loose):
-                    matches[alive] += (x[alive, n - STEP:n] == y[alive, n - STEP:n]).sum(1)
-                    alive = alive[matches[alive] >= np.where(star[alive], m_near, m)]
+                alive = surviving(x, y, steps)
                 if len(alive):
-                    yield some.select(["a", "b", "star"]).take(pa.array(alive))
+                    yield some.select(["a", "b"]).take(pa.array(alive))
 
-    return j.mapInArrow(run, "a bigint, b bigint, star boolean")
+    return j.mapInArrow(run, "a bigint, b bigint")
 
 
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def surviving(x: np.ndarray, y: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    """Rows of the signature matrices that stay alive through all steps."""
+    alive, matches = np.arange(len(y)), np.zeros(len(y), np.int64)
+    for n, m in steps:
+        left = x[alive, n - STEP:n] if len(x) > 1 or len(y) == 1 else x[:, n - STEP:n]
+        matches[alive] += (left == y[alive, n - STEP:n]).sum(1)
+        alive = alive[matches[alive] >= m]
+        if not len(alive):
+            break
+    return alive
+
+
+def texts_of(members: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(uid, text) of the members' documents. Their ids are broadcast if they are at most
+    ``BROADCAST_IDS``, so the corpus is only read; else texts are shuffled once."""
+    need = keep(members.select("uid").distinct())
+    where = need.join(reps.select("uid", F.col("doc_id").alias("rid"), F.col("thash").alias("rhash")), "uid")
+    if need.count() <= BROADCAST_IDS:
+        where = F.broadcast(where)
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("thash"), F.col(text).alias("text"))
+    return keep(rows.join(where, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("thash") == F.col("rhash"))).select("uid", "text"))
+
+
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, jaccard) of every pair, exact. A hub's members are dealt over tasks of about
     ``HUB_TASK``; each task reads the hub's text once and then streams the members."""
     tasks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_TASK).alias("tasks"))
-    need = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-    where = need.join(reps.select("uid", F.col("doc_id").alias("rid"), F.col("thash").alias("rhash")), "uid")
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("thash"), F.col(text).alias("text"))
-    texts = keep(rows.join(where, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("thash") == F.col("rhash"))).select("uid", "text"))
     hubs = tasks.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1)).alias("task"))
     hubs = hubs.join(texts.withColumnRenamed("uid", "a"), "a").select("a", "task", F.lit(None).cast("bigint").alias("b"), "text")
     members = (pairs.join(tasks, "a").withColumn("task", F.pmod(F.xxhash64("b"), "tasks"))
@@ -198,10 +211,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text
                     if y is None:
                         hub, own, last = x, mine, None
                     elif x == hub and y != last:       # a repeated row gives the same text again
-                        at = np.searchsorted(own, mine)
-                        at[at == len(own)] = 0
-                        both = int((own[at] == mine).sum()) if len(own) else 0
-                        got.append((x, y, both / max(len(own) + len(mine) - both, 1)))
+                        got.append((x, y, jaccard(own, mine)))
                         last = y
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got)], ["a", "b", "jaccard"])
@@ -209,65 +219,132 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text
     return dealt.mapInArrow(run, "a bigint, b bigint, jaccard double")
 
 
-def candidates(members: DataFrame, final: bool) -> DataFrame:
-    """Pairs (a, b, star) of buckets: all pairs with an open member in small buckets (in all
-    buckets if ``final``), else each member with the leader. ``members``: (bucket, n, leader, uid, open)."""
-    small = members if final else members.where(F.col("n") <= SMALL)
-    other = small.select(F.col("bucket").alias("bucket2"), F.col("uid").alias("uid2"), F.col("open").alias("open2"))
-    pairs = small.join(other, (F.col("bucket") == F.col("bucket2")) & (F.col("uid") < F.col("uid2")) & (F.col("open") | F.col("open2")))
-    out = pairs.select(F.col("uid").alias("a"), F.col("uid2").alias("b"), F.lit(False).alias("star"))
-    if not final:
-        out = out.unionByName(members.where((F.col("n") > SMALL) & (F.col("uid") != F.col("leader")))
-                              .select(F.col("leader").alias("a"), F.col("uid").alias("b"), F.lit(True).alias("star")))
-    return out.groupBy("a", "b").agg(F.max("star").alias("star"))
-
-
-def still_open(members: DataFrame, checked: DataFrame, threshold: float) -> DataFrame:
-    """Members of large buckets for the next round: those not linked to their leader, and the
-    linked ones that by the triangle inequality could reach one of them."""
-    far = 1 - threshold
-    m = members.where((F.col("n") > SMALL) & (F.col("uid") != F.col("leader"))).join(
-        checked.select(F.col("a").alias("leader"), F.col("b").alias("uid"), (1 - F.col("jaccard")).alias("d")), ["leader", "uid"], "left")
-    m = m.withColumn("free", F.col("d").isNull() | (F.col("d") > far + 1e-12))
-    # a linked member that was already settled in an earlier round stays settled
-    per = m.groupBy("bucket").agg(F.min(F.when(F.col("free"), F.col("d"))).alias("nearest"),
-                                  F.max(F.col("free") & F.col("open")).alias("any"))
-    m = m.join(per.where("any"), "bucket").where(
-        F.col("free") | (F.col("nearest").isNotNull() & (F.col("d") >= F.col("nearest") - far - 1e-12)))
-    m = m.select("bucket", "uid", (F.col("free") & F.col("open")).alias("open"))
-    sizes = m.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("open"), F.col("uid"))).alias("leader"))
-    return keep(m.join(sizes.where("leader is not null"), "bucket").where("n > 1").select("bucket", "n", "leader", "uid", "open"))
-
-
-def similar_links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, threshold: float, near: float, tolerance: float) -> DataFrame:
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sorted arrays of distinct values."""
+    if not len(x) or not len(y):
+        return 0.0
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    both = int((x[at] == y).sum())
+    return both / (len(x) + len(y) - both)
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of buckets: all pairs in small ones, else the leader with each member.
+    ``members``: (bucket, n, leader, uid)."""
+    small = members.where(F.col("n") <= SMALL).select("bucket", "uid")
+    other = small.select(F.col("bucket").alias("bucket2"), F.col("uid").alias("uid2"))
+    pairs = small.join(other, (F.col("bucket") == F.col("bucket2")) & (F.col("uid") < F.col("uid2")))
+    star = members.where((F.col("n") > SMALL) & (F.col("uid") != F.col("leader")))
+    return (pairs.select(F.col("uid").alias("a"), F.col("uid2").alias("b"))
+            .unionByName(star.select(F.col("leader").alias("a"), F.col("uid").alias("b"))).distinct())
+
+
+class Forest:
+    """Union-find over component labels."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while self.up.get(x, x) != x:
+            self.up[x] = self.up.get(self.up[x], self.up[x])
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.root(y)] = self.root(x)
+
+
+def rest_links(members: DataFrame, comp: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float,
+               tolerance: float) -> DataFrame:
+    """Links that join different components inside large buckets.
+
+    A bucket of n members is cut into n / BLOCK blocks and each pair of blocks is one
+    group of rows, so a member is repeated once per block and no pair is a row. A pair
+    is looked at only in the first bucket that its two members share (if that one is
+    small, the pair was checked there)."""
+    m = (members.where(F.col("n") > SMALL).select("bucket", "uid")
+         .join(comp.withColumnsRenamed({"node": "uid", "component": "comp"}), "uid", "left")
+         .withColumn("comp", F.coalesce("comp", "uid")))
+    mixed = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    m = keep(m.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")), "bucket"))
+    own = F.pmod(F.xxhash64("uid"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
+                        lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    rows = (m.select("bucket", "uid", "comp", own.alias("own"), F.explode(pairs).alias("p"))
+            .select("bucket", "p.i", "p.j", "own", "uid", "comp")
+            .join(reps.select("uid", "sig", "bands"), "uid").join(texts.dropDuplicates(["uid"]), "uid"))
+    dealt = rows.select("bucket", "i", "j", "own", "uid", "comp", "sig", "bands", "text") \
+        .repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "uid")
+    steps = least_matches(threshold, tolerance)
+
+    def compare(key: tuple, group: list[tuple]) -> list[tuple[int, int, float]]:
+        bucket, i, j = key
+        own, uid, comps, sig, bands, sets = zip(*group)
+        sig, bands, own = np.stack(sig), np.stack(bands), np.array(own)
+        forest, out = Forest(), []
+        roots = np.array(comps)
+        for x in range(len(uid) - 1):
+            other = np.arange(x + 1, len(uid))
+            other = other[(roots[other] != roots[x]) & ((own[other] != own[x]) | (i == j))]
+            same = bands[other] == bands[x]
+            other = other[bands[x][same.argmax(1)] == bucket] if len(other) else other
+            if not len(other):
+                continue
+            for y in other[surviving(sig[x:x + 1], sig[other], steps)].tolist():
+                if forest.root(comps[x]) != forest.root(comps[y]) and (s := jaccard(sets[x], sets[y])) >= threshold - 1e-12:
+                    out.append((uid[x], uid[y], s))
+                    forest.join(comps[x], comps[y])
+                    roots = np.array([forest.root(c) for c in comps])
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            got = compare(key, group) if len(group) > 1 else []
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got)], ["a", "b", "jaccard"])
+
+        for batch in batches:
+            for some in slices(batch, 8):
+                s, ptr = shingles_of(words_of(some.column(8)))
+                cols = [some.column(k).to_pylist() for k in range(8)]
+                for r in range(some.num_rows):
+                    if (cols[0][r], cols[1][r], cols[2][r]) != key:
+                        yield from flush()
+                        key, group = (cols[0][r], cols[1][r], cols[2][r]), []
+                    group.append((cols[3][r], cols[4][r], cols[5][r], np.frombuffer(cols[6][r], np.uint8),
+                                  np.array(cols[7][r], np.int64), np.unique(s[ptr[r]:ptr[r + 1]])))
+        yield from flush()
+
+    return dealt.mapInArrow(run, "a bigint, b bigint, jaccard double")
+
+
+def similar_links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, threshold: float, tolerance: float) -> DataFrame:
     """(a, b, jaccard) of the links between representatives."""
     rows = reps.select("uid", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("leader")).where("n > 1")
-    members = keep(rows.join(sizes, "bucket").select("bucket", "n", "leader", "uid", F.lit(True).alias("open")))
-    links = None
-    for turn in range(ROUNDS + 1):
-        final = turn == ROUNDS
-        alive = keep(prune(candidates(members, final), reps, threshold, near, tolerance))
-        checked = keep(verify(alive, reps, docs, doc_id, text))
-        new = checked.where(F.col("jaccard") >= threshold - 1e-12)
-        links = new if links is None else links.unionByName(new)
-        if final or members.where(F.col("n") > SMALL).limit(1).count() == 0:
-            break
-        members = still_open(members, checked, threshold)
-        if members.limit(1).count() == 0:
-            break
-    return links.dropDuplicates(["a", "b"])
-
-
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, near: float = 0.6,
-                 tolerance: float = 1e-6) -> DataFrame:
+    members = keep(rows.join(sizes, "bucket").select("bucket", "n", "leader", "uid"))
+    alive = keep(prune(candidates(members), reps, threshold, tolerance))
+    large = members.where(F.col("n") > SMALL)
+    texts = texts_of(alive.select(F.col("a").alias("uid")).union(alive.select("b")).union(large.select("uid")), reps, docs, doc_id, text)
+    links = keep(verify(alive, texts).where(F.col("jaccard") >= threshold - 1e-12))
+    if large.limit(1).count() == 0:
+        return links
+    more = rest_links(members, connected_components(links, "a", "b"), reps, texts, threshold, tolerance)
+    return links.unionByName(more).dropDuplicates(["a", "b"])
+
+
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
     """One row per document: doc_id, thash (xxhash64 of the text), class_id (the least id of its
     class), rep_id (the id of the text's representative), n_copies (documents with the same words),
     n_links (links of the representative to other texts), first (one row of each class)."""
     s = sketch(docs, doc_id, text)
     classes = s.where("n_words > 0").groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
     reps = keep(s.join(classes.select(F.col("rep").alias("uid")), "uid").select("uid", "doc_id", "thash", "bands", "sig"))
-    links = keep(similar_links(docs, reps, doc_id, text, threshold, near, tolerance))
+    links = keep(similar_links(docs, reps, doc_id, text, threshold, tolerance))
     comp = connected_components(links, "a", "b")
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
     tagged = (s.select("uid", "doc_id", "thash", "n_words", "k1", "k2").join(classes, ["k1", "k2"], "left")
