@@ -29,8 +29,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,21 +108,24 @@ def _permutation(key: str, n: int) -> tuple[int, int]:
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
         block: int = 16, seed: int = 42, doc_id: str = "doc_id", text: str = "text", source: str = "source",
         carry: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, first_word, copies, block, *carry).
+    """(doc_id, source, size, source_size, target, taken, first_word, copies, block), and ``_carry_<c>``
+    for each column named in ``carry``.
 
     ``copies`` lists how often each block under the document is taken and
     ``first_word`` is the document's offset in its first block, so the words of
     copy c are those in blocks with ``copies >= c``. Reruns agree."""
     spark = docs.sparkSession
-    sized = keep(docs.select(
+    wide = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed)).alias("_h"),
-        *[F.col(c).alias(f"_carry_{c}") for c in carry]))
-    rows = sized.count()
+        *[F.col(f"`{c}`").alias(f"_carry_{c}") for c in carry])
+    narrow = keep(wide.select("doc_id", "source", "size", "_h"))
+    rows = narrow.count()
     shards = max(1, math.ceil(math.sqrt(rows) / 4))
-    laid = sized.withColumn("_shard", F.pmod(F.xxhash64("_h", F.lit("shard")), F.lit(shards)).cast("int"))
-    per = laid.groupBy("source", "_shard").agg(F.sum("size").alias("n")).collect()  # sources * shards rows
+    shard = F.pmod(F.xxhash64("_h", F.lit("shard")), F.lit(shards)).cast("int")
+    per = narrow.groupBy("source", shard.alias("_shard")).agg(F.sum("size").alias("n")).collect()  # sources * shards rows
+    laid = (wide if carry else narrow).withColumn("_shard", shard)
     names = sorted({r["source"] for r in per if r["source"] is not None}) + [None] * any(r["source"] is None for r in per)
     by_shard = {(r["source"], r["_shard"]): r["n"] for r in per}
     sizes = [sum(by_shard.get((s, k), 0) for k in range(shards)) for s in names]
@@ -156,4 +161,50 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         F.least((i + 1) * block, F.col("first_word") + F.col("size")) - F.greatest(i * block, F.col("first_word"))))
     taken = F.aggregate(inside, F.lit(0).cast("bigint"), lambda x, y: x + y)
     return j.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"),
-                    "first_word", "copies", F.lit(block).alias("block"), *[F.col(f"_carry_{c}").alias(c) for c in carry])
+                    "first_word", "copies", F.lit(block).alias("block"), *[F.col(f"_carry_{c}") for c in carry])
+
+
+def word_ranges(copies: Sequence[int], first_word: int, size: int, block: int, copy: int) -> list[tuple[int, int]]:
+    """Word ranges of a document that are in copy number ``copy``."""
+    out: list[tuple[int, int]] = []
+    for i, c in enumerate(copies):
+        if c >= copy:
+            a, b = max(0, i * block - first_word), min(size, (i + 1) * block - first_word)
+            if out and out[-1][1] == a:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+    return out
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row per document and copy, its text
+    being the words taken (the text as it is where all are, else the taken ranges, a blank
+    between them). Documents of which nothing is taken go."""
+    names = docs.columns
+    m = mix(docs, doc_id=doc_id, text=text, source=source, carry=names, **options).where("taken > 0")
+    m = m.select("first_word", "copies", "block", "size", *[F.col(f"_carry_{c}") for c in names])
+    at = 4 + names.index(text)
+    word = re.compile(WORD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                some = batch.slice(i, 500)
+                first, copies, block, size, texts = (some.column(k).to_pylist() for k in (0, 1, 2, 3, at))
+                rows, out = [], []
+                for r, t in enumerate(texts):
+                    spans = None
+                    for copy in range(1, max(copies[r]) + 1):
+                        ranges = word_ranges(copies[r], first[r], size[r], block[r], copy)
+                        if ranges == [(0, size[r])]:
+                            out.append(t)
+                        else:
+                            spans = spans or [x.span() for x in word.finditer(t)]
+                            out.append(" ".join(t[spans[a][0]:spans[b - 1][1]] for a, b in ranges))
+                        rows.append(r)
+                taken = some.take(pa.array(rows, pa.int64())).columns[4:]
+                taken[at - 4] = pa.array(out, pa.string())
+                yield pa.RecordBatch.from_arrays(taken, names)
+
+    return m.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))

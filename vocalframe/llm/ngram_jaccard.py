@@ -358,3 +358,16 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     heads = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.min("uid").alias("head"))
     return rows.join(heads, "component").select(
         "doc_id", "thash", "class_id", "rep_id", "n_copies", "n_links", (F.col("uid") == F.col("head")).alias("first"))
+
+
+def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each class. The kept ids are broadcast if they are at most
+    ``BROADCAST_IDS``; else texts are shuffled once."""
+    out = keep(jaccard_join(docs, doc_id, text, **options))
+    first = out.where("first").select(F.col("doc_id").alias("_kid"), F.col("thash").alias("_khash")).distinct()
+    if first.count() <= BROADCAST_IDS:
+        first = F.broadcast(first)
+    kept = docs.join(first, F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col("_kid")) & (F.xxhash64(text) == F.col("_khash")), "left_semi")
+    if out.groupBy("doc_id", "thash").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([doc_id, text])      # repeated rows are one document
+    return kept
