@@ -28,7 +28,8 @@ from vocalframe.llm.store import keep, spread
 
 SUBSETS = 32
 #: Keep a term if the subset's 16 bits of its hash are below this: rates 1/2, 1/64, 1/256 and 1/1024.
-THRESHOLDS = (1 << 15,) * 2 + (1 << 10,) * 10 + (1 << 8,) * 10 + (1 << 6,) * 10
+DENSE = 2
+THRESHOLDS = (1 << 15,) * DENSE + (1 << 10,) * 10 + (1 << 8,) * 10 + (1 << 6,) * 10
 NONE = "--------"
 BROADCAST_TERMS = 1_000_000
 
@@ -46,6 +47,8 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = 0.002, high: float
     n = docs.count()
     df = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").count()
     band = df.where((F.col("count") >= 2) & (F.col("count") >= low * n) & (F.col("count") <= high * n))
+    # written first: a filter on the code alone would move below the aggregation, to every word
+    band = keep(band.select("term"))
     h = F.concat(F.sha2(F.concat(F.lit(seed + "|0|"), F.col("term")), 256),
                  F.sha2(F.concat(F.lit(seed + "|1|"), F.col("term")), 256))
     band = band.select("term", h.alias("h"))
@@ -57,11 +60,14 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = 0.002, high: float
     return keep(band.select("term", code.alias("code")).where("code % 4294967296 > 0"))
 
 
-def signature(ordered: Column) -> Column:
-    """The fingerprint string of a sorted array of codes."""
-    bits = F.array(*[F.lit(1 << k).cast("bigint") for k in range(SUBSETS)])
-    own = F.transform(bits, lambda bit: F.array_join(F.filter(ordered, lambda c: c.bitwiseAND(bit) != 0).cast("array<string>"), ","))
-    return F.array_join(F.transform(own, lambda o: F.when(o == "", NONE).otherwise(F.substring(F.md5(o), 1, 8))), "")
+def signature(ordered: Column, sparse: Column) -> Column:
+    """The fingerprint string of a sorted array of codes; ``sparse`` holds those of its codes
+    that are in any subset but the first ``DENSE``."""
+    def own(codes: Column, ks: range) -> Column:
+        bits = F.array(*[F.lit(1 << k).cast("bigint") for k in ks])
+        return F.transform(bits, lambda bit: F.array_join(F.filter(codes, lambda c: c.bitwiseAND(bit) != 0).cast("array<string>"), ","))
+    both = F.concat(own(ordered, range(DENSE)), own(sparse, range(DENSE, SUBSETS)))
+    return F.array_join(F.transform(both, lambda o: F.when(o == "", NONE).otherwise(F.substring(F.md5(o), 1, 8))), "")
 
 
 def likeness(a: Column, b: Column, equal: Column) -> Column:
@@ -90,7 +96,9 @@ def fingerprints(texts: DataFrame, keys: list[str], variants: list[str], words:
     met = rows.join(words, "term", "left")
     lists = [F.collect_list(F.when(F.col("v") == i, F.col("code"))).alias(f"_c{i}") for i in range(len(variants))]
     out = met.groupBy(*keys).agg(*[F.sort_array(c) for c in lists]).toDF(*keys, *[f"_c{i}" for i in range(len(variants))])
-    return out.select(*keys, *[signature(F.col(f"_c{i}")).alias(f"fp_{v}") for i, v in enumerate(variants)])
+    few = F.lit((1 << SUBSETS) - (1 << DENSE)).cast("bigint")
+    out = out.select("*", *[F.filter(f"_c{i}", lambda c: c.bitwiseAND(few) != 0).alias(f"_s{i}") for i in range(len(variants))])
+    return out.select(*keys, *[signature(F.col(f"_c{i}"), F.col(f"_s{i}")).alias(f"fp_{v}") for i, v in enumerate(variants)])
 
 
 def half_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
