@@ -81,59 +81,71 @@ def likeness(a: Column, b: Column, equal: Column) -> Column:
     return F.when(equal, 1.0).otherwise(votes).cast("double")
 
 
-def fingerprints(texts: DataFrame, keys: list[str], variants: list[str], words: DataFrame) -> DataFrame:
-    """``keys`` plus a fingerprint column ``fp_<v>`` for each text column in ``variants``.
-
-    The terms of a row are exploded and met with the (broadcast) lexicon; rows stay
-    where ``keys`` put them when the input is already dealt by a part of them.
+def fingerprints(texts: DataFrame, keys: list[str], variants: list[str], words: DataFrame,
+                 carried: str | None = None) -> DataFrame:
+    """``keys`` plus a fingerprint column ``fp_<v>`` for each text column in ``variants``, and the
+    string column ``carried``. Rows with equal keys are one text.
+
+    The terms of a row are exploded and met with the (broadcast) lexicon. The exploded
+    rows are narrow: the carried string travels as a row of its own. Rows stay where they
+    are when the input is already dealt by ``keys``.
     """
     if words.count() <= BROADCAST_TERMS:
         words = F.broadcast(words)
-    def tag(i: int, v: str) -> Column:
-        return F.transform(terms(F.col(v)), lambda t: F.struct(F.lit(i).alias("v"), t.alias("t")))
-    tagged = F.concat(*[tag(i, v) for i, v in enumerate(variants)])
-    rows = texts.select(*keys, F.explode_outer(tagged).alias("x")).select(*keys, "x.v", F.col("x.t").alias("term"))
-    met = rows.join(words, "term", "left")
-    lists = [F.collect_list(F.when(F.col("v") == i, F.col("code"))).alias(f"_c{i}") for i in range(len(variants))]
-    out = met.groupBy(*keys).agg(*[F.sort_array(c) for c in lists]).toDF(*keys, *[f"_c{i}" for i in range(len(variants))])
+
+    def tag(i: int, terms_: Column) -> Column:
+        return F.transform(terms_, lambda t: F.struct(F.lit(i).alias("v"), t.alias("t")))
+    parts = [tag(i, terms(F.col(v))) for i, v in enumerate(variants)]
+    if carried:
+        parts.append(tag(-1, F.array(F.col(carried))))
+    rows = texts.select(*keys, F.explode_outer(F.concat(*parts)).alias("x")).select(*keys, "x.v", F.col("x.t").alias("term"))
+    met = rows.join(words, "term", "left").where("code is not null or v is null or v < 0")
+    met = met.select(*keys, "v", "code", F.when(F.col("v") < 0, F.col("term")).alias("_carried"))
+    lists = [F.sort_array(F.collect_list(F.when(F.col("v") == i, F.col("code")))).alias(f"_c{i}") for i in range(len(variants))]
+    out = met.groupBy(*keys).agg(*lists, F.max("_carried").alias("_carried"))
     few = F.lit((1 << SUBSETS) - (1 << DENSE)).cast("bigint")
     out = out.select("*", *[F.filter(f"_c{i}", lambda c: c.bitwiseAND(few) != 0).alias(f"_s{i}") for i in range(len(variants))])
-    return out.select(*keys, *[signature(F.col(f"_c{i}"), F.col(f"_s{i}")).alias(f"fp_{v}") for i, v in enumerate(variants)])
+    return out.select(*keys, *([F.col("_carried").alias(carried)] if carried else []),
+                      *[signature(F.col(f"_c{i}"), F.col(f"_s{i}")).alias(f"fp_{v}") for i, v in enumerate(variants)])
 
 
-def half_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, tie, n, n_chars, text, edited, next_id, next_tie), one row per different
-    (doc_id, text), ``n`` times repeated in the input: the last floor(n_chars / 2) code points
-    replaced by the first as many of the next one in (doc_id, hash of text) order."""
+def half_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Two tables keyed by (did, tie), hashes of the id and of the text; one row per different
+    (doc_id, text). The first has doc_id, ``n`` (how often the input repeats it), n_chars and the
+    keys of the next one in (doc_id, tie) order; the second has text and ``edited``: the last
+    floor(n_chars / 2) code points replaced by the first as many of the next."""
     base = spread(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
-    base = base.withColumn("tie", F.xxhash64("text"))
+    did = F.xxhash64("doc_id", F.col("doc_id").isNull())
+    base = base.select("doc_id", did.alias("did"), F.xxhash64("text").alias("tie"), "text")
     once = base.select("doc_id", "tie", F.length("text").alias("n_chars")).groupBy("doc_id", "tie").agg(
         F.max("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("n"))
-    once = keep(with_next(once, "doc_id", "tie"))
+    once = with_next(once, "doc_id", "tie")
+    once = keep(once.select("doc_id", did.alias("did"), "tie", "n_chars", "n",
+                            F.xxhash64("next_key", F.col("next_key").isNull()).alias("next_did"), "next_tie"))
     if once.where("n > 1").limit(1).count():
-        base = base.dropDuplicates(["doc_id", "tie"])
-    b = base.select(F.col("doc_id").alias("bid"), F.col("tie").alias("btie"), "text")
-    heads = b.join(once, F.col("bid").eqNullSafe(F.col("next_key")) & (F.col("btie") == F.col("next_tie"))).select(
-        "doc_id", "tie", "n", "n_chars", F.col("next_key").alias("next_id"), "next_tie",
+        base = base.dropDuplicates(["did", "tie"])
+    b = base.select("did", "tie", "text")
+    ask = once.select(F.col("next_did").alias("did"), F.col("next_tie").alias("tie"), F.col("did").alias("to_did"),
+                      F.col("tie").alias("to_tie"), "n_chars")
+    heads = b.join(ask, ["did", "tie"]).select(
+        F.col("to_did").alias("did"), F.col("to_tie").alias("tie"), "n_chars",
         F.expr("substring(text, 1, n_chars div 2)").alias("head"))
-    j = b.join(heads, F.col("bid").eqNullSafe(F.col("doc_id")) & (F.col("btie") == F.col("tie")))
     edited = F.concat(F.expr("substring(text, 1, n_chars - n_chars div 2)"), F.col("head"))
-    return j.select("doc_id", "tie", "n", "n_chars", "text", edited.alias("edited"), "next_id", "next_tie")
+    return once, b.join(heads, ["did", "tie"]).select("did", "tie", "text", edited.alias("edited"))
 
 
 def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", low: float = 0.002,
                    high: float = 0.2) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row."""
     words = lexicon(spread(docs.select(text)), text, low, high)
-    h = half_edited(docs, doc_id, text).withColumns({
-        "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256), "same": F.col("text") == F.col("edited")})
-    keys = ["doc_id", "tie", "n", "n_chars", "edited_sha256", "same", "next_id", "next_tie"]
-    fp = keep(fingerprints(h, keys, ["text", "edited"], words))
-    other = fp.select(F.col("doc_id").alias("oid"), F.col("tie").alias("otie"), F.col("fp_text").alias("fp_next"))
-    j = fp.join(other, F.col("next_id").eqNullSafe(F.col("oid")) & (F.col("next_tie") == F.col("otie")))
-    out = j.select(
-        "doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256",
+    once, h = half_edited(docs, doc_id, text)
+    h = h.withColumn("digest", F.concat(F.sha2(F.col("edited").cast("binary"), 256),
+                                        F.when(F.col("text") == F.col("edited"), "=").otherwise("")))
+    fp = keep(fingerprints(h, ["did", "tie"], ["text", "edited"], words, "digest").join(once, ["did", "tie"]))
+    other = fp.select(F.col("did").alias("next_did"), F.col("tie").alias("next_tie"), F.col("fp_text").alias("fp_next"))
+    out = fp.join(other, ["next_did", "next_tie"]).select(
+        "doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), F.substring("digest", 1, 64).alias("edited_sha256"),
         F.col("fp_text").alias("fingerprint"), F.col("fp_edited").alias("edited_fingerprint"),
-        likeness(F.col("fp_text"), F.col("fp_edited"), F.col("same")).alias("near_edited"),
+        likeness(F.col("fp_text"), F.col("fp_edited"), F.length("digest") > 64).alias("near_edited"),
         likeness(F.col("fp_text"), F.col("fp_next"), F.col("tie") == F.col("next_tie")).alias("near_next"), "n")
     return out.withColumn("_r", F.explode(F.expr("sequence(1L, n)"))).drop("n", "_r")
