@@ -19,8 +19,8 @@ Scale: counting runs over all training texts. Each Arrow batch is reduced to its
 distinct words before its four-grams are taken, and only (language, four-gram,
 count) sums are shuffled. The model must fit one machine: when there are more than
 ``max_grams`` four-grams, the rarest are dropped by a count limit found from the
-histogram of counts. The calibration scores at most ``calibration_rows`` training
-texts, the first by a hash.
+histogram of counts. The calibration scores about ``calibration_rows`` training texts,
+chosen by a hash, in tasks.
 
 Nulls and odd input: a null text is ``und`` with score 0; training rows with a null
 language or text teach nothing; without any training text everything is ``und``;
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocalframe.llm.store import spread
+from vocalframe.llm.store import keep, spread
 from vocalframe.llm.tokens import mix64, slices, words_of
 
 START, END = 1, 2
@@ -238,30 +238,28 @@ def fit(train: DataFrame, lang: str = "lang", text: str = "text", max_grams: int
         calibration_rows: int = 4000, slack: float = 1.25, margin: float = 0.75) -> Scorer:
     """Train on every row of ``train``; the limit of a language is ``slack`` times the
     99.9th percentile of its calibration texts' cross-entropy, plus ``margin`` nats."""
-    grams = count_grams(train, lang, text)
+    grams = keep(count_grams(train, lang, text))
     by_count = grams.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()    # at most 1000 rows
     least, held = 1, sum(r["count"] for r in by_count)
     for r in sorted(by_count, key=lambda r: r["n"]):
         if held <= max_grams:
             break
         held, least = held - r["count"], r["n"] + 1
-    rows = grams.where(F.col("n") >= least).toPandas()
+    names = sorted(r["lang"] for r in grams.groupBy("lang").count().collect())          # a row per language
     models = {}
-    for name, own in rows.groupby("lang"):
-        own = own.sort_values("gram")
-        models[name] = KneserNey.fit(own["gram"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy())
+    for name in names:
+        own = grams.where((F.col("lang") == name) & (F.col("n") >= least)).select("gram", "n").toPandas().sort_values("gram")
+        if len(own):
+            models[name] = KneserNey.fit(own["gram"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy())
     scorer = Scorer(models)
     if models:
-        sample = (train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-                  .withColumn("_o", F.xxhash64("text", F.lit(7))).orderBy("_o", "text").limit(calibration_rows))
-        texts = sample.select("lang", "text").toPandas()
-        for k, name in enumerate(scorer.names):
-            own = texts[texts["lang"] == name]["text"]
-            if len(own):
-                x, positions, _ = scorer.score(pa.array(own.tolist(), pa.string()))
-                if (positions > 0).any():
-                    scorer.models[k].limit = slack * float(np.quantile(x[positions > 0, k], 0.999)) + margin
-        scorer._forget()
+        rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+        every = max(1, rows.count() // calibration_rows)
+        sample = identify(rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(every)) == 0), scorer)
+        limits = (sample.where("language.cross_entropy is not null and language.lang = lang").groupBy("lang")
+                  .agg(F.percentile("language.cross_entropy", 0.999).alias("q")).collect())
+        for r in limits:
+            scorer.models[scorer.names.index(r["lang"])].limit = slack * r["q"] + margin
     return scorer
 
 
