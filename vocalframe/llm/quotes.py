@@ -108,20 +108,19 @@ def link_quotes(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn
 
 
 def threads(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(conv_id, turn, reply_to, root, depth). ``up`` points ``2^k`` links up after k rounds."""
-    cur = keep(nodes.join(links, ["conv_id", "turn"], "left").select(
-        "conv_id", "turn", "reply_to", F.coalesce("reply_to", "turn").alias("up"),
-        F.when(F.col("reply_to").isNotNull(), 1).otherwise(0).alias("depth")))
-    while True:
-        over = cur.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        nxt = keep(cur.join(over, (F.col("conv_id") == F.col("c")) & (F.col("up") == F.col("t"))).select(
-            "conv_id", "turn", "reply_to", F.col("up2").alias("up"),
-            (F.col("depth") + F.when(F.col("up") == F.col("turn"), 0).otherwise(F.col("d2"))).alias("depth"),
-            (F.col("up2") != F.col("up")).alias("moved")))
-        moved = nxt.where("moved").limit(1).count()
-        cur = nxt.drop("moved")
-        if not moved:
-            return cur.select("conv_id", "turn", "reply_to", F.col("up").alias("root"), "depth")
+    """(conv_id, turn, reply_to, root, depth). After k rounds an active node's ``up`` is ``2^k``
+    links up; a node whose ``up`` knows its root is done and leaves the rounds."""
+    start = keep(nodes.join(links.select("conv_id", "turn", "reply_to"), ["conv_id", "turn"], "left"))
+    cols = ["conv_id", "turn", "reply_to", "up", "depth"]
+    done = start.where("reply_to is null").select("conv_id", "turn", "reply_to", F.col("turn").alias("up"), F.lit(0).alias("depth"))
+    active = start.where("reply_to is not null").select("conv_id", "turn", "reply_to", F.col("reply_to").alias("up"), F.lit(1).alias("depth"))
+    while active.limit(1).count():
+        over = (done.withColumn("rooted", F.lit(True)).unionByName(active.withColumn("rooted", F.lit(False)))
+                .select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("up").alias("up2"), F.col("depth").alias("d2"), "rooted"))
+        step = keep(active.join(over, (F.col("conv_id") == F.col("c")) & (F.col("up") == F.col("t"))).select(
+            "conv_id", "turn", "reply_to", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), "rooted"))
+        done, active = done.unionByName(step.where("rooted").select(*cols)), step.where("not rooted").select(*cols)
+    return done.select("conv_id", "turn", "reply_to", F.col("up").alias("root"), "depth")
 
 
 def numbered(rows: DataFrame) -> DataFrame:
