@@ -44,7 +44,7 @@ from vocalframe.llm.tokens import mix64, slices, words_of
 START, END = 1, 2
 UND = "und"
 EVIDENCE = 60
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 
 def letters_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +82,7 @@ def count_grams(train: DataFrame, lang: str = "lang", text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, 1, 1 << 22):
+            for some in slices(batch, 1):
                 w = words_of(some.column(1))
                 if not len(w.hashes):
                     continue
@@ -276,7 +276,7 @@ def identify(docs: DataFrame, scorer: Scorer, text: str = "text", result: str =
         names = np.array([*s.names, UND], dtype=object)
         limits = np.array([m.limit for m in s.models] or [0.0])
         for batch in batches:
-            for some in slices(batch, batch.num_columns - 1, 1 << 21):
+            for some in slices(batch, batch.num_columns - 1):
                 x, positions, letters = s.score(some.column(some.num_columns - 1))
                 none = (letters == 0) | (not s.names)
                 best = np.argmin(x, 1) if s.names else np.zeros(len(none), np.int64)

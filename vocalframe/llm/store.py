@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = 4 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under ``spark.checkpoint.dir``.
 
@@ -38,7 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that tasks hand to Python by bytes: texts differ in length by
+    orders of magnitude, so a bound on rows alone does not bound a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a table of few, large row groups over the cluster by whole rows."""
+    small_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores)

@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalframe.llm.files import is_local, open_fs, read_bytes, write_bytes
-from vocalframe.llm.store import shared_folder
+from vocalframe.llm.store import shared_folder, small_batches
 
 NULL_ID = -(1 << 63)
 #: Characters for which the word split below is exact; other texts are encoded whole.
 PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 #: Byte-level pre-tokens of plain texts: contractions, letters, digits, the rest, white space.
 SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÿ0-9]+|\s+(?!\S)|\s+")
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 700_000
 
 
 class Encoder:
@@ -89,7 +89,7 @@ class Encoder:
             self._forget()
         new = set().union(*filter(None, split)).difference(self.memo)
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         flat, ends = self.flat, self.stops
         out, lengths = [], np.zeros(len(texts), np.int64)
         memo = self.memo
@@ -127,6 +127,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, doc
     dtype = id_type(encoder(tokenizer).vocabulary, end_id)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    small_batches(spark)
     dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"))
     dealt = dealt.withColumn("part", F.spark_partition_id())
 
