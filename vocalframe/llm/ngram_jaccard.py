@@ -53,7 +53,7 @@ VALUES = BANDS * ROWS
 STEP = 16
 SMALL = 48
 BLOCK = 512
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 HUB_TASK = 200          # members that one task compares with a hub
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

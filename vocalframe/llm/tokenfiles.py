@@ -40,7 +40,7 @@ NULL_ID = -(1 << 63)
 PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 #: Byte-level pre-tokens of plain texts: contractions, letters, digits, the rest, white space.
 SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÿ0-9]+|\s+(?!\S)|\s+")
-MEMO_WORDS = 700_000
+MEMO_WORDS = 600_000
 
 
 class Encoder:
