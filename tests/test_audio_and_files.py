@@ -59,6 +59,16 @@ def test_pitch_shift_moves_peak():
     assert abs(peak - 2 * f0) < 30
 
 
+@pytest.mark.parametrize("n", [511, 512, 4000, 16000])
+def test_stretch_and_pitch_at_every_length(n):
+    sr, f0 = 16000, 1000.0
+    x = np.sin(2 * np.pi * f0 * np.arange(n) / sr).astype(np.float32)
+    for y, want in ((audio.time_stretch(x, 1.25), f0), (audio.pitch_shift(x, 12.0), 2 * f0)):
+        spec = np.abs(np.fft.rfft(y * np.hanning(len(y)), 1 << 16))
+        assert abs(np.argmax(spec) * sr / (1 << 16) - want) < max(60, 0.6 * sr / n * 2)
+    assert len(audio.time_stretch(x[:64], 1.25)) == round(64 / 1.25) and len(audio.pitch_shift(x[:64], 5.0)) == 64
+
+
 def test_severity_map_and_json_sources(spark):
     d = tempfile.mkdtemp(prefix="vf-json-")
     # The reference's severity file content.
@@ -83,13 +93,25 @@ def test_fold_catalogue_and_checkpoint_kinds(spark):
         m = f"{d}/held-out-{spk}/final-model"
         if kind == "lora":
             json.dump({"base_model_name_or_path": "base"}, open(f"{m}/adapter_config.json", "w"))
-        json.dump({"bottleneck_adapter": {"dim": 8}} if kind == "bn" else {"d": 1}, open(f"{m}/config.json", "w"))
+        json.dump({"bottleneck_adapter_dim": 8} if kind == "bn" else {"d": 1}, open(f"{m}/config.json", "w"))
     cat = files.fold_catalogue(spark, d).collect()
     assert [r.speaker for r in cat] == ["F01", "F03", "M02"]
     kinds = {os.path.basename(os.path.dirname(r.model_dir)): r.model_type
              for r in files.checkpoint_kinds(spark, d).collect()}
     assert kinds == {"held-out-F01": "lora_adapter", "held-out-M02": "bottleneck_adapter",
                      "held-out-F03": "whisper_finetuned"}
+    json.dump({"_name_or_path": "runs/bottleneck-study"}, open(f"{d}/held-out-F03/final-model/config.json", "w"))
+    assert {r.model_type for r in files.checkpoint_kinds(spark, d).collect()} == {
+        "lora_adapter", "bottleneck_adapter", "whisper_finetuned"}
+    assert "_file" not in cat[0].run_config
+    with pytest.raises(ValueError, match="M09"):
+        files.fold_catalogue(spark, d, ["F01", "M09"])
+    os.makedirs(f"{d}/held-out-M03")
+    with pytest.raises(ValueError, match="held-out-M03"):
+        files.fold_catalogue(spark, d)
+    json.dump({"held_out_speaker": "M03"}, open(f"{d}/held-out-M03/run_config.json", "w"))
+    with pytest.raises(ValueError, match="final model"):
+        files.fold_catalogue(spark, d)
     json.dump({"held_out_speaker": "M05"}, open(f"{d}/held-out-F01/run_config.json", "w"))
     with pytest.raises(ValueError):
         files.fold_catalogue(spark, d)

@@ -80,8 +80,16 @@ def generation_options(max_tokens: int, language: Column, task: Column, en_only:
 
 def iso_utc(ts: Column) -> Column:
     """ISO-8601 UTC text as Python's ``isoformat()`` (fraction only if non-zero)."""
-    frac = F.date_format(ts, "SSSSSS")
-    base = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    # from the instant itself, so the session's time zone does not matter
+    micros = F.unix_micros(ts)
+    seconds, day_s = F.floor(micros / 1_000_000).cast("bigint"), 86_400
+    frac = F.lpad(F.pmod(micros, F.lit(1_000_000)).cast("string"), 6, "0")
+    of_day = F.pmod(seconds, F.lit(day_s))
+    date = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / day_s).cast("int")).cast("string")
+
+    def two(c: Column) -> Column:
+        return F.lpad(c.cast("int").cast("string"), 2, "0")
+    base = F.concat(date, F.lit("T"), two(F.floor(of_day / 3600)), F.lit(":"), two(F.floor(of_day / 60) % 60), F.lit(":"), two(of_day % 60))
     return F.concat(base, F.when(frac == "000000", F.lit("")).otherwise(F.concat(F.lit("."), frac)),
                     F.lit("+00:00"))
 
@@ -93,8 +101,9 @@ def json_object(text: Column) -> Column:
 
 
 def base_model(override: Column, adapter_config: Column) -> Column:
-    """Explicit override, else the adapter config's base model, else error."""
-    return F.coalesce(override, F.get_json_object(adapter_config, "$.base_model_name_or_path"),
+    """Explicit override, else the adapter config's base model (empty text counts as none), else error."""
+    return F.coalesce(F.nullif(override, F.lit("")),
+                      F.nullif(F.get_json_object(adapter_config, "$.base_model_name_or_path"), F.lit("")),
                       F.raise_error(F.lit("base model is not declared")).cast("string"))
 
 

@@ -89,14 +89,14 @@ def _mel_to_hz(m):
 
 def mel_filterbank(sr: int = SAMPLE_RATE, n_fft: int = N_FFT, n_mels: int = N_MELS) -> np.ndarray:
     """Slaney-scale triangular filters with area normalisation (n_mels x bins)."""
-    fft_f = np.linspace(0, sr / 2, 1 + n_fft // 2)
-    mel_f = _mel_to_hz(np.linspace(_hz_to_mel(0.0), _hz_to_mel(sr / 2), n_mels + 2))
-    fdiff = np.diff(mel_f)
-    ramps = mel_f[:, None] - fft_f[None, :]
-    lower = -ramps[:-2] / fdiff[:-1, None]
-    upper = ramps[2:] / fdiff[1:, None]
-    w = np.maximum(0, np.minimum(lower, upper))
-    return (w * (2.0 / (mel_f[2:n_mels + 2] - mel_f[:n_mels]))[:, None]).astype(np.float32)
+    bins = np.arange(1 + n_fft // 2) * (sr / n_fft)
+    corners = _mel_to_hz(np.linspace(0.0, _hz_to_mel(sr / 2), n_mels + 2))
+    out = np.empty((n_mels, len(bins)), np.float32)
+    for k in range(n_mels):
+        left, peak, right = corners[k:k + 3]
+        # a triangle of area one over (left, peak, right)
+        out[k] = np.interp(bins, [left, peak, right], [0.0, 2.0 / (right - left), 0.0], left=0.0, right=0.0)
+    return out
 
 
 def log_mel(samples: np.ndarray, pad_seconds: float | None = CHUNK_SECONDS,
@@ -136,11 +136,15 @@ def log_mel_job(df: DataFrame, key: str, samples: str, pad_seconds: float | None
 
 
 # ---- X7-X13: augmentation kernels ------------------------------------------
-def interp_resample(x: np.ndarray, n_out: int) -> np.ndarray:
-    if n_out <= 0:
-        return np.zeros(0, np.float32)
-    pos = np.linspace(0, max(len(x) - 1, 0), n_out)
-    return np.interp(pos, np.arange(len(x)), x).astype(np.float32)
+def stretched_to(x: np.ndarray, n_out: int) -> np.ndarray:
+    """``x`` read at ``n_out`` even steps from its first to its last sample: output i lies
+    i * (n - 1) / (n_out - 1) samples in, between its two neighbours."""
+    if n_out <= 0 or not len(x):
+        return np.zeros(max(n_out, 0), np.float32)
+    at = np.arange(n_out) * ((len(x) - 1) / max(n_out - 1, 1))
+    low = np.minimum(at.astype(np.int64), len(x) - 1)
+    high = np.minimum(low + 1, len(x) - 1)
+    return (x[low] + (x[high] - x[low]) * (at - low)).astype(np.float32)
 
 
 def add_noise_snr(x: np.ndarray, rng: np.random.Generator, lo: float = 5.0, hi: float = 20.0) -> np.ndarray:
@@ -152,9 +156,12 @@ def add_noise_snr(x: np.ndarray, rng: np.random.Generator, lo: float = 5.0, hi:
 
 
 def time_stretch(x: np.ndarray, rate: float, n_fft: int = 512, hop: int = 128) -> np.ndarray:
-    """Phase-vocoder time stretch (output length ~ len / rate)."""
-    if rate == 1.0 or len(x) < n_fft:
-        return interp_resample(x, int(round(len(x) / rate))) if rate != 1.0 else x.astype(np.float32)
+    """Phase-vocoder time stretch (output length ~ len / rate), by one method for every
+    length: the clip is framed with silence of one window before and behind it."""
+    if rate == 1.0 or not len(x):
+        return x.astype(np.float32)
+    n_out, lead = int(round(len(x) / rate)), n_fft
+    x = np.concatenate((np.zeros(lead), x, np.zeros(2 * n_fft)))
     win = np.hanning(n_fft + 1)[:-1]
     frames = 1 + (len(x) - n_fft) // hop
     idx = np.arange(n_fft)[None, :] + hop * np.arange(frames)[:, None]
@@ -172,14 +179,14 @@ def time_stretch(x: np.ndarray, rate: float, n_fft: int = 512, hop: int = 128) -
         dphi = np.angle(b) - np.angle(a) - omega
         dphi -= 2 * np.pi * np.round(dphi / (2 * np.pi))
         phase = phase + omega + dphi
-    n_out = int(round(len(x) / rate))
     y = np.zeros(n_fft + hop * (len(steps) - 1))
     norm = np.zeros_like(y)
     for t in range(len(steps)):
         y[t * hop:t * hop + n_fft] += np.fft.irfft(out[t], n=n_fft) * win
         norm[t * hop:t * hop + n_fft] += win ** 2
     y = y / np.where(norm > 1e-8, norm, 1.0)
-    return np.pad(y, (0, max(0, n_out - len(y))))[:n_out].astype(np.float32)
+    first = int(round(lead / rate))
+    return np.pad(y, (0, max(0, first + n_out - len(y))))[first:first + n_out].astype(np.float32)
 
 
 def pitch_shift(x: np.ndarray, semitones: float) -> np.ndarray:
@@ -187,7 +194,7 @@ def pitch_shift(x: np.ndarray, semitones: float) -> np.ndarray:
     if semitones == 0:
         return x.astype(np.float32)
     r = 2.0 ** (semitones / 12.0)
-    return interp_resample(time_stretch(x, 1.0 / r), len(x))
+    return stretched_to(time_stretch(x, 1.0 / r), len(x))
 
 
 def apply_impulse_response(x: np.ndarray, ir: np.ndarray) -> np.ndarray:

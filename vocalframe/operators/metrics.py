@@ -107,10 +107,9 @@ def severity_macro(per_speaker: DataFrame, dimension: DataFrame) -> DataFrame:
     """A7 + J4: per severity tier, mean WER/CER over its speakers, speaker count,
     sample sum; tiers in the dimension's order, unlisted tiers after, by name.
 
-    The dimension is one row per speaker (bounded by the speaker domain), so it
-    is broadcast. Speakers missing from it raise, as the reference's lookup does.
+    Whether the dimension is broadcast is left to its measured size. Speakers missing from it raise, as the reference's lookup does.
     """
-    j = per_speaker.join(F.broadcast(dimension), "speaker", "left")
+    j = per_speaker.join(dimension, "speaker", "left")
     j = j.withColumn("severity", F.coalesce(
         F.col("severity"),
         F.raise_error(F.concat(F.lit("speaker missing from severity map: "), F.col("speaker")))
@@ -137,10 +136,3 @@ def model_average(results: DataFrame, keys: Sequence[str] = ("target",)) -> Data
         F.count(F.when(done, F.lit(1))).alias("num_models"),
         F.array_sort(F.collect_set(F.when(done, F.col("num_samples")))).alias("num_samples_per_model"),
     )
-
-
-def throughput(results: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Runtime sum and samples per second."""
-    return results.groupBy(*keys).agg(
-        F.sum("runtime").alias("runtime"),
-        (F.sum("num_samples") / F.sum("runtime")).alias("samples_per_second"))

@@ -16,7 +16,8 @@ per-speaker window moves a hot speaker to one task. Instead we
 For a global ordinal the offset table has one row per bucket -- a proven
 bound -- and is broadcast. For grouped ordinals it is joined back, broadcast
 only when its size, measured at run time by adaptive execution, is small.
-Order keys must be non-null and, together with the group keys, unique.
+Group keys may be null (a group of its own). Order keys must be non-null and,
+together with the group keys, unique.
 """
 
 from __future__ import annotations
@@ -40,8 +41,9 @@ def _bucket(df: DataFrame, cols: Sequence[str], parts: int | None) -> Column:
     # bounded number of keys however many partitions or rows there are
     frac = min(1.0, 2.0 * target / max(rows, 1))
     sample = df.select(key.alias("k")).sample(False, frac, 17).limit(4 * target).collect()
-    ks = sorted(tuple(r["k"]) for r in sample)
-    bounds = sorted({ks[(i * len(ks)) // n] for i in range(1, n)}) if ks else []
+    rank = lambda t: tuple((x is not None, x) for x in t)  # noqa: E731  nulls first, as Spark sorts
+    ks = sorted((tuple(r["k"]) for r in sample), key=rank)
+    bounds = sorted({ks[(i * len(ks)) // n] for i in range(1, n)}, key=rank) if ks else []
     if not bounds:
         return F.lit(0)
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -90,5 +92,7 @@ def group_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     offsets = counts.select("_b", *keys, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     # AQE measures the offset table at run time and broadcasts it when small
     # (spark.sql.adaptive.autoBroadcastJoinThreshold); otherwise a sort-merge join.
-    out = local.join(offsets, ["_b", *keys], "inner")
+    offsets = offsets.withColumnsRenamed({c: f"_of_{c}" for c in ["_b", *keys]})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in ["_b", *keys]]     # a null group is a group
+    out = local.join(offsets, same, "inner").drop(*[f"_of_{c}" for c in ["_b", *keys]])
     return out.withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint")).drop("_b", "_local", "_off")

@@ -24,19 +24,28 @@ def pending_work(catalogue: DataFrame, stored: DataFrame, keys: Sequence[str]) -
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Field-level overlay -- a new non-null field replaces the stored one,
-    stored fields the new record lacks are kept, unmatched records of both sides
-    survive (full outer join + coalesce)."""
-    fields = [c for c in new.columns if c not in keys]
-    o = old.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in fields])
-    n = new.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in fields])
+    """Field-level overlay -- every field of a new record replaces the stored one, an
+    explicit null included; stored fields that new records do not have are kept;
+    unmatched records of both sides survive (full outer join)."""
+    stored = [c for c in old.columns if c not in keys]
+    fresh = [c for c in new.columns if c not in keys]
+    o = old.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in stored])
+    n = new.select(*keys, F.lit(True).alias("_new"), *[F.col(c).alias(f"_n_{c}") for c in fresh])
     j = o.join(n, list(keys), "full_outer")
-    return j.select(*keys, *[F.coalesce(f"_n_{c}", f"_o_{c}").alias(c) for c in fields])
+
+    def field(c: str) -> F.Column:
+        if c not in fresh:
+            return F.col(f"_o_{c}").alias(c)
+        if c not in stored:
+            return F.col(f"_n_{c}").alias(c)
+        return F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}")).alias(c)
+    return j.select(*keys, *[field(c) for c in [*stored, *[c for c in fresh if c not in stored]]])
 
 
 def protocol_hash(*cols: str) -> F.Column:
-    """Canonical protocol fingerprint (strings and integers only)."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256)
+    """Canonical protocol fingerprint: the hash of the fields as JSON, nulls kept, so
+    neither a separator in a value nor a null can make two protocols alike."""
+    return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
 
 
 def running_macro(per_fold: DataFrame, order: str = "fold_no") -> DataFrame:
@@ -114,6 +123,6 @@ def check_resume(stored: DataFrame, current: DataFrame, keys: Sequence[str], fin
     the current one (compares one row per run; raises naming the runs)."""
     j = stored.select(*keys, F.col(fingerprint).alias("_s")).join(
         current.select(*keys, F.col(fingerprint).alias("_c")), list(keys), "inner")
-    bad = j.where(F.col("_s") != F.col("_c")).select(*keys).limit(5).collect()
+    bad = j.where(F.col("_s") != F.col("_c")).select(*keys).collect()
     if bad:
         raise ValueError(f"stored results were produced with a different protocol: {[tuple(r) for r in bad]}")

@@ -54,9 +54,10 @@ def phrase_split(df: DataFrame, text: str, every: int, idx: str = "idx") -> Data
     The phrase table is numbered with a range-partitioned ordinal (no single-task
     window) and joined back on the text; a hot text is one row on the phrase side.
     """
-    phrases = df.groupBy(F.col(text).alias("_t")).agg(F.min(idx).alias("_first"))
+    keyed = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))   # a missing transcript reads as ''
+    phrases = keyed.groupBy("_t").agg(F.min(idx).alias("_first"))
     numbered = global_ordinal(phrases, ["_first"], name="phrase_no")
-    out = df.join(numbered.withColumnRenamed("_t", text), text, "inner")
+    out = keyed.join(numbered, "_t", "inner").drop("_t")
     return out.withColumn("split", F.when(F.col("phrase_no") % every == 0, "validation")
                           .otherwise("train")).drop("_first")
 

@@ -16,9 +16,10 @@ def mono(channels: Column) -> Column:
     """Channels x samples -> per-sample mean over channels."""
     n = F.size(F.element_at(channels, 1))
     k = F.size(channels)
-    return F.transform(F.sequence(F.lit(0), n - 1),
+    mean = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1),
                        lambda i: F.aggregate(channels, F.lit(0.0).cast("double"),
-                                             lambda acc, ch: acc + F.element_at(ch, i + 1)) / k)
+                                             lambda acc, ch: acc + F.get(ch, i)) / k)
+    return F.when(n > 0, mean).otherwise(F.array().cast("array<double>"))
 
 
 def resampled_length(n: Column, rate: Column, target: int = TARGET_RATE) -> Column:

@@ -12,6 +12,7 @@ from vocalframe.operators import audio, infer, splits
 from vocalframe.operators import waveform as X
 from vocalframe.plans.arrays import mel, wave
 from vocalframe.plans.registry import register
+from vocalframe.session import cut_lineage
 
 SEED = 42
 EPOCHS = 2
@@ -55,6 +56,7 @@ def batch_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     row map (U2/U3); a per-batch user metric from additive partials (U4)."""
     w = wave(spark, sf_dir).withColumn("mel", mel(F.col("samples")))
     w = infer.map_rows(w, lambda d: d.withColumn("mel", F.transform("mel", lambda r: F.reverse(r))))
-    p = infer.predict_batches(w, infer.toy_model, "mel", batch_size=8)
+    # written once: the metric below and the output both read it, the model runs once per row
+    p = cut_lineage(infer.predict_batches(w, infer.toy_model, "mel", batch_size=8).select("vec_id", "batch_id", "prediction"))
     per = infer.group_metric(p.select("batch_id", "prediction"), ["batch_id"], _prediction_length, ["chars", "rows"])
     return p.select("vec_id", "batch_id", "prediction").join(per, "batch_id")

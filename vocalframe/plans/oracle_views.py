@@ -44,7 +44,7 @@ def encoded(x: str, dictionary: str) -> str:
 
 
 LINES = """lines AS (
-  SELECT doc_id * 100000 + pos AS idx, doc_id, pos, source AS speaker, lang, line AS text
+  SELECT doc_id * 4294967296 + pos AS idx, doc_id, pos, source AS speaker, lang, line AS text
   FROM (SELECT doc_id, source, lang,
                unnest(string_split(text, chr(10))) AS line,
                unnest(range(len(string_split(text, chr(10))))) AS pos

@@ -12,6 +12,7 @@ from vocalframe.operators import metrics, runs
 from vocalframe.plans import oracle_views as V
 from vocalframe.plans.registry import register
 from vocalframe.plans.scoring import scored_lines
+from vocalframe.session import cut_lineage
 from vocalframe.sources import fixtures
 from vocalframe.sources.tables import table
 
@@ -24,8 +25,9 @@ KEEP_CHECKPOINTS = 2
 def model_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored results: one record per (model = source, target = language)."""
     rec = metrics.metric_record(scored_lines(spark, sf_dir), ["speaker", "lang"])
-    return rec.select(F.col("speaker").alias("model"), F.col("lang").alias("target"),
-                      "wer", "cer", "num_samples")
+    # a few rows per model; written once, so a report that reads them often scores the corpus once
+    return cut_lineage(rec.select(F.col("speaker").alias("model"), F.col("lang").alias("target"),
+                                  "wer", "cer", "num_samples"))
 
 
 _RES = V.with_views(V.SCORED) + f""",
@@ -93,17 +95,18 @@ def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("result_upsert", ("J7", "T13"), _RES + """,
-old AS (SELECT model, target, wer, cer, num_samples FROM res WHERE target IN ('en', 'fr')),
+old AS (SELECT model, target, wer, cer, num_samples, 'held-out-' || model AS fold_dir FROM res WHERE target IN ('en', 'fr')),
 new AS (SELECT model, target, CASE WHEN target = 'fr' THEN NULL ELSE round(wer / 2, 9) END AS wer,
                round(cer / 2, 9) AS cer, NULL::BIGINT AS num_samples FROM res WHERE target IN ('fr', 'de'))
 SELECT coalesce(new.model, old.model) AS model, coalesce(new.target, old.target) AS target,
-       coalesce(new.wer, old.wer) AS wer, coalesce(new.cer, old.cer) AS cer,
-       coalesce(new.num_samples, old.num_samples) AS num_samples
+       CASE WHEN new.model IS NULL THEN old.wer ELSE new.wer END AS wer,
+       CASE WHEN new.model IS NULL THEN old.cer ELSE new.cer END AS cer,
+       CASE WHEN new.model IS NULL THEN old.num_samples ELSE new.num_samples END AS num_samples, old.fold_dir AS fold_dir
 FROM old FULL OUTER JOIN new ON old.model = new.model AND old.target = new.target""")
 def result_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored report (en, fr) overlaid by a new partial one (fr, de)."""
+    """A stored report (en, fr) with a field of its own, overlaid by a new one (fr, de) with explicit nulls."""
     res = model_results(spark, sf_dir)
-    old = res.where(F.col("target").isin("en", "fr"))
+    old = res.where(F.col("target").isin("en", "fr")).withColumn("fold_dir", F.concat(F.lit("held-out-"), "model"))
     new = res.where(F.col("target").isin("fr", "de")).select(
         "model", "target",
         F.when(F.col("target") == "fr", F.lit(None).cast("double")).otherwise(F.round(F.col("wer") / 2, 9)).alias("wer"),
@@ -112,7 +115,7 @@ def result_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("resume_guard", ("J8", "T13"), """
-SELECT n_name AS run, sha256(concat_ws('|', 'loso', '30', n_regionkey::VARCHAR, n_name)) AS protocol_sha,
+SELECT n_name AS run, sha256('{"mode":"loso","max_s":30,"n_regionkey":' || n_regionkey || ',"source":' || to_json(n_name)::VARCHAR || '}') AS protocol_sha,
        (n_regionkey % 2 = 0) AS resumable FROM nation""")
 def resume_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored protocol fingerprint per run vs the current one; runs whose

@@ -89,7 +89,7 @@ def json_time_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
                            .otherwise(F.create_map().cast("map<string,string>")))
     targets = P.expand_targets(F.when(F.col("event_type") == "error", F.lit("both")).otherwise(F.lit("primary")))
     return ev.select(
-        "event_id", P.iso_utc(F.col("ts")).alias("ts_iso"), F.get_json_object(props, "$.k").alias("k"),
+        "event_id", P.iso_utc(F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))")).alias("ts_iso"), F.get_json_object(props, "$.k").alias("k"),
         F.element_at(overlay, F.lit("k")).alias("overlaid"),
         P.base_model(F.when(F.col("event_type") == "click", F.lit("override")), cfg).alias("base_model"),
         opts_txt.alias("options"), F.size(targets).cast("bigint").alias("n_targets"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,8 +55,8 @@ def apply_conf(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (tests, local runs) do we set a
-    fresh folder of our own.
+    A cluster names it; a missing setting is an error there. Only a local master may
+    leave it unset, and then gets a fresh folder of its own.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -65,6 +64,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="vocalframe-ckpt-")
     sc.setCheckpointDir(local)
     try:  # core configs may be read-only at run time; the context already has it
@@ -93,7 +94,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     # a few partitions per core even out rows of very different cost
     target = 4 * cores
     return df.repartition(target, *keys) if keys else df.repartition(target)
-
-
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)

@@ -7,8 +7,10 @@ non-atomic JSON writes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +25,21 @@ def _strip_scheme(c):
     return F.regexp_replace(c, "^file:", "")
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system's scheme, as Spark reports file paths."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def list_audio(spark: SparkSession, root: str, exts: Sequence[str] = AUDIO_EXTENSIONS) -> DataFrame:
     """Recursive scan, (path, audio_path relative to root), sorted by path.
     Only file names are read: the content column is pruned from the scan."""
-    root = root.rstrip("/")
+    root = _qualified(spark, root)
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
           .option("pathGlobFilter", "*.{" + ",".join(exts) + "}").load(root).select("path"))
     p = _strip_scheme(F.col("path"))
-    return df.select(p.alias("path"), F.regexp_replace(p, "^" + root + "/", "").alias("audio_path")).orderBy("path")
+    under = F.substring(F.col("path"), len(root) + 2, 1 << 30)   # by position: a root is no pattern
+    return df.select(p.alias("path"), under.alias("audio_path")).orderBy("path")
 
 
 def list_impulse_responses(spark: SparkSession, root: str) -> DataFrame:
@@ -55,7 +64,9 @@ def snapshot(spark: SparkSession, path: str, derive) -> DataFrame:
     """S3: reuse a saved table when present, else derive, save and reread."""
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent snapshot
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         derive().write.mode("errorifexists").parquet(path)
         return spark.read.parquet(path)
 
@@ -136,6 +147,13 @@ def shard(df: DataFrame, num_shards: int) -> DataFrame:
     return df.repartition(num_shards)
 
 
+def _fold_folders(spark: SparkSession, root: str) -> list[str]:
+    """Every ``held-out-*`` folder, also those without any file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root + "/held-out-*")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return [re.sub("^file:/*", "/", s.getPath().toString()) for s in found or [] if s.isDirectory()]
+
+
 def fold_catalogue(spark: SparkSession, method_dir: str, speakers: Sequence[str] | None = None) -> DataFrame:
     """S6 + T5: every ``held-out-<speaker>`` folder with a ``run_config.json``
     whose ``held_out_speaker`` equals the folder's speaker and with a non-empty
@@ -143,21 +161,29 @@ def fold_catalogue(spark: SparkSession, method_dir: str, speakers: Sequence[str]
     root = method_dir.rstrip("/")
     cfg = (spark.read.option("multiLine", True).json(f"{root}/held-out-*/run_config.json")
            .select("*", F.col("_metadata.file_path").alias("_file")))
+    fields = [c for c in cfg.columns if c != "_file"]
     cfg = cfg.select(F.regexp_extract(_strip_scheme(F.col("_file")), r"^(.*)/run_config\.json$", 1).alias("fold_dir"),
-                     F.col("held_out_speaker").alias("configured"), F.to_json(F.struct("*")).alias("run_config"))
+                     F.col("held_out_speaker").alias("configured"), F.to_json(F.struct(*fields)).alias("run_config"))
+    folders = _fold_folders(spark, root)                    # one entry per fold
+    read = {r["fold_dir"] for r in cfg.select("fold_dir").collect()}
+    if bare := sorted(f for f in folders if not any(f.endswith(x) or x.endswith(f) for x in read)):
+        raise ValueError(f"fold folders without run_config.json: {bare}")
     cfg = cfg.withColumn("speaker", fold_speaker(F.col("fold_dir")))
     models = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
               .load(root).select(_strip_scheme(F.col("path")).alias("p"))
               .where(F.col("p").contains("/final-model/"))
               .select(F.regexp_extract("p", r"^(.*)/final-model/", 1).alias("fold_dir")).distinct())
-    bad = cfg.where(F.col("speaker") != F.col("configured")).limit(1).collect()
+    bad = cfg.where(~F.col("speaker").eqNullSafe(F.col("configured"))).collect()
     if bad:
-        raise ValueError(f"fold folder {bad[0]['fold_dir']} is configured for {bad[0]['configured']}")
+        raise ValueError(f"fold folders configured for another speaker: {[(r['fold_dir'], r['configured']) for r in bad]}")
     out = cfg.join(models.withColumn("has_model", F.lit(True)), "fold_dir", "left")
-    missing = out.where(F.col("has_model").isNull()).select("fold_dir").limit(5).collect()
+    missing = out.where(F.col("has_model").isNull()).select("fold_dir").collect()
     if missing:
         raise ValueError(f"fold folders without a final model: {[r[0] for r in missing]}")
     if speakers:
+        absent = sorted(set(speakers) - {r["speaker"] for r in cfg.select("speaker").collect()})
+        if absent:
+            raise ValueError(f"no fold folder for the speakers {absent}")
         out = out.where(F.col("speaker").isin(list(speakers)))
     out = out.select("speaker", "fold_dir", F.concat(F.col("fold_dir"), F.lit("/final-model")).alias("model_dir"),
                      "run_config").orderBy("speaker")
@@ -168,7 +194,7 @@ def fold_catalogue(spark: SparkSession, method_dir: str, speakers: Sequence[str]
 
 def checkpoint_kinds(spark: SparkSession, root: str, model_folder: str = "final-model") -> DataFrame:
     """Per model folder: ``lora_adapter`` if an adapter config exists, else
-    ``bottleneck_adapter`` if its config names an adapter, else
+    ``bottleneck_adapter`` if its config has ``bottleneck_adapter_dim``, else
     ``whisper_finetuned`` if a config exists; other folders raise."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", "*.json").load(root)
@@ -178,7 +204,7 @@ def checkpoint_kinds(spark: SparkSession, root: str, model_folder: str = "final-
     files = files.where(F.col("model_dir").endswith("/" + model_folder))
     g = files.groupBy("model_dir").agg(
         F.bool_or(F.col("name") == "adapter_config.json").alias("_lora"),
-        F.bool_or((F.col("name") == "config.json") & F.col("c").contains("bottleneck")).alias("_bn"),
+        F.bool_or((F.col("name") == "config.json") & F.get_json_object("c", "$.bottleneck_adapter_dim").isNotNull()).alias("_bn"),
         F.bool_or(F.col("name") == "config.json").alias("_cfg"))
     kind = (F.when(F.col("_lora"), "lora_adapter").when(F.col("_bn"), "bottleneck_adapter")
             .when(F.col("_cfg"), "whisper_finetuned")

@@ -1,7 +1,7 @@
 """Views that map the driver test tables onto the reference's data model.
 
 * ``lines``: every non-blank line of every document is one utterance;
-  ``idx = doc_id * 100000 + line position``, ``speaker = source``.
+  ``idx = doc_id * 2^32 + line position``, ``speaker = source``.
 * ``predictions``: a deterministic hypothesis per utterance derived from its
   normalised words: every 7th word dropped, then every 5th remaining word
   replaced by ``zz`` (a token absent from the corpus).
@@ -19,7 +19,7 @@ from vocalframe.functions.text import normalized_words, with_normalized
 from vocalframe.session import spread
 from vocalframe.sources.tables import table
 
-LINE_STRIDE = 100000
+LINE_STRIDE = 1 << 32  # a text has fewer lines than this, being shorter than 2^31 bytes
 
 # The reference's severity tiers in their listed order.
 SEVERITY_ORDER = ["Normal", "Mild", "Moderate", "Mod-Sev", "Severe"]
