@@ -47,8 +47,8 @@ class Encoder:
     """Token ids of whole texts, by the tokenizers library.
 
     A byte-level tokenizer that splits texts into words first gives a word the same
-    ids everywhere, so the ids of a word are asked for once and kept in a table of
-    at most ``MEMO_WORDS`` words (it is emptied when full). Texts with characters
+    ids everywhere, so the ids of a word are asked for once and kept in a table of about
+    ``MEMO_WORDS`` words; a full table drops the words that fewest texts had. Texts with characters
     outside ``PLAIN``, or with a special token's string, are encoded whole, and so is
     every text when the tokenizer is of another kind.
     """
@@ -67,6 +67,24 @@ class Encoder:
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
         self.flat, self.stops = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self.seen = np.zeros(1 << 16, np.int32)                 # texts that had the word
+
+    def _shrink(self) -> None:
+        """Keep the words of most texts, at most half of the table."""
+        words, n = list(self.memo), len(self.memo)
+        seen = self.seen[:n]
+        least = max(2, int(np.partition(seen, n // 2)[n // 2]) + 1)
+        kept = np.flatnonzero(seen >= least)
+        first, lengths = self.stops[kept], self.stops[kept + 1] - self.stops[kept]
+        ends = np.cumsum(lengths)
+        flat = self.flat[np.repeat(first - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        self._forget()
+        size = 1 << max(16, int(len(kept) + 1).bit_length())
+        self.stops, self.seen = np.zeros(size, np.int64), np.zeros(size, np.int32)
+        self.flat = np.zeros(1 << max(16, int(len(flat)).bit_length()), np.uint32)
+        self.flat[:len(flat)] = flat
+        self.stops[1:len(kept) + 1] = ends
+        self.memo = {words[k]: i for i, k in enumerate(kept.tolist())}
 
     def _learn(self, words: list[str]) -> None:
         for i in range(0, len(words), 1000):
@@ -74,9 +92,10 @@ class Encoder:
             e = self.tok.encode(some, is_pretokenized=True, add_special_tokens=False)  # each word split on its own
             stops = self.stops[k] + np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
             while len(self.stops) <= k + len(some):
-                self.stops = np.resize(self.stops, 2 * len(self.stops))
+                self.stops = np.concatenate((self.stops, np.zeros_like(self.stops)))
+                self.seen = np.concatenate((self.seen, np.zeros_like(self.seen)))
             while len(self.flat) < stops[-1]:
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
+                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
             self.flat[self.stops[k]:stops[-1]] = e.ids
             self.stops[k + 1:k + 1 + len(some)] = stops
             self.memo.update(zip(some, range(k, k + len(some))))
@@ -86,11 +105,11 @@ class Encoder:
         plain = [self.by_word and PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
         split = [SPLIT.findall(t) if p else None for t, p in zip(texts, plain)]
         if len(self.memo) > MEMO_WORDS:
-            self._forget()
+            self._shrink()
         new = set().union(*filter(None, split)).difference(self.memo)
         if new:
             self._learn(list(new))
-        flat, ends = self.flat, self.stops
+        flat, ends, memo = self.flat, self.stops, self.memo
         out, lengths = [], np.zeros(len(texts), np.int64)
         memo = self.memo
         for i, (t, s) in enumerate(zip(texts, split)):
@@ -100,6 +119,7 @@ class Encoder:
                 ids = np.zeros(0, np.uint32)
             else:
                 at = np.fromiter(map(memo.__getitem__, s), np.int64, len(s))
+                self.seen[at] += 1
                 first, n = ends[at], ends[at + 1] - ends[at]
                 total = int(n.sum())
                 ids = flat[np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)]
