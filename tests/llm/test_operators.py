@@ -83,6 +83,26 @@ def test_jaccard_join_finds_the_brute_force_classes(spark, monkeypatch):
     assert got[0].n_links == 0 and got[3].n_copies == 3
 
 
+@pytest.mark.parametrize("link_block, bits", [(1024, 1 << 16), (7, 64)])
+def test_jaccard_join_counts_every_link(spark, monkeypatch, link_block, bits):
+    monkeypatch.setattr(ngram_jaccard, "SMALL", 6)
+    monkeypatch.setattr(ngram_jaccard, "LINK_BLOCK", link_block)
+    monkeypatch.setattr(ngram_jaccard, "BITS", bits)
+    rng = np.random.default_rng(6)
+    texts = [*ODD, prose(4, 40), prose(4, 39)]
+    for base in (prose(11, 150).split(), prose(12, 90).split()):
+        for k in range(30):
+            w = list(base)
+            for at in rng.choice(len(w), rng.integers(0, 4), replace=False):
+                w[at] = f"edit{at}x{rng.integers(0, 3)}"
+            texts.append(" ".join(w))
+    texts = list(dict.fromkeys(texts))
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for t in texts]
+    want = [sum(i != j and bool(a) and 5 * len(a & b) >= 4 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = {r.doc_id: r.n_links for r in ngram_jaccard.jaccard_join(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want and max(want) > 20
+
+
 def test_jaccard_join_repeats_and_empty(spark):
     d = frame(spark, ["a b c d e f", "a b c d e f"])
     assert ngram_jaccard.one_per_class(d.union(d)).count() == 1

@@ -19,14 +19,18 @@ linked to nothing.
 6. The rest of the large buckets: where members of a bucket are still in different
    components, every pair across components is compared in blocks of ``BLOCK``
    members, again by steps 4 and 5, and only links that join components are
-   returned. So members of one large bucket are linked through others rather than
-   all to each other, while no link that would join two classes is lost.
+   returned, so no link that would join two classes is lost.
 7. Classes are the connected components of the links.
+8. Links are counted. Every link is inside a class. In a class without members of a
+   large bucket all links are known from step 5; in the others every pair of texts is
+   compared by steps 4 and 5 in blocks of ``LINK_BLOCK`` members, and a block task
+   returns each member's number of links, not the pairs.
 
 Scale: texts are shuffled only for documents with a candidate; hubs are dealt over
 several tasks, a task streams one hub text and one member at a time, and a block
 task holds two blocks. The rows of every step grow with the members of the buckets,
-not with their pairs. Nothing but row counts and loop conditions is collected.
+not with their pairs; a class of n texts that are counted in blocks has n / LINK_BLOCK
+rows a text, and its n * n / 2 comparisons are dealt over the block tasks. Nothing but row counts and loop conditions is collected.
 
 Nulls and odd input: null and empty texts are classes of their own; repeated rows are
 copies; null ids are allowed (a class of null ids has a null class_id); an empty
@@ -53,6 +57,9 @@ VALUES = BANDS * ROWS
 STEP = 16
 SMALL = 48
 BLOCK = 512
+LINK_BLOCK = 1024       # members of a block in which links are counted,
+LINK_WORDS = 1 << 21    # or as many words
+BITS = 1 << 16          # shingles that are compared at a time
 BROADCAST_IDS = 200_000
 HUB_TASK = 200          # members that one task compares with a hub
 _rng = np.random.default_rng(20240229)
@@ -282,7 +289,7 @@ def rest_links(members: DataFrame, comp: DataFrame, reps: DataFrame, texts: Data
     def compare(key: tuple, group: list[tuple]) -> list[tuple[int, int, float]]:
         bucket, i, j = key
         own, uid, comps, sig, bands, sets = zip(*group)
-        sig, bands, own = np.stack(sig), np.stack(bands), np.array(own)
+        sig, bands, own = signatures(sig), np.array(bands, np.int64), np.array(own)
         forest, out = Forest(), []
         roots = np.array(comps)
         for x in range(len(uid) - 1):
@@ -300,59 +307,136 @@ def rest_links(members: DataFrame, comp: DataFrame, reps: DataFrame, texts: Data
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            got = compare(key, group) if len(group) > 1 else []
-            if got:
+        for key, group in groups_of(batches, 3, 8):
+            if got := compare(key, group):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got)], ["a", "b", "jaccard"])
 
-        for batch in batches:
-            for some in slices(batch, 8):
-                s, ptr = shingles_of(words_of(some.column(8)))
-                cols = [some.column(k).to_pylist() for k in range(8)]
-                for r in range(some.num_rows):
-                    if (cols[0][r], cols[1][r], cols[2][r]) != key:
-                        yield from flush()
-                        key, group = (cols[0][r], cols[1][r], cols[2][r]), []
-                    group.append((cols[3][r], cols[4][r], cols[5][r], np.frombuffer(cols[6][r], np.uint8),
-                                  np.array(cols[7][r], np.int64), np.unique(s[ptr[r]:ptr[r + 1]])))
-        yield from flush()
-
     return dealt.mapInArrow(run, "a bigint, b bigint, jaccard double")
 
 
-def similar_links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, threshold: float, tolerance: float) -> DataFrame:
-    """(a, b, jaccard) of the links between representatives."""
+def signatures(values: tuple[bytes, ...]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), VALUES)
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: int, text: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with equal first ``keys`` columns: the key, and per row the values of the
+    columns up to ``text`` and the sorted distinct shingles of the text."""
+    key, group = None, []
+    for batch in batches:
+        for some in slices(batch, text):
+            s, ptr = shingles_of(words_of(some.column(text)))
+            cols = [some.column(k).to_pylist() for k in range(text)]
+            for r in range(some.num_rows):
+                row = tuple(c[r] for c in cols)
+                if row[:keys] != key:
+                    if group:
+                        yield key, group
+                    key, group = row[:keys], []
+                group.append((*row[keys:], np.unique(s[ptr[r]:ptr[r + 1]])))
+    if group:
+        yield key, group
+
+
+def common(sets: list[np.ndarray], pairs: list[tuple[int, np.ndarray]]) -> list[np.ndarray]:
+    """For each (x, others): the number of shingles that set x has in common with each other one."""
+    kinds, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    place = np.cumsum(times > 1) - 1                     # a shingle of one set is common to none
+    row, place = row[times[at] > 1], place[at[times[at] > 1]]
+    out = [np.zeros(len(others), np.int64) for _, others in pairs]
+    for low in range(0, int((times > 1).sum()), BITS):
+        here = (place >= low) & (place < low + BITS)
+        r, c = row[here], place[here] - low
+        bits = np.zeros((len(sets), (int(c.max()) >> 6) + 1), np.uint64)
+        np.bitwise_or.at(bits, (r, c >> 6), np.uint64(1) << (c & 63).astype(np.uint64))
+        for k, (x, others) in enumerate(pairs):
+            if len(others):
+                out[k] += np.bitwise_count(bits[others] & bits[x]).sum(1, dtype=np.int64)
+    return out
+
+
+def link_counts(hot: DataFrame, comp: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float,
+                tolerance: float) -> DataFrame:
+    """(uid, n_links) of every text in the components ``hot``: all its links, from all pairs of
+    the component, in groups of two blocks as in ``rest_links``."""
+    m = keep(comp.join(hot, "component").select("component", F.col("node").alias("uid"))
+             .join(reps.select("uid", "n_words"), "uid").select("component", "uid", "n_words"))
+    sizes = keep(m.groupBy("component").agg(F.ceil(F.greatest(
+        F.count(F.lit(1)) / LINK_BLOCK, F.sum("n_words") / LINK_WORDS)).alias("blocks")))
+    own = F.pmod(F.xxhash64("uid"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
+                        lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    rows = (m.join(sizes, "component").join(reps.select("uid", "sig"), "uid").join(texts.dropDuplicates(["uid"]), "uid")
+            .select("component", "uid", own.alias("own"), F.explode(pairs).alias("p"), "sig", "text"))
+    dealt = rows.select("component", "p.i", "p.j", "own", "uid", "sig", "text") \
+        .repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "own")
+    steps = least_matches(threshold, tolerance)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), group in groups_of(batches, 3, 6):
+            own, uid, sig, sets = zip(*group)
+            sig, own, uid, size = signatures(sig), np.array(own), np.array(uid), np.array([len(x) for x in sets])
+            split = int(np.searchsorted(own, j)) if i < j else len(own)
+            pairs = []
+            for x in range(split):
+                other = np.arange(split if i < j else x + 1, len(own))
+                if len(other):
+                    pairs.append((x, other[surviving(sig[x:x + 1], sig[other], steps)]))
+            n = np.zeros(len(own), np.int64)
+            for (x, other), both in zip(pairs, common(sets, pairs)):
+                linked = other[both >= (threshold - 1e-12) * (size[other] + size[x] - both)]
+                n[linked] += 1
+                n[x] += len(linked)
+            if n.any():
+                yield pa.RecordBatch.from_arrays([pa.array(uid[n > 0]), pa.array(n[n > 0])], ["uid", "n"])
+
+    return dealt.mapInArrow(run, "uid bigint, n bigint").groupBy("uid").agg(F.sum("n").alias("n_links"))
+
+
+def similar_links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, threshold: float,
+                  tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a, b, jaccard) of links that join the representatives of each class, the uids in large
+    buckets, and (uid, text) of those and of the links. Without large buckets, all links."""
     rows = reps.select("uid", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("leader")).where("n > 1")
     members = keep(rows.join(sizes, "bucket").select("bucket", "n", "leader", "uid"))
     alive = keep(prune(candidates(members), reps, threshold, tolerance))
-    large = members.where(F.col("n") > SMALL)
-    texts = texts_of(alive.select(F.col("a").alias("uid")).union(alive.select("b")).union(large.select("uid")), reps, docs, doc_id, text)
+    large = members.where(F.col("n") > SMALL).select("uid").distinct()
+    texts = texts_of(alive.select(F.col("a").alias("uid")).union(alive.select("b")).union(large), reps, docs, doc_id, text)
     links = keep(verify(alive, texts).where(F.col("jaccard") >= threshold - 1e-12))
     if large.limit(1).count() == 0:
-        return links
+        return links, large, texts
     more = rest_links(members, connected_components(links, "a", "b"), reps, texts, threshold, tolerance)
-    return links.unionByName(more).dropDuplicates(["a", "b"])
+    return links.unionByName(more).dropDuplicates(["a", "b"]), large, texts
 
 
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, tolerance: float = 1e-6,
+                 count_links: bool = True) -> DataFrame:
     """One row per document: doc_id, thash (xxhash64 of the text), class_id (the least id of its
     class), rep_id (the id of the text's representative), n_copies (documents with the same words),
-    n_links (links of the representative to other texts), first (one row of each class)."""
+    n_links (links of the representative to other texts; null without ``count_links``), first (one
+    row of each class)."""
     s = sketch(docs, doc_id, text)
     classes = s.where("n_words > 0").groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
-    reps = keep(s.join(classes.select(F.col("rep").alias("uid")), "uid").select("uid", "doc_id", "thash", "bands", "sig"))
-    links = keep(similar_links(docs, reps, doc_id, text, threshold, tolerance))
+    reps = keep(s.join(classes.select(F.col("rep").alias("uid")), "uid").select("uid", "doc_id", "thash", "n_words", "bands", "sig"))
+    links, large, texts = similar_links(docs, reps, doc_id, text, threshold, tolerance)
+    links = keep(links)
     comp = connected_components(links, "a", "b")
-    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
+    if count_links:
+        degree = links.select(F.col("a").alias("uid")).union(links.select("b")).groupBy("uid").agg(F.count(F.lit(1)).alias("n_links"))
+        hot = keep(comp.join(large.withColumnRenamed("uid", "node"), "node").select("component").distinct())
+        if hot.limit(1).count():
+            counted = keep(link_counts(hot, comp, reps, texts, threshold, tolerance))
+            degree = degree.join(counted, "uid", "left_anti").unionByName(counted)
+        found = F.coalesce("n_links", F.lit(0))
+    else:
+        degree, found = reps.select("uid"), F.lit(None).cast("bigint")
     tagged = (s.select("uid", "doc_id", "thash", "n_words", "k1", "k2").join(classes, ["k1", "k2"], "left")
               .withColumn("rep", F.coalesce("rep", "uid")))
     # the representative has the least uid of its copies, so it carries the class on
     info = (tagged.where("uid = rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-            .join(degree.withColumnRenamed("a", "rep"), "rep", "left")
-            .select("rep", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            .join(degree.withColumnRenamed("uid", "rep"), "rep", "left")
+            .select("rep", F.coalesce("component", "rep").alias("component"), found.alias("n_links"),
                     F.col("doc_id").alias("rep_id")))
     rows = keep(tagged.select("uid", "doc_id", "thash", "rep", F.coalesce("n_copies", F.lit(1)).alias("n_copies")).join(info, "rep"))
     heads = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.min("uid").alias("head"))
@@ -363,7 +447,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
 def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class. The kept ids are broadcast if they are at most
     ``BROADCAST_IDS``; else texts are shuffled once."""
-    out = keep(jaccard_join(docs, doc_id, text, **options))
+    out = keep(jaccard_join(docs, doc_id, text, count_links=False, **options))
     first = out.where("first").select(F.col("doc_id").alias("_kid"), F.col("thash").alias("_khash")).distinct()
     if first.count() <= BROADCAST_IDS:
         first = F.broadcast(first)
