@@ -268,6 +268,22 @@ def test_language_identification(spark):
     assert langid.identify(frame(spark, ["abc"]), none).first().language.lang == "und"
 
 
+def test_language_models_hold_every_four_gram(spark):
+    rng = np.random.default_rng(3)
+    han = ["".join(map(chr, 0x4E00 + rng.integers(0, 20000, 1500))) for _ in range(2200)]      # 3.3 million, most of them once
+    rare = ["quick brown foxes", "jumping wizard"]
+    train = frame(spark, han, "zh").union(frame(spark, rare, "xx")).union(frame(spark, [prose(i, 50) for i in range(5)], "aa"))
+    scorer = langid.fit(train)
+    assert scorer.names == ["aa", "xx", "zh"]
+    for name, texts in (("xx", rare), ("zh", han)):
+        keys, n = np.unique(langid.four_grams([x for t in texts for x in words(t)])[0], return_counts=True)
+        brute = langid.KneserNey.fit(keys, n)
+        ask = np.concatenate((keys[::97], langid.four_grams(["foxy", "zzz", "一丁丂七"])[0], keys[:50] ^ np.uint64(1)))
+        model = scorer.models[scorer.names.index(name)]
+        assert np.allclose(model.log_prob(ask), brute.log_prob(ask), atol=1e-4)
+    assert langid.identify(frame(spark, ["brown wizard"]), scorer).first().language.lang == "xx"
+
+
 # operator 8
 
 def test_sainte_lague_matches_single_seats():

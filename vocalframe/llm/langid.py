@@ -6,7 +6,7 @@ characters of history. Per language, the counts of all four-grams of the trainin
 texts give the top order; lower orders use continuation counts (distinct left
 neighbours), all with absolute discounts, interpolated down to a uniform floor.
 The finished probabilities and back-off weights are stored per language in sorted
-64-bit hash arrays and found by binary search.
+arrays and found by binary search.
 
 A text is scored by its length-normalised cross-entropy (nats per character) in
 every model and gets the language with the lowest, ties to the first in code point
@@ -17,10 +17,12 @@ language is ``und``.
 
 Scale: counting runs over all training texts. Each Arrow batch is reduced to its
 distinct words before its four-grams are taken, and only (language, four-gram,
-count) sums are shuffled. The model must fit one machine: when there are more than
-``max_grams`` four-grams, the rarest are dropped by a count limit found from the
-histogram of counts. The calibration scores about ``calibration_rows`` training texts,
-chosen by a hash, in tasks.
+count) sums are shuffled. Continuation counts, probabilities and back-offs are groupings
+and joins of all four-grams; tasks write them as sorted arrays to the shared folder, and
+scoring tasks map those files into memory (files of a store that is not a local path are
+copied to the worker's temporary folder first). The driver holds a few rows per language
+and file. The calibration scores about ``calibration_rows`` training texts, chosen by a
+hash, in tasks.
 
 Nulls and odd input: a null text is ``und`` with score 0; training rows with a null
 language or text teach nothing; without any training text everything is ``und``;
@@ -30,15 +32,19 @@ Columns of the documents are kept and the result is one struct.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocalframe.llm.store import keep, spread
+from vocalframe.llm.files import is_local, open_fs
+from vocalframe.llm.store import keep, shared_folder, spread
 from vocalframe.llm.tokens import mix64, slices, words_of
 
 START, END = 1, 2
@@ -138,17 +144,23 @@ class KneserNey:
             contexts.append((c[0], np.log(c[1]).astype(np.float32)))
         return KneserNey(grams, contexts, float(np.log(floor)))
 
+    def find(self, context: bool, k: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values of the keys that are stored, which are) among the k-grams or their contexts."""
+        table, values = (self.contexts if context else self.grams)[k - 1]
+        at, hit = _find(table, keys, 16 * context + k)
+        return values[at[hit]], hit
+
     def log_prob(self, packed: np.ndarray) -> np.ndarray:
         """Natural log probability of each four-gram's last character after the other three."""
         out = np.zeros(len(packed))
         todo = np.arange(len(packed))
         for k in (4, 3, 2, 1):
             keys = packed[todo] & np.uint64((1 << 16 * k) - 1) if k < 4 else packed[todo]
-            at, hit = _find(self.grams[k - 1][0], keys, k)
-            out[todo[hit]] += self.grams[k - 1][1][at[hit]]
+            values, hit = self.find(False, k, keys)
+            out[todo[hit]] += values
             todo, keys = todo[~hit], keys[~hit]
-            at, hit = _find(self.contexts[k - 1][0], keys >> np.uint64(16), 16 + k)
-            out[todo[hit]] += self.contexts[k - 1][1][at[hit]]
+            values, hit = self.find(True, k, keys >> np.uint64(16))
+            out[todo[hit]] += values
         out[todo] += self.floor
         return out
 
@@ -177,6 +189,48 @@ def _lookup(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, tag: int) ->
     return np.where(hit, table[1][at], 0.0)
 
 
+_maps: dict[str, np.ndarray] = {}
+
+
+def _mapped(uri: str, kind: str) -> np.ndarray:
+    """A file of numbers, mapped into memory once per process."""
+    if uri not in _maps:
+        filesystem, path = open_fs(uri)
+        if not is_local(filesystem):
+            with filesystem.open_input_stream(path, compression=None) as src, tempfile.NamedTemporaryFile(delete=False) as out:
+                while piece := src.read(1 << 22):
+                    out.write(piece)
+            path = out.name
+        _maps[uri] = np.memmap(path, kind, "r")
+        if not is_local(filesystem):
+            os.unlink(path)
+    return _maps[uri]
+
+
+@dataclass
+class Stored(KneserNey):
+    """A language whose arrays are in files: per table (the order, plus 16 for contexts) the
+    pieces (first key, file, first entry, entries), sorted by their keys as signed numbers."""
+
+    pieces: dict[int, list[tuple[int, str, int, int]]] = field(default_factory=dict)
+
+    def find(self, context: bool, k: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pieces = self.pieces.get(16 * context + k, [])
+        keys = keys.view(np.int64)
+        values, hit = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        which = np.searchsorted(np.array([p[0] for p in pieces], np.int64), keys, "right") - 1
+        for i in np.unique(which[which >= 0]).tolist():
+            _, uri, start, n = pieces[i]
+            at = np.flatnonzero(which == i)
+            table = _mapped(f"{uri}.keys", "<i8")[start:start + n]
+            place = np.searchsorted(table, keys[at])
+            place[place == n] = 0
+            same = table[place] == keys[at]
+            values[at[same]] = _mapped(f"{uri}.values", "<f4")[start:start + n][place[same]]
+            hit[at[same]] = True
+        return values[hit], hit
+
+
 class Scorer:
     """All models, with a bounded memory of the words scored last in this worker."""
 
@@ -234,23 +288,80 @@ class Scorer:
         return -sums[:, :-2] / np.maximum(positions, 1)[:, None], positions, sums[:, -1]
 
 
-def fit(train: DataFrame, lang: str = "lang", text: str = "text", max_grams: int = 3_000_000,
-        calibration_rows: int = 4000, slack: float = 1.25, margin: float = 0.75) -> Scorer:
+def estimate(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``KneserNey.fit`` of all languages at once, from (lang, gram, n): (lang, kind, key, value) of
+    every table of ``Stored``, and (lang, floor)."""
+    levels = {4: grams}
+    for k in (3, 2, 1):                                  # continuation counts: distinct left neighbours
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1))
+        levels[k] = keep(levels[k + 1].groupBy("lang", suffix.alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    floors = keep(levels[1].groupBy("lang").agg((1.0 / (F.count(F.lit(1)) + 1)).alias("floor")))
+    below, out = None, None
+    for k in (1, 2, 3, 4):
+        one, two = (F.sum((F.col("n") == i).cast("double")) for i in (1, 2))
+        d = F.when(one > 0, F.least(F.lit(0.95), F.greatest(F.lit(0.1), one / (one + 2 * two)))).otherwise(0.5)
+        discounts = levels[k].groupBy("lang").agg(d.alias("d"))                          # a row per language
+        rows = levels[k].withColumn("ctx", F.shiftrightunsigned("gram", 16))
+        contexts = rows.groupBy("lang", "ctx").agg(F.sum("n").cast("double").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        contexts = keep(contexts.join(F.broadcast(discounts), "lang")
+                        .select("lang", "ctx", "total", "d", (F.col("d") * F.col("kinds") / F.col("total")).alias("weight")))
+        if k == 1:                                       # one context, the empty one
+            rows = rows.join(F.broadcast(contexts), ["lang", "ctx"]).join(F.broadcast(floors.withColumnRenamed("floor", "low")), "lang")
+        else:
+            rows = (rows.join(contexts, ["lang", "ctx"])
+                    .withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1)))
+                    .join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("low")), ["lang", "suffix"]))
+        p = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("low")
+        below = keep(rows.select("lang", "gram", p.alias("p")))
+        for kind, key, value, made in ((k, "gram", "p", below), (16 + k, "ctx", "weight", contexts)):
+            some = made.select("lang", F.lit(kind).alias("kind"), F.col(key).alias("key"), F.log(value).cast("float").alias("value"))
+            out = some if out is None else out.unionByName(some)
+    return out, floors
+
+
+def store_models(tables: DataFrame, floors: DataFrame) -> dict[str, Stored]:
+    """Write the tables as sorted arrays; a model per language knows its pieces of the files."""
+    folder = shared_folder(tables.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uri = f"{folder}/{uuid.uuid4().hex}"             # of this attempt; the manifest names those that count
+        streams, start, pieces = [], 0, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if not streams:
+                filesystem, path = open_fs(uri)
+                filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                streams = [filesystem.open_output_stream(f"{path}.{x}", compression=None) for x in ("keys", "values")]
+            keys, langs, kinds = batch.column(2).to_numpy(), batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            streams[0].write(keys.astype("<i8").tobytes())
+            streams[1].write(batch.column(3).to_numpy().astype("<f4").tobytes())
+            cuts = [0, *[i for i in range(1, len(keys)) if kinds[i] != kinds[i - 1] or langs[i] != langs[i - 1]], len(keys)]
+            for x, y in zip(cuts, cuts[1:]):
+                if pieces and pieces[-1][:2] == [langs[x], kinds[x]]:
+                    pieces[-1][5] += y - x
+                else:
+                    pieces.append([langs[x], kinds[x], int(keys[x]), uri, start + x, y - x])
+            start += len(keys)
+        for stream in streams:
+            stream.close()
+        if pieces:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*pieces), (
+                pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["lang", "kind", "first", "uri", "start", "n"])
+
+    ordered = tables.repartitionByRange("lang", "kind", "key").sortWithinPartitions("lang", "kind", "key")
+    manifest = ordered.mapInArrow(run, "lang string, kind int, first bigint, uri string, start bigint, n bigint").collect()
+    models = {r["lang"]: Stored([], [], float(np.log(r["floor"]))) for r in floors.collect()}
+    for r in sorted(manifest, key=lambda r: r["first"]):
+        models[r["lang"]].pieces.setdefault(r["kind"], []).append((r["first"], r["uri"], r["start"], r["n"]))
+    return models
+
+
+def fit(train: DataFrame, lang: str = "lang", text: str = "text", calibration_rows: int = 4000, slack: float = 1.25,
+        margin: float = 0.75) -> Scorer:
     """Train on every row of ``train``; the limit of a language is ``slack`` times the
     99.9th percentile of its calibration texts' cross-entropy, plus ``margin`` nats."""
-    grams = keep(count_grams(train, lang, text))
-    by_count = grams.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()    # at most 1000 rows
-    least, held = 1, sum(r["count"] for r in by_count)
-    for r in sorted(by_count, key=lambda r: r["n"]):
-        if held <= max_grams:
-            break
-        held, least = held - r["count"], r["n"] + 1
-    names = sorted(r["lang"] for r in grams.groupBy("lang").count().collect())          # a row per language
-    models = {}
-    for name in names:
-        own = grams.where((F.col("lang") == name) & (F.col("n") >= least)).select("gram", "n").toPandas().sort_values("gram")
-        if len(own):
-            models[name] = KneserNey.fit(own["gram"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy())
+    models = store_models(*estimate(keep(count_grams(train, lang, text))))
     scorer = Scorer(models)
     if models:
         rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
