@@ -284,6 +284,22 @@ def test_language_models_hold_every_four_gram(spark):
     assert langid.identify(frame(spark, ["brown wizard"]), scorer).first().language.lang == "xx"
 
 
+def test_language_limits_cover_all_training_rows(spark):
+    rng = np.random.default_rng(8)
+    common = [prose(i, 4) for i in range(12_500)]
+    rare = {f"r{k}": [" ".join("".join(rng.choice(list("qrstuvwx"), 5)) for _ in range(6))] for k in range(4)}
+    train = frame(spark, common, "aa")
+    for name, texts in {**rare, "c1": common[:1], "c2": common[:1]}.items():        # the text of "c2" gets "c1"
+        train = train.union(frame(spark, texts, name))
+    scorer = langid.fit(train)
+    by = dict(zip(scorer.names, scorer.models))
+    assert all(np.isfinite(m.limit) for m in by.values()) and by["c1"].limit == by["c2"].limit
+    for name, texts in {"aa": common, **rare}.items():
+        x, _, _ = scorer.score(pa.array(texts))
+        own = x[np.argmin(x, 1) == scorer.names.index(name), scorer.names.index(name)]
+        assert abs(by[name].limit - (1.25 * np.percentile(own, 99.9) + 0.75)) < 2e-4
+
+
 # operator 8
 
 def test_sainte_lague_matches_single_seats():

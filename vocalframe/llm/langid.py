@@ -21,8 +21,8 @@ count) sums are shuffled. Continuation counts, probabilities and back-offs are g
 and joins of all four-grams; tasks write them as sorted arrays to the shared folder, and
 scoring tasks map those files into memory (files of a store that is not a local path are
 copied to the worker's temporary folder first). The driver holds a few rows per language
-and file. The calibration scores about ``calibration_rows`` training texts, chosen by a
-hash, in tasks.
+and file. The limits come from all training texts: tasks score them, and a histogram of
+cross-entropies per language (steps of 0.0001 nats) gives the percentile.
 
 Nulls and odd input: a null text is ``und`` with score 0; training rows with a null
 language or text teach nothing; without any training text everything is ``und``;
@@ -357,20 +357,38 @@ def store_models(tables: DataFrame, floors: DataFrame) -> dict[str, Stored]:
     return models
 
 
-def fit(train: DataFrame, lang: str = "lang", text: str = "text", calibration_rows: int = 4000, slack: float = 1.25,
-        margin: float = 0.75) -> Scorer:
+def calibrate(rows: DataFrame, scorer: Scorer, part: float) -> dict[str, float]:
+    """The percentile ``part`` of the cross-entropies of the (lang, text) rows in their own language's
+    model, over the rows that get their own language; over all its rows if a language has none."""
+    cast = rows.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = cast.value
+        place = {name: i for i, name in enumerate(s.names)}
+        for batch in batches:
+            for some in slices(batch, 1):
+                x, _, letters = s.score(some.column(1))
+                own = np.array([place.get(name, -1) for name in some.column(0).to_pylist()])
+                at = np.flatnonzero((letters > 0) & (own >= 0))
+                value = np.round(x[at, own[at]], 4)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(at)), pa.array(np.argmin(x[at], 1) == own[at]), pa.array(value)],
+                                                 ["lang", "right", "value"])
+
+    counts = (spread(rows).mapInArrow(run, "lang string, right boolean, value double")
+              .groupBy("lang", "right", "value").agg(F.count(F.lit(1)).alias("n")))
+    found = counts.groupBy("lang", "right").agg(F.percentile("value", F.lit(part), F.col("n")).alias("q")).collect()     # two rows a language at most
+    return {r["lang"]: r["q"] for r in sorted(found, key=lambda r: r["right"])}
+
+
+def fit(train: DataFrame, lang: str = "lang", text: str = "text", slack: float = 1.25, margin: float = 0.75) -> Scorer:
     """Train on every row of ``train``; the limit of a language is ``slack`` times the
-    99.9th percentile of its calibration texts' cross-entropy, plus ``margin`` nats."""
+    99.9th percentile of its training texts' cross-entropy (``calibrate``), plus ``margin`` nats."""
     models = store_models(*estimate(keep(count_grams(train, lang, text))))
     scorer = Scorer(models)
     if models:
         rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-        every = max(1, rows.count() // calibration_rows)
-        sample = identify(rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(every)) == 0), scorer)
-        limits = (sample.where("language.cross_entropy is not null and language.lang = lang").groupBy("lang")
-                  .agg(F.percentile("language.cross_entropy", 0.999).alias("q")).collect())
-        for r in limits:
-            scorer.models[scorer.names.index(r["lang"])].limit = slack * r["q"] + margin
+        for name, q in calibrate(rows, scorer, 0.999).items():
+            models[name].limit = slack * q + margin
     return scorer
 
 
