@@ -156,3 +156,28 @@ def test_split_snapshot_and_json_sink(spark):
     files.write_json(df, f"{d}/j")
     files.write_json(df.limit(1), f"{d}/j")  # replaced on success
     assert spark.read.json(f"{d}/j").count() == 1
+
+
+def test_augmentation_draws_from_all_responses(spark):
+    rows = spark.createDataFrame([(i, [0.5, -0.25, 0.125, 0.0], 8000, 1000 + i, 0) for i in range(400)],
+                                 "id bigint, s array<float>, r int, seed bigint, epoch int")
+    pulses = [[1.0, 0.1 * k] for k in range(20)]
+    irs = spark.createDataFrame([(100 - k, p) for k, p in enumerate(pulses)], "k bigint, x array<float>")
+    drawn = audio.with_response(rows, "seed", irs, "k", "x")
+    got = {r.id: r.ir for r in drawn.collect()}
+    assert len(got) == 400 and len({tuple(v) for v in got.values()}) == 20
+    out = {r.key: r.samples for r in audio.augment_job(drawn, "id", "s", "r", "seed", "epoch", "ir").collect()}
+    for i in range(400):
+        want = audio.augment_one(np.array([0.5, -0.25, 0.125, 0.0], np.float32), 8000, 1000 + i, [np.array(got[i], np.float32)])
+        assert np.array_equal(np.float32(out[i]), want)
+    assert {tuple(r.ir or ()) for r in audio.with_response(rows, "seed", irs.where("false"), "k", "x").collect()} == {()}
+
+
+def test_augmented_waveforms_depend_on_every_response(spark, monkeypatch):
+    from vocalframe.plans import jobs
+    seen = []
+    real = audio.augment_job
+    monkeypatch.setattr(audio, "augment_job", lambda df, *a: seen.append(df) or real(df, *a))
+    n = jobs.augmented_waveforms(spark, "/root/testdata/sf0.001").count()
+    waves = jobs.wave(spark, "/root/testdata/sf0.001").count()
+    assert n == 2 * waves and seen[0].select("ir").distinct().count() > min(waves, 100) / 2

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vocalframe.operators import ordinal
+
 SAMPLE_RATE = 16000
 N_FFT, HOP, N_MELS = 400, 160, 80
 CHUNK_SECONDS = 30
@@ -230,19 +232,30 @@ AUGMENTED = T.StructType([T.StructField("key", T.LongType()), T.StructField("epo
                           T.StructField("samples", T.ArrayType(T.FloatType()))])
 
 
+def with_response(df: DataFrame, seed: str, responses: DataFrame, key: str, samples: str, name: str = "ir") -> DataFrame:
+    """X11: ``df`` with an impulse response ``name`` for each row, drawn by the row's seed from all
+    rows of ``responses``, which are numbered by ``key``. Without responses it is null."""
+    n = responses.count()
+    if not n:
+        return df.withColumn(name, F.lit(None).cast("array<float>"))
+    numbered = ordinal.global_ordinal(responses.select(key, samples), [key], "_no").select("_no", F.col(samples).alias(name))
+    return df.withColumn("_no", F.pmod(F.xxhash64(F.lit("ir"), F.col(seed)), F.lit(n))).join(numbered, "_no").drop("_no")
+
+
 def augment_job(df: DataFrame, key: str, samples: str, rate: str, seed: str, epoch: str,
-                irs: Sequence[Sequence[float]] = ()) -> DataFrame:
-    """One augmented waveform per (row, epoch). ``irs`` is a bounded list of
-    impulse responses shipped with the task closure (callers cap its size)."""
-    ir_arrays = [np.asarray(r, np.float32) for r in irs]
+                ir: str | None = None) -> DataFrame:
+    """One augmented waveform per (row, epoch). ``ir`` is the column of each row's impulse
+    response (``with_response``); a null one means no reverberation."""
+    names = [key, samples, rate, seed, epoch, *([ir] if ir else [])]
 
     def run(it):
         for pdf in it:
-            outs = [list(augment_one(np.asarray(s, np.float32), int(r), int(sd), ir_arrays))
-                    for s, r, sd in zip(pdf[samples], pdf[rate], pdf[seed])]
+            irs = pdf[ir] if ir else [None] * len(pdf)
+            outs = [list(augment_one(np.asarray(s, np.float32), int(r), int(sd), [] if i is None else [np.asarray(i, np.float32)]))
+                    for s, r, sd, i in zip(pdf[samples], pdf[rate], pdf[seed], irs)]
             yield pd.DataFrame({"key": pdf[key].astype("int64"), "epoch": pdf[epoch].astype("int64"),
                                 "samples": outs})
-    return df.select(key, samples, rate, seed, epoch).mapInPandas(run, AUGMENTED)
+    return df.select(*names).mapInPandas(run, AUGMENTED)
 
 
 def rms(c) -> F.Column:

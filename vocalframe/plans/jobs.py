@@ -16,7 +16,6 @@ from vocalframe.session import cut_lineage
 
 SEED = 42
 EPOCHS = 2
-N_IMPULSE_RESPONSES = 3
 
 
 @register("log_mel_features", ("X6", "X3", "P2"))
@@ -33,14 +32,14 @@ def log_mel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("augmented_waveforms", ("X7", "X8", "X9", "X11", "X12", "X13", "X14", "X4", "D8", "D9"))
 def augmented_waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two epochs of seeded augmentation over every waveform; the impulse
-    responses are a fixed small number of rows (a top-k by id, bounded)."""
+    """Two epochs of seeded augmentation over every waveform; each row's impulse
+    response is drawn from all waveforms."""
     w = wave(spark, sf_dir)
-    irs = [r["samples"] for r in w.orderBy("vec_id").limit(N_IMPULSE_RESPONSES).select("samples").collect()]
     n = w.count()
     ep = splits.epochs(w, EPOCHS).withColumn(
         "seed", splits.sample_seed(SEED, F.col("epoch"), n, F.col("vec_id")))
-    out = audio.augment_job(ep, "vec_id", "samples", "sampling_rate", "seed", "epoch", irs)
+    ep = audio.with_response(ep, "seed", w, "vec_id", "samples")
+    out = audio.augment_job(ep, "vec_id", "samples", "sampling_rate", "seed", "epoch", "ir")
     return out.select(F.col("key").alias("vec_id"), "epoch", F.size("samples").alias("n_samples"),
                       F.round(audio.rms(F.col("samples")), 6).alias("rms"))
 
