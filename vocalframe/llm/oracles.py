@@ -73,3 +73,46 @@ SELECT page_id, n AS payload_bytes,
        CASE WHEN page_id < keep THEN keep END AS refers_to
 FROM j
 """
+
+# CRC-32 byte by byte: the table entry of a byte is the sum (xor) of the entries of its bits
+ORACLES["op11_importance_resampling"] = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+  UNION ALL
+  SELECT 'b', row_number() OVER (), NULL,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+  FROM benchmark),
+runs AS (
+  SELECT kind, r, unnest(list_concat(w,
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f
+  FROM texts WHERE len(w) > 0),
+per AS MATERIALIZED (SELECT kind, r, f, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM per)),
+crc AS (
+  SELECT f, xor(4294967295, list_reduce(
+    list_transform(range(0, len(h) // 2), lambda i:
+      16 * (instr('123456789ABCDEF', h[2 * i + 1]))::BIGINT + instr('123456789ABCDEF', h[2 * i + 2])::BIGINT),
+    lambda s, b: xor(s >> 8, xor(xor(xor((xor(s, b) & 1) * 1996959894, ((xor(s, b) >> 1) & 1) * 3993919788),
+                                     xor(((xor(s, b) >> 2) & 1) * 124634137, ((xor(s, b) >> 3) & 1) * 249268274)),
+                                 xor(xor(((xor(s, b) >> 4) & 1) * 498536548, ((xor(s, b) >> 5) & 1) * 997073096),
+                                     xor(((xor(s, b) >> 6) & 1) * 1994146192, ((xor(s, b) >> 7) & 1) * 3988292384)))),
+    4294967295)) % 10000 AS bucket
+  FROM bytes),
+counts AS (SELECT bucket, sum(n) FILTER (kind = 'd') AS s, sum(n) FILTER (kind = 'b') AS t FROM per JOIN crc USING (f) GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0)::DOUBLE AS sa, coalesce(sum(t), 0)::DOUBLE AS ta FROM counts),
+gain AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (sa + 10000)) / ((coalesce(s, 0) + 1)::DOUBLE * (ta + 10000))))::BIGINT AS g
+         FROM counts, sums),
+weights AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight
+            FROM per JOIN crc USING (f) JOIN gain USING (bucket) WHERE kind = 'd' GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE)
+                                                   / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM texts LEFT JOIN weights USING (r) WHERE kind = 'd'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY coalesce(able, false) ORDER BY score DESC, doc_id) AS k,
+                  (SELECT count(*) FROM scored WHERE able) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND k <= 5 * n // 100 THEN k END AS rank FROM ranked
+"""

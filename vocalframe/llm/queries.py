@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalframe.llm import decontam, fm, imatch, langid, mixing, ngram_jaccard, quotes, tokenfiles, url_rules, warc
+from vocalframe.llm import (decontam, fm, imatch, langid, mixing, ngram_jaccard, packing, quotes, resample, tokenfiles, url_rules,
+                            warc, whitening)
 from vocalframe.llm.oracles import ORACLES  # noqa: F401
 from vocalframe.llm.store import shared_folder, table
 
@@ -112,3 +113,23 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, copies and links of every document at Jaccard 0.8 over five-word shingles."""
     out = ngram_jaccard.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "class_id", "rep_id", "n_copies", "n_links")
+
+
+@_query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every document towards the benchmark texts, and the five percent drawn by it."""
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resample.resample(docs, bench).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@_query
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and offset of every piece of every document, in sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), byte_bpe())
+
+
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    rows = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(rows, whitening.fit(rows))
