@@ -26,6 +26,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,31 +42,38 @@ PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 #: Byte-level pre-tokens of plain texts: contractions, letters, digits, the rest, white space.
 SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÿ0-9]+|\s+(?!\S)|\s+")
 MEMO_WORDS = 600_000
+#: And at most about so many characters in them.
+MEMO_CHARS = 12_000_000
 
 
 class Encoder:
     """Token ids of whole texts, by the tokenizers library.
 
     A byte-level tokenizer that splits texts into words first gives a word the same
-    ids everywhere, so the ids of a word are asked for once and kept in a table of about
-    ``MEMO_WORDS`` words; a full table drops the words that fewest texts had. Texts with characters
+    ids everywhere, so the ids of a word are asked for once, from the library's model, and kept in a table of about
+    ``MEMO_WORDS`` words and ``MEMO_CHARS`` characters; a full table drops the words that fewest texts had. Texts with characters
     outside ``PLAIN``, or with a special token's string, are encoded whole, and so is
     every text when the tokenizer is of another kind.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
         spec = json.loads(self.tok.to_str())
         pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         self.by_word = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
                         and not spec.get("normalizer") and model.get("type") == "BPE")
+        self.model = self.tok.model
+        letters = {chr(c): b for c in range(256) if PLAIN.fullmatch(chr(c)) for b in [pre_tokenizers.ByteLevel(
+            add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0]]} if self.by_word else {}
+        self.alphabet = str.maketrans(letters)
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.vocabulary = self.tok.get_vocab_size(with_added_tokens=True)
         self._forget()
 
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
+        self.held = 0                                           # characters in it
         self.flat, self.stops = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
         self.seen = np.zeros(1 << 16, np.int32)                 # texts that had the word
 
@@ -85,40 +93,50 @@ class Encoder:
         self.flat[:len(flat)] = flat
         self.stops[1:len(kept) + 1] = ends
         self.memo = {words[k]: i for i, k in enumerate(kept.tolist())}
+        self.held = sum(map(len, self.memo))
+        if self.held > MEMO_CHARS // 2:
+            self._forget()
 
     def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 1000):
-            some, k = words[i:i + 1000], len(self.memo)
-            e = self.tok.encode(some, is_pretokenized=True, add_special_tokens=False)  # each word split on its own
-            stops = self.stops[k] + np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
-            while len(self.stops) <= k + len(some):
-                self.stops = np.concatenate((self.stops, np.zeros_like(self.stops)))
-                self.seen = np.concatenate((self.seen, np.zeros_like(self.seen)))
-            while len(self.flat) < stops[-1]:
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            self.flat[self.stops[k]:stops[-1]] = e.ids
-            self.stops[k + 1:k + 1 + len(some)] = stops
-            self.memo.update(zip(some, range(k, k + len(some))))
+        """Add the ids of words, asked from the library's model; its byte alphabet replaces the characters."""
+        k, stops = len(self.memo), [int(self.stops[len(self.memo)])]
+        ids: list[int] = []
+        for w in "\0".join(words).translate(self.alphabet).split("\0"):
+            ids.extend([x.id for x in self.model.tokenize(w)])
+            stops.append(stops[0] + len(ids))
+        while len(self.stops) <= k + len(words):
+            self.stops = np.concatenate((self.stops, np.zeros_like(self.stops)))
+            self.seen = np.concatenate((self.seen, np.zeros_like(self.seen)))
+        while len(self.flat) < stops[-1]:
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[stops[0]:stops[-1]] = ids
+        self.stops[k + 1:k + 1 + len(words)] = stops[1:]
+        self.memo.update(zip(words, range(k, k + len(words))))
+        self.held += sum(map(len, words))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths) of the texts, one after the other."""
         plain = [self.by_word and PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
         split = [SPLIT.findall(t) if p else None for t, p in zip(texts, plain)]
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > MEMO_WORDS or self.held > MEMO_CHARS:
             self._shrink()
-        new = set().union(*filter(None, split)).difference(self.memo)
+        # one lookup a word; words not in the table yet are -1, learned together and looked up once more
+        ats = [None if s is None else np.fromiter(map(self.memo.get, s, repeat(-1)), np.int64, len(s)) for s in split]
+        missing = [None if at is None else np.flatnonzero(at < 0).tolist() for at in ats]
+        new = {s[k] for s, ks in zip(split, missing) if ks for k in ks}
         if new:
             self._learn(list(new))
-        flat, ends, memo = self.flat, self.stops, self.memo
+            for s, at, ks in zip(split, ats, missing):
+                if ks:
+                    at[ks] = [self.memo[s[k]] for k in ks]
+        flat, ends = self.flat, self.stops
         out, lengths = [], np.zeros(len(texts), np.int64)
-        memo = self.memo
-        for i, (t, s) in enumerate(zip(texts, split)):
-            if s is None:
+        for i, (t, at) in enumerate(zip(texts, ats)):
+            if at is None:
                 ids = np.array(self.tok.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32)
-            elif not s:
+            elif not len(at):
                 ids = np.zeros(0, np.uint32)
             else:
-                at = np.fromiter(map(memo.__getitem__, s), np.int64, len(s))
                 self.seen[at] += 1
                 first, n = ends[at], ends[at + 1] - ends[at]
                 total = int(n.sum())
