@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocalframe.llm.store import spread
+from vocalframe.llm.store import free_name, spread
 from vocalframe.llm.tokens import slices, words_of
 
 WINDOW = 13
@@ -190,23 +190,23 @@ def automata(benchmark: DataFrame, item_id: str, text: str, window: int, block_w
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
          window: int = WINDOW, block_words: int = 1_000_000, span: int = 1, result: str = "scan",
-         keep_text: bool = False) -> DataFrame:
-    """``docs`` with a struct ``result``: n_words, spans (word ranges), n_hit, items and,
-    if ``keep_text``, ``clean``: the text without its spans of at least ``span`` words."""
+         cut: bool = False) -> DataFrame:
+    """``docs`` with a struct ``result``: n_words, spans (word ranges), n_hit, items and, if ``cut``, ``clean``:
+    the text without its spans of at least ``span`` words, null where there are none. A column named as
+    ``result`` is replaced; the others are kept. Only the text is sent to Python."""
     sc = docs.sparkSession.sparkContext
     cast = [sc.broadcast(a) for a in automata(benchmark, item_id, item_text, window, block_words)]
-    others = [c for c in docs.columns if c != text] if not keep_text else docs.columns
-    source = spread(docs.select(*[F.col(f"`{c}`") for c in others], F.col(text).alias("_scan_text")))
     fields = "n_words:bigint,n_hit:bigint,spans:array<struct<a:bigint,b:bigint>>,items:array<string>,clean:string"
     kinds = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()),
                        ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
                        ("items", pa.list_(pa.string())), ("clean", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in slices(batch, batch.num_columns - 1):
-                w = words_of(some.column(some.num_columns - 1))
-                counts = np.diff(w.ptr)
+    @F.arrow_udf(f"struct<{fields}>")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            out = [pa.array([], kinds)]
+            for some in slices(pa.RecordBatch.from_arrays([column], ["text"]), 0):
+                w = words_of(some.column(0))
                 spans: dict[int, list] = {}
                 items: dict[int, set] = {}
                 for b in cast:
@@ -216,19 +216,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                         if got:
                             spans.setdefault(d, []).extend((a + x, a + y) for x, y in got)
                             items.setdefault(d, set()).update(names)
-                texts = some.column(some.num_columns - 1).to_pylist() if keep_text else None
                 rows = []
-                for d, n in enumerate(counts.tolist()):
+                for d, n in enumerate(np.diff(w.ptr).tolist()):
                     own = merged(spans.get(d, ()))
-                    row = {"n_words": n, "n_hit": sum(b - a for a, b in own), "spans": [{"a": a, "b": b} for a, b in own],
-                           "items": sorted(items.get(d, ())), "clean": None}
-                    if keep_text:
-                        row["clean"] = cut_spans(w, d, [s for s in own if s[1] - s[0] >= span]) if own else texts[d]
-                    rows.append(row)
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(rows, kinds)], [*others, result])
+                    long = [s for s in own if cut and s[1] - s[0] >= span]
+                    rows.append({"n_words": n, "n_hit": sum(b - a for a, b in own), "spans": [{"a": a, "b": b} for a, b in own],
+                                 "items": sorted(items.get(d, ())), "clean": cut_spans(w, d, long) if long else None})
+                out.append(pa.array(rows, kinds))
+            yield pa.concat_arrays(out)
 
-    kept = [f"`{c}` {t}" for c, t in source.dtypes[:-1]]
-    return source.mapInArrow(run, ", ".join([*kept, f"`{result}` struct<{fields}>"]))
+    return spread(docs).withColumn(result, run.asNondeterministic()(F.col(f"`{text}`")))
 
 
 def cut_spans(w, d: int, spans: list[tuple[int, int]]) -> str:
@@ -249,6 +246,7 @@ def contaminated(n_hit, n_words, percent: int = 5):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", percent: int = 5, span: int = WINDOW,
                   **options) -> DataFrame:
     """``docs`` without contaminated documents and without the benchmark spans of the others."""
-    s = scan(docs, benchmark, text, span=span, result="_scan", keep_text=True, **options)
-    s = s.where(~contaminated(F.col("_scan.n_hit"), F.col("_scan.n_words"), percent))
-    return s.select(*[F.col("_scan.clean").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    name = free_name(docs, "scan")
+    s = scan(docs, benchmark, text, span=span, result=name, cut=True, **options)
+    s = s.where(~contaminated(F.col(f"{name}.n_hit"), F.col(f"{name}.n_words"), percent))
+    return s.select(*[F.coalesce(f"{name}.clean", F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

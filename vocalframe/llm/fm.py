@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocalframe.llm.store import spread
+from vocalframe.llm.store import free_name, spread
 from vocalframe.llm.tokens import slices, words_of
 
 WORD_BINS = 1 << 15
@@ -199,10 +199,11 @@ def _floats(column: pa.Array) -> np.ndarray:
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", n_chars: str = "n_chars", result: str = "score") -> DataFrame:
-    """``docs`` (without the text) with the probability of label 1 in ``result``."""
+    """``docs`` (without the text) with the probability of label 1 in ``result``; a column of that name is replaced."""
     cast = docs.sparkSession.sparkContext.broadcast(machine)
-    kept = [c for c in docs.columns if c != text]
-    source = spread(docs.select(*[F.col(f"`{c}`") for c in kept], F.col(n_chars).cast("double").alias("_fm_n"), F.col(text).alias("_fm_text")))
+    kept = [c for c in docs.columns if c not in (text, result)]
+    source = spread(docs.select(*[F.col(f"`{c}`") for c in kept], F.col(n_chars).cast("double").alias(free_name(docs, "n")),
+                                F.col(text).alias(free_name(docs, "words"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,7 +13,14 @@ the sparse ones still agree after larger edits. A subset's signature is the hash
 of its terms in sorted order, and the fingerprint lists the 32 signatures. Likeness of two fingerprints is the share of equal signatures
 among the subsets in which either text has a term.
 
-Nulls and odd input: a null text is empty. Without lexicon terms every signature
+The band says little about some texts: near copies that hold a third of all rows have
+only terms above it, a language of few documents only terms below it. So a text with
+fewer than ``LEAST`` lexicon terms is fingerprinted by terms of its own: about
+``SPARE`` of them, those whose hash has enough zero bits, whatever their frequency,
+in subsets at the rates 1/2, 1/4, 1/8 and 1/16. A fingerprint of one kind and one of
+the other share no signature, but by equal empty subsets, which do not count.
+
+Nulls and odd input: a null text is empty. Without words every signature
 is ``--------``; two such fingerprints are alike (1.0) only if the texts are
 equal. Repeated rows get equal rows. An empty table gives an empty result.
 """
@@ -31,6 +38,11 @@ SUBSETS = 32
 DENSE = 2
 THRESHOLDS = (1 << 15,) * DENSE + (1 << 10,) * 10 + (1 << 8,) * 10 + (1 << 6,) * 10
 NONE = "--------"
+#: Lexicon terms that a fingerprint needs; texts with fewer are described by about SPARE terms of their own.
+LEAST = 8
+SPARE = 64
+#: Subsets of own terms: how many hash bits must be zero, per subset.
+SPARE_BITS = (1,) * DENSE + (2,) * 10 + (3,) * 10 + (4,) * 10
 BROADCAST_TERMS = 1_000_000
 
 
@@ -60,6 +72,22 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = 0.002, high: float
     return keep(band.select("term", code.alias("code")).where("code % 4294967296 > 0"))
 
 
+def spare_code(term: Column, n_terms: Column) -> Column:
+    """The code of a text's own term, as in ``lexicon``; null unless about ``SPARE`` of the text's
+    ``n_terms`` terms are let in by their hash. The sets of texts of similar length are nested."""
+    h = [F.xxhash64(term, F.lit(k)) for k in range(4)]
+    step = F.greatest(F.ceil(F.log2(n_terms / F.lit(SPARE))), F.lit(0)).cast("int")
+    mask, at = F.lit(0).cast("bigint"), 0
+    for k, bits in enumerate(SPARE_BITS):
+        if at % 60 + bits > 60:
+            at += 60 - at % 60
+        zero = F.shiftright(h[at // 60], at % 60).bitwiseAND(F.lit((1 << bits) - 1)) == 0
+        mask, at = mask + F.when(zero, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")), at + bits
+    ident = F.shiftrightunsigned(h[2], 33)
+    let_in = F.pmod(h[3], F.pow(F.lit(2.0), step).cast("bigint")) == 0
+    return F.when(let_in & (mask > 0), ident * (1 << 32) + mask)
+
+
 def signature(ordered: Column, sparse: Column) -> Column:
     """The fingerprint string of a sorted array of codes; ``sparse`` holds those of its codes
     that are in any subset but the first ``DENSE``."""
@@ -95,16 +123,22 @@ def fingerprints(texts: DataFrame, keys: list[str], variants: list[str], words:
 
     def tag(i: int, terms_: Column) -> Column:
         return F.transform(terms_, lambda t: F.struct(F.lit(i).alias("v"), t.alias("t")))
-    parts = [tag(i, terms(F.col(v))) for i, v in enumerate(variants)]
+    n, few = len(variants), F.lit((1 << SUBSETS) - (1 << DENSE)).cast("bigint")
+    held = texts.select(*keys, *([F.col(carried).alias("_carried")] if carried else []), *[terms(F.col(v)).alias(f"_t{i}") for i, v in enumerate(variants)])
+    parts = [tag(i, F.col(f"_t{i}")) for i in range(n)]
     if carried:
-        parts.append(tag(-1, F.array(F.col(carried))))
-    rows = texts.select(*keys, F.explode_outer(F.concat(*parts)).alias("x")).select(*keys, "x.v", F.col("x.t").alias("term"))
-    met = rows.join(words, "term", "left").where("code is not null or v is null or v < 0")
-    met = met.select(*keys, "v", "code", F.when(F.col("v") < 0, F.col("term")).alias("_carried"))
-    lists = [F.sort_array(F.collect_list(F.when(F.col("v") == i, F.col("code")))).alias(f"_c{i}") for i in range(len(variants))]
+        parts.append(tag(-1, F.array("_carried")))
+    sizes = F.array(*[F.size(f"_t{i}") for i in range(n)])
+    rows = held.select(*keys, sizes.alias("_sizes"), F.explode_outer(F.concat(*parts)).alias("x"))
+    rows = rows.select(*keys, "x.v", F.col("x.t").alias("term"), F.when(F.col("x.v") >= 0, F.get("_sizes", F.col("x.v"))).alias("_n"))
+    met = rows.join(words, "term", "left").withColumn("own", F.when(F.col("v") >= 0, spare_code(F.col("term"), F.col("_n"))))
+    met = met.where("code is not null or own is not null or v is null or v < 0")
+    met = met.select(*keys, "v", "code", "own", F.when(F.col("v") < 0, F.col("term")).alias("_carried"))
+    lists = [F.sort_array(F.collect_list(F.when(F.col("v") == i, F.col(c)))).alias(f"_{c}{i}") for i in range(n) for c in ("code", "own")]
     out = met.groupBy(*keys).agg(*lists, F.max("_carried").alias("_carried"))
-    few = F.lit((1 << SUBSETS) - (1 << DENSE)).cast("bigint")
-    out = out.select("*", *[F.filter(f"_c{i}", lambda c: c.bitwiseAND(few) != 0).alias(f"_s{i}") for i in range(len(variants))])
+    chosen = [F.when(F.size(f"_code{i}") >= LEAST, F.col(f"_code{i}")).otherwise(F.col(f"_own{i}")).alias(f"_c{i}") for i in range(n)]
+    out = out.select(*keys, "_carried", *chosen)
+    out = out.select("*", *[F.filter(f"_c{i}", lambda c: c.bitwiseAND(few) != 0).alias(f"_s{i}") for i in range(n)])
     return out.select(*keys, *([F.col("_carried").alias(carried)] if carried else []),
                       *[signature(F.col(f"_c{i}"), F.col(f"_s{i}")).alias(f"fp_{v}") for i, v in enumerate(variants)])
 

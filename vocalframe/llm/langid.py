@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocalframe.llm.files import is_local, open_fs
-from vocalframe.llm.store import keep, shared_folder, spread
+from vocalframe.llm.store import keep, shared_folder, spread, temporary
 from vocalframe.llm.tokens import mix64, slices, words_of
 
 START, END = 1, 2
@@ -242,6 +242,13 @@ class Scorer:
     def _forget(self) -> None:
         self.known, self.values = np.zeros(0, np.uint64), np.zeros((0, len(self.names) + 2))
 
+    def release(self) -> None:
+        """Forget words and unmap local files at the end of a task, so that an idle worker holds none;
+        copies of remote files stay mapped."""
+        self._forget()
+        for uri in [u for u in _maps if is_local(open_fs(u)[0])]:
+            del _maps[uri]
+
     def __getstate__(self):
         return {"names": self.names, "models": self.models}
 
@@ -373,6 +380,7 @@ def calibrate(rows: DataFrame, scorer: Scorer, part: float) -> dict[str, float]:
                 value = np.round(x[at, own[at]], 4)
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(at)), pa.array(np.argmin(x[at], 1) == own[at]), pa.array(value)],
                                                  ["lang", "right", "value"])
+        s.release()
 
     counts = (spread(rows).mapInArrow(run, "lang string, right boolean, value double")
               .groupBy("lang", "right", "value").agg(F.count(F.lit(1)).alias("n")))
@@ -383,7 +391,8 @@ def calibrate(rows: DataFrame, scorer: Scorer, part: float) -> dict[str, float]:
 def fit(train: DataFrame, lang: str = "lang", text: str = "text", slack: float = 1.25, margin: float = 0.75) -> Scorer:
     """Train on every row of ``train``; the limit of a language is ``slack`` times the
     99.9th percentile of its training texts' cross-entropy (``calibrate``), plus ``margin`` nats."""
-    models = store_models(*estimate(keep(count_grams(train, lang, text))))
+    with temporary(train.sparkSession):                  # the models are files of their own
+        models = store_models(*estimate(keep(count_grams(train, lang, text))))
     scorer = Scorer(models)
     if models:
         rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
@@ -392,34 +401,33 @@ def fit(train: DataFrame, lang: str = "lang", text: str = "text", slack: float =
     return scorer
 
 
-def identify(docs: DataFrame, scorer: Scorer, text: str = "text", result: str = "language", keep_text: bool = False) -> DataFrame:
-    """``docs`` with a struct ``result``: lang, score, cross_entropy, rejected. ``text`` itself
-    is returned only if asked for."""
+def identify(docs: DataFrame, scorer: Scorer, text: str = "text", result: str = "language") -> DataFrame:
+    """``docs`` with a struct ``result``: lang, score, cross_entropy, rejected. A column of that
+    name is replaced; the others are kept. Only the text is sent to Python, and no text comes back."""
     cast = docs.sparkSession.sparkContext.broadcast(scorer)
-    kept = docs.columns if keep_text else [c for c in docs.columns if c != text]
-    source = spread(docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_language_text")))
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("rejected", pa.bool_())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang:string,score:double,cross_entropy:double,rejected:boolean>")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = cast.value
         names = np.array([*s.names, UND], dtype=object)
         limits = np.array([m.limit for m in s.models] or [0.0])
-        for batch in batches:
-            for some in slices(batch, batch.num_columns - 1):
-                x, positions, letters = s.score(some.column(some.num_columns - 1))
+        for column in columns:
+            out = [pa.array([], kind)]
+            for some in slices(pa.RecordBatch.from_arrays([column], ["text"]), 0):
+                x, positions, letters = s.score(some.column(0))
                 none = (letters == 0) | (not s.names)
                 best = np.argmin(x, 1) if s.names else np.zeros(len(none), np.int64)
                 low = x[np.arange(len(x)), best] if s.names else np.zeros(len(none))
                 total = -(x - low[:, None]) * np.minimum(positions, EVIDENCE)[:, None]
                 score = np.where(none, 0.0, 1.0 / np.maximum(np.exp(total).sum(1), 1.0))
-                out = pa.StructArray.from_arrays([
+                out.append(pa.StructArray.from_arrays([
                     pa.array(names[np.where(none, len(s.names), best)].tolist(), pa.string()), pa.array(score),
-                    pa.array(low, mask=none), pa.array(none | (low > limits[best]))], fields=list(kind))
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], out], [*kept, result])
+                    pa.array(low, mask=none), pa.array(none | (low > limits[best]))], fields=list(kind)))
+            yield pa.concat_arrays(out)
+        s.release()
 
-    schema = ", ".join([*[f"`{c}` {t}" for c, t in source.dtypes[:-1]],
-                        f"`{result}` struct<lang:string,score:double,cross_entropy:double,rejected:boolean>"])
-    return source.mapInArrow(run, schema)
+    return spread(docs).withColumn(result, run.asNondeterministic()(F.col(f"`{text}`")))
 
 
 def fold(doc_id: str | Column, n: int) -> Column:

@@ -44,11 +44,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vocalframe.llm import beside
 from vocalframe.llm.components import connected_components
-from vocalframe.llm.store import keep, spread
+from vocalframe.llm.store import keep, small_batches, spread, temporary
 from vocalframe.llm.tokens import Words, mix64, slices, words_of
 
 SHINGLE = 5
@@ -112,14 +113,19 @@ def sequence_keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return keys[0], keys[1]
 
 
-def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(uid, doc_id, thash, n_words, k1, k2, bands, sig) per row, written once."""
-    rows = spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("thash"), F.col(text).alias("text")))
+def sketch(docs: DataFrame, doc_id: str, text: str, place: tuple[Column, Column] | None = None) -> DataFrame:
+    """(uid, doc_id, thash, file, row, n_words, k1, k2, bands, sig) per row, written once; ``place`` gives
+    the file and row, which are null without it."""
+    file, row = place or (F.lit(None).cast("bigint"), F.lit(None).cast("bigint"))
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("thash"), file.alias("file"),
+                       row.alias("row"), F.col(text).alias("text"))
+    rows = rows if place else spread(rows)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, 2, 1 << 19):
-                w = words_of(some.column(2))
+            for some in slices(batch, 4, 1 << 19):
+                w = words_of(some.column(4))
                 k1, k2 = sequence_keys(w)
                 mins = min_hashes(*shingles_of(w))
                 bands = np.zeros((len(mins), BANDS), np.uint64)
@@ -128,12 +134,12 @@ def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 bands = mix64(bands + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
                 sig = mins.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([
-                    some.column(0), some.column(1), pa.array(np.diff(w.ptr), pa.int64()), pa.array(k1), pa.array(k2),
+                    *some.columns[:4], pa.array(np.diff(w.ptr), pa.int64()), pa.array(k1), pa.array(k2),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel())),
                     pa.array([s.tobytes() for s in sig], pa.binary())],
-                    ["doc_id", "thash", "n_words", "k1", "k2", "bands", "sig"])
+                    ["doc_id", "thash", "file", "row", "n_words", "k1", "k2", "bands", "sig"])
 
-    out = rows.mapInArrow(run, "doc_id bigint, thash bigint, n_words bigint, k1 bigint, k2 bigint, bands array<bigint>, sig binary")
+    out = rows.mapInArrow(run, "doc_id bigint, thash bigint, file bigint, row bigint, n_words bigint, k1 bigint, k2 bigint, bands array<bigint>, sig binary")
     return keep(out.withColumn("uid", F.monotonically_increasing_id()))
 
 
@@ -410,14 +416,21 @@ def similar_links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, thre
     return links.unionByName(more).dropDuplicates(["a", "b"]), large, texts
 
 
+def least_row() -> Column:
+    """The uid of the row of the least id (null last) and text hash. Rows equal in both differ
+    at most in other columns; there the least place decides, then the uid."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "thash", "file", "row", "uid"))["uid"]
+
+
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, tolerance: float = 1e-6,
-                 count_links: bool = True) -> DataFrame:
+                 count_links: bool = True, place: tuple[Column, Column] | None = None) -> DataFrame:
     """One row per document: doc_id, thash (xxhash64 of the text), class_id (the least id of its
-    class), rep_id (the id of the text's representative), n_copies (documents with the same words),
+    class), rep_id (the least id of the documents with its words), n_copies (their number),
     n_links (links of the representative to other texts; null without ``count_links``), first (one
-    row of each class)."""
-    s = sketch(docs, doc_id, text)
-    classes = s.where("n_words > 0").groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
+    row of each class, that of the least id, then text hash), and the columns file and row of ``place``."""
+    s = sketch(docs, doc_id, text, place)
+    classes = s.where("n_words > 0").groupBy("k1", "k2").agg(least_row().alias("rep"), F.count(F.lit(1)).alias("n_copies"))
+    classes = keep(classes)
     reps = keep(s.join(classes.select(F.col("rep").alias("uid")), "uid").select("uid", "doc_id", "thash", "n_words", "bands", "sig"))
     links, large, texts = similar_links(docs, reps, doc_id, text, threshold, tolerance)
     links = keep(links)
@@ -431,27 +444,25 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
         found = F.coalesce("n_links", F.lit(0))
     else:
         degree, found = reps.select("uid"), F.lit(None).cast("bigint")
-    tagged = (s.select("uid", "doc_id", "thash", "n_words", "k1", "k2").join(classes, ["k1", "k2"], "left")
+    tagged = (s.select("uid", "doc_id", "thash", "file", "row", "n_words", "k1", "k2").join(classes, ["k1", "k2"], "left")
               .withColumn("rep", F.coalesce("rep", "uid")))
-    # the representative has the least uid of its copies, so it carries the class on
+    # the representative is one of its copies, so it carries the class on
     info = (tagged.where("uid = rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
             .join(degree.withColumnRenamed("uid", "rep"), "rep", "left")
             .select("rep", F.coalesce("component", "rep").alias("component"), found.alias("n_links"),
                     F.col("doc_id").alias("rep_id")))
-    rows = keep(tagged.select("uid", "doc_id", "thash", "rep", F.coalesce("n_copies", F.lit(1)).alias("n_copies")).join(info, "rep"))
-    heads = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.min("uid").alias("head"))
+    rows = keep(tagged.select("uid", "doc_id", "thash", "file", "row", "rep", F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+                .join(info, "rep"))
+    heads = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"), least_row().alias("head"))
     return rows.join(heads, "component").select(
-        "doc_id", "thash", "class_id", "rep_id", "n_copies", "n_links", (F.col("uid") == F.col("head")).alias("first"))
+        "doc_id", "thash", "class_id", "rep_id", "n_copies", "n_links", (F.col("uid") == F.col("head")).alias("first"), "file", "row")
 
 
 def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class. The kept ids are broadcast if they are at most
-    ``BROADCAST_IDS``; else texts are shuffled once."""
-    out = keep(jaccard_join(docs, doc_id, text, count_links=False, **options))
-    first = out.where("first").select(F.col("doc_id").alias("_kid"), F.col("thash").alias("_khash")).distinct()
-    if first.count() <= BROADCAST_IDS:
-        first = F.broadcast(first)
-    kept = docs.join(first, F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col("_kid")) & (F.xxhash64(text) == F.col("_khash")), "left_semi")
-    if out.groupBy("doc_id", "thash").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([doc_id, text])      # repeated rows are one document
-    return kept
+    """``docs`` with one document of each class, that of the least id. The other rows are marked
+    by file and place, so the texts that stay are only read."""
+    docs, file, row = beside.positioned(docs)
+    with temporary(docs.sparkSession):
+        out = jaccard_join(docs, doc_id, text, count_links=False, place=(file, row), **options)
+        gone = beside.write(out.where("not first").select("file", "row"))
+    return docs.where(beside.absent(gone, file, row))

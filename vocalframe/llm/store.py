@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,11 +30,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+#: Tables written inside each open ``temporary`` block.
+_written: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``keep`` writes inside the block when it ends. What leaves the
+    block must not read them."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        paths = _written.pop()
+        for path in paths:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, and a
     lost executor costs only a re-read."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,3 +74,11 @@ def spread(df: DataFrame) -> DataFrame:
     small_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as no column of ``df`` (by Spark's rules) has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
