@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from vocalframe.llm import decontam, langid, mixing, ngram_jaccard, tokenfiles
 from vocalframe.llm.queries import byte_bpe
-from vocalframe.llm.store import keep, table
+from vocalframe.llm.store import free_name, keep, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that a model was learned for; what the models reject goes."""
     held = F.coalesce(langid.fold("doc_id", 4) == 2, F.lit(False))
     scorer = langid.fit(docs.where(~held))
-    out = langid.identify(docs, scorer, result="_language", keep_text=True)
-    return out.where("not _language.rejected").select(*docs.columns)
+    name = free_name(docs, "language")
+    out = langid.identify(docs, scorer, result=name)
+    return out.where(~F.col(name)["rejected"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
