@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vocalframe.operators import audio
-from vocalframe.sources import files
+from vocalframe.operators import audio, splits
+from vocalframe.sources import files, folds
 
 
 def test_wav_roundtrip_and_listing(spark):
@@ -94,27 +94,90 @@ def test_fold_catalogue_and_checkpoint_kinds(spark):
         if kind == "lora":
             json.dump({"base_model_name_or_path": "base"}, open(f"{m}/adapter_config.json", "w"))
         json.dump({"bottleneck_adapter_dim": 8} if kind == "bn" else {"d": 1}, open(f"{m}/config.json", "w"))
-    cat = files.fold_catalogue(spark, d).collect()
-    assert [r.speaker for r in cat] == ["F01", "F03", "M02"]
-    kinds = {os.path.basename(os.path.dirname(r.model_dir)): r.model_type
-             for r in files.checkpoint_kinds(spark, d).collect()}
-    assert kinds == {"held-out-F01": "lora_adapter", "held-out-M02": "bottleneck_adapter",
-                     "held-out-F03": "whisper_finetuned"}
     json.dump({"_name_or_path": "runs/bottleneck-study"}, open(f"{d}/held-out-F03/final-model/config.json", "w"))
-    assert {r.model_type for r in files.checkpoint_kinds(spark, d).collect()} == {
-        "lora_adapter", "bottleneck_adapter", "whisper_finetuned"}
-    assert "_file" not in cat[0].run_config
-    with pytest.raises(ValueError, match="M09"):
-        files.fold_catalogue(spark, d, ["F01", "M09"])
-    os.makedirs(f"{d}/held-out-M03")
-    with pytest.raises(ValueError, match="held-out-M03"):
-        files.fold_catalogue(spark, d)
-    json.dump({"held_out_speaker": "M03"}, open(f"{d}/held-out-M03/run_config.json", "w"))
-    with pytest.raises(ValueError, match="final model"):
-        files.fold_catalogue(spark, d)
-    json.dump({"held_out_speaker": "M05"}, open(f"{d}/held-out-F01/run_config.json", "w"))
-    with pytest.raises(ValueError):
-        files.fold_catalogue(spark, d)
+    cat = {r.speaker: r for r in folds.fold_catalogue(spark, d).collect()}
+    assert {s: r.model_type for s, r in cat.items()} == {"F01": "lora_adapter", "F03": "whisper_finetuned", "M02": "bottleneck_adapter"}
+    assert all(r.base_model == folds.DEFAULT_MODEL and json.loads(r.run_config)["held_out_speaker"] == s for s, r in cat.items())
+    assert cat["F01"].fold_dir == f"{d}/held-out-F01" and cat["F01"].model_dir == f"{d}/held-out-F01/final-model"
+    json.dump({"parameters": {"model_name": "m/x"}}, open(f"{d}/held-out-M02/run_config.json", "w"))    # no speaker: the folder's
+    only = folds.fold_catalogue(spark, d, ["M02"])
+    assert [r.base_model for r in only.collect()] == ["m/x"]
+
+
+def folders_with(tmp_path, **broken):
+    """Two sound folds and one more, F09, with the given files."""
+    for name, configs in {"F01": {"run_config.json": "{}", "final-model/config.json": "{}"},
+                          "M02": {"run_config.json": '{"held_out_speaker": " M02 "}', "final-model/adapter_config.json": "{}"}, **broken}.items():
+        os.makedirs(tmp_path / f"held-out-{name}")
+        for file, text in configs.items():
+            at = tmp_path / f"held-out-{name}" / file
+            os.makedirs(at.parent, exist_ok=True)
+            at.write_text(text) if text is not None else os.makedirs(at)
+    (tmp_path / "held-out-notes.txt").write_text("a file is no fold")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("what, found", [
+    ({"final-model/config.json": "{}"}, "missing run_config.json.*held-out-F09"),
+    ({"run_config.json": "{}"}, "missing final-model.*held-out-F09"),
+    ({"run_config.json": '{"held_out_speaker": "F08"}', "final-model/config.json": "{}"}, "says 'F09'.*says 'F08'"),
+    ({"run_config.json": "[1]", "final-model/config.json": "{}"}, "expected a JSON object in .*run_config"),
+    ({"run_config.json": "{}", "final-model/weights.bin": ""}, "neither a full checkpoint nor an adapter"),
+    ({"run_config.json": "{}", "final-model/config.json": "[]"}, "expected a JSON object in .*config.json"),
+])
+def test_broken_folds_raise_when_read(spark, tmp_path, what, found):
+    d = folders_with(tmp_path, F09=what)
+    with pytest.raises(Exception, match=found):
+        folds.fold_catalogue(spark, d).collect()
+    # the filter reaches the source: the broken folder is not opened
+    assert [r.speaker for r in folds.fold_catalogue(spark, d).where("speaker = 'M02'").collect()] == ["M02"]
+    assert folds.fold_catalogue(spark, d).where("speaker in ('M02', 'F01', 'Z')").count() == 2
+    assert folds.fold_catalogue(spark, d, ["F01"]).where("model_type = 'whisper_finetuned'").count() == 1
+
+
+def test_fold_listing_errors_and_partitions(spark, tmp_path):
+    d = folders_with(tmp_path)
+    assert folds.fold_catalogue(spark, d).rdd.getNumPartitions() == 2
+    with pytest.raises(Exception, match="missing from .*: M08, M09"):
+        folds.fold_catalogue(spark, d, ["F01", "M09", "M08"]).collect()
+    with pytest.raises(Exception, match="does not exist"):
+        folds.fold_catalogue(spark, d + "/none").collect()
+    os.makedirs(tmp_path / "empty")
+    with pytest.raises(Exception, match="no held-out-"):
+        folds.fold_catalogue(spark, d + "/empty").collect()
+
+
+def test_model_sources(spark, tmp_path):
+    d = folders_with(tmp_path, F03={"final-model/adapter_config.json": '{"base_model_name_or_path": "b/c"}'})
+    rows = [("org/name", None), ("org/name", "o"), (f"{d}/held-out-F03/final-model", None), (f"{d}/held-out-F03/final-model", "o"),
+            (f"file://{d}/held-out-F01/final-model", None), (None, "o")]
+    df = spark.createDataFrame(rows, "source string, override string").withColumn("model_dir_", F.lit("clash"))
+    got = [(r.model_type, r.base_model) for r in folds.model_sources(df, F.col("source"), F.col("override")).collect()]
+    assert got == [("whisper_pretrained", "org/name"), ("whisper_pretrained", "o"), ("lora_adapter", "b/c"), ("lora_adapter", "o"),
+                   ("whisper_finetuned", rows[4][0]), (None, None)]
+    for bad, found in ((f"{d}/none", "does not exist"), ("./none", "does not exist"), (f"{d}/held-out-notes.txt", "not a folder"),
+                       (f"{d}/held-out-M02/final-model", "does not declare"), (d, "neither")):
+        with pytest.raises(Exception, match=found):
+            folds.model_sources(df.limit(1), F.lit(bad)).collect()
+        with pytest.raises(ValueError, match=found):
+            folds.single_model(spark, bad)
+    one = folds.single_model(spark, f"{d}/held-out-F03/final-model", base_model="x").first()
+    assert (one.speaker, one.fold_dir, one.model_type, one.base_model) == ("all", f"{d}/held-out-F03", "lora_adapter", "x")
+    name = folds.single_model(spark, "org/name", "F01").first()
+    assert (name.speaker, name.fold_dir, name.model_dir, name.run_config, name.base_model) == ("F01", ".", "org/name", "{}", "org/name")
+
+
+def test_speakers_to_hold_out(spark, tmp_path):
+    at = str(tmp_path / "severity.json")
+    open(at, "w").write('{"_note": "x", "Z9": "Mild", "A1": "NORMAL", "M01": "Severe", "F01": "Mild", "order_for_lora": ["Severe", "Mild"]}')
+    sev = files.load_severity_map(spark, at)
+    rows = lambda df: [(r.held_out, r.fold_no) for r in df.orderBy("fold_no").collect()]
+    assert rows(splits.resolve_speakers(sev)) == [("Z9", 1), ("M01", 2), ("F01", 3)]
+    assert rows(splits.resolve_speakers(sev, include_normal=True)) == [("Z9", 1), ("A1", 2), ("M01", 3), ("F01", 4)]
+    assert rows(splits.resolve_speakers(sev, ["F01", "A1", "F01"])) == [("F01", 1), ("A1", 2)]
+    with pytest.raises(ValueError, match="B7.*X"):
+        splits.resolve_speakers(sev, ["F01", "X", "B7"])
+    assert {r.speaker: r.sev_pos for r in sev.collect()} == {"Z9": 2, "A1": None, "M01": 1, "F01": 2}
 
 
 def test_sinks_roundtrip(spark):

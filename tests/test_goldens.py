@@ -10,7 +10,7 @@ from vocalframe.operators import labels as L
 from vocalframe.operators import metrics, pairing, splits
 from vocalframe.operators import spectral as M
 from vocalframe.operators import waveform as X
-from vocalframe.operators.ordinal import global_ordinal, group_ordinal
+from vocalframe.operators.numbering import number_in_groups, number_rows
 
 
 def _scored(spark, rows):
@@ -156,13 +156,13 @@ def test_ordinals_match_windows_under_skew(spark):
     # one speaker holds a third of the rows: grouped ordinal must still be exact
     rows = [(i, "hot" if i % 3 == 0 else f"s{i % 17}") for i in range(3000)]
     df = spark.createDataFrame(rows, "idx long, speaker string").repartition(7)
-    g = {r.idx: r.ordinal for r in group_ordinal(df, ["speaker"], ["idx"], parts=6).collect()}
+    g = {r.idx: r.ordinal for r in number_in_groups(df, ["speaker"], ["idx"], parts=6).collect()}
     exp = {}
     for spk in {s for _, s in rows}:
         for k, i in enumerate(sorted(i for i, s in rows if s == spk)):
             exp[i] = k
     assert g == exp
-    o = {r.idx: r.ordinal for r in global_ordinal(df, ["idx"], parts=5).collect()}
+    o = {r.idx: r.ordinal for r in number_rows(df, ["idx"], parts=5).collect()}
     assert o == {i: i for i in range(3000)}
 
 

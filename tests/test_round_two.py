@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vocalframe.functions import paths
-from vocalframe.operators import ordinal, runs, splits
+from vocalframe.operators import numbering, runs, splits
 from vocalframe.operators import waveform as X
 from vocalframe.sources import files
 
@@ -52,7 +52,7 @@ def test_null_text_and_null_speaker(spark):
     df = spark.createDataFrame([(0, None, None), (1, "b", "s"), (2, None, None), (3, "a", "s")], "idx bigint, text string, speaker string")
     got = {r.idx: (r.phrase_no, r.split) for r in splits.phrase_split(df, "text", 2).collect()}
     assert got == {0: (0, "validation"), 1: (1, "train"), 2: (0, "validation"), 3: (2, "validation")}
-    at = {r.idx: r.ordinal for r in ordinal.group_ordinal(df, ["speaker"], ["idx"]).collect()}
+    at = {r.idx: r.ordinal for r in numbering.number_in_groups(df, ["speaker"], ["idx"]).collect()}
     assert at == {0: 0, 2: 1, 1: 0, 3: 1}
 
 

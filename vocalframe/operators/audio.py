@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vocalframe.operators import ordinal
+from vocalframe.operators import numbering
 
 SAMPLE_RATE = 16000
 N_FFT, HOP, N_MELS = 400, 160, 80
@@ -238,7 +238,7 @@ def with_response(df: DataFrame, seed: str, responses: DataFrame, key: str, samp
     n = responses.count()
     if not n:
         return df.withColumn(name, F.lit(None).cast("array<float>"))
-    numbered = ordinal.global_ordinal(responses.select(key, samples), [key], "_no").select("_no", F.col(samples).alias(name))
+    numbered = numbering.number_rows(responses.select(key, samples), [key], "_no").select("_no", F.col(samples).alias(name))
     return df.withColumn("_no", F.pmod(F.xxhash64(F.lit("ir"), F.col(seed)), F.lit(n))).join(numbered, "_no").drop("_no")
 
 

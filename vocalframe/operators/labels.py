@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocalframe.functions.text import words
-from vocalframe.operators.ordinal import global_ordinal
+from vocalframe.operators.numbering import number_rows
 
 # Fixed ids of the special tokens of our vocabulary table.
 PAD, START, END, UNK = 0, 1, 2, 3
@@ -21,9 +21,9 @@ IGNORE = -100
 
 def build_vocabulary(texts: DataFrame, col: str) -> DataFrame:
     """(word, id): distinct words of ``col`` numbered in byte order after the
-    special tokens (a range-bucketed ordinal, no single-task window)."""
+    special tokens (numbered by ranges, no single-task window)."""
     ws = texts.select(F.explode(words(F.col(col))).alias("word")).distinct()
-    return global_ordinal(ws, ["word"], name="_o").select(
+    return number_rows(ws, ["word"], name="_o").select(
         "word", (F.col("_o") + FIRST_WORD_ID).cast("int").alias("id"))
 
 

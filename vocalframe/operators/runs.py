@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vocalframe.operators.numbering import running_sums
+
 SPLITS = ("train", "validation", "test")
 
 
@@ -49,11 +51,12 @@ def protocol_hash(*cols: str) -> F.Column:
 
 
 def running_macro(per_fold: DataFrame, order: str = "fold_no") -> DataFrame:
-    """Macro average after each finished fold (one row per fold: small)."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return per_fold.select("*", F.avg("wer").over(w).alias("running_wer"),
-                           F.avg("cer").over(w).alias("running_cer"),
-                           F.count(F.lit(1)).over(w).alias("folds_done"))
+    """Macro average after each finished fold, by sums per range of folds and a scan inside each
+    (``numbering.running_sums``). A fold without a rate counts as done and leaves the average as it is."""
+    marked = per_fold.withColumns({"_one": F.lit(1), "_wn": F.col("wer").isNotNull().cast("int"), "_cn": F.col("cer").isNotNull().cast("int")})
+    r = running_sums(marked, [order], {"_ws": "wer", "_wc": "_wn", "_cs": "cer", "_cc": "_cn", "folds_done": "_one"})
+    mean = lambda s, n: F.when(F.col(n) > 0, F.col(s) / F.col(n))
+    return r.select(*per_fold.columns, mean("_ws", "_wc").alias("running_wer"), mean("_cs", "_cc").alias("running_cer"), "folds_done")
 
 
 def last_eval(log: DataFrame, run: str = "run", step: str = "step") -> DataFrame:

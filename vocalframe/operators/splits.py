@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocalframe.operators.ordinal import global_ordinal
+from vocalframe.operators.numbering import number_rows
+from vocalframe.operators.permute import permuted
 
 
 def loso_role(df: DataFrame, held_out: str | Column, speaker: str = "speaker") -> DataFrame:
@@ -29,9 +30,8 @@ def loso_summary(df: DataFrame, folds: DataFrame, seed: int, speaker: str = "spe
     A held-out speaker without rows raises (as the reference does).
     """
     per = df.groupBy(F.col(speaker).alias("held_out")).agg(F.count(F.lit(1)).alias("validation_samples"))
-    # one row per speaker: a whole-table window over it is small
-    per = per.withColumn("_total", F.sum("validation_samples").over(Window.partitionBy()))
-    j = folds.join(per, "held_out", "left")
+    total = per.agg(F.coalesce(F.sum("validation_samples"), F.lit(0))).scalar()
+    j = folds.join(per, "held_out", "left").withColumn("_total", total)
     v = F.coalesce(F.col("validation_samples"), F.raise_error(
         F.concat(F.lit("speaker not present in the dataset: "), F.col("held_out"))).cast("bigint"))
     return j.select("held_out", "fold_no",
@@ -40,6 +40,25 @@ def loso_summary(df: DataFrame, folds: DataFrame, seed: int, speaker: str = "spe
                     v.alias("validation_samples"))
 
 
+def resolve_speakers(severity: DataFrame, requested: Sequence[str] | None = None, include_normal: bool = False,
+                     order: Sequence[str] = ("file_pos",)) -> DataFrame:
+    """P12 + D7: (held_out, severity, fold_no from 1) of the speakers to hold out.
+
+    Requested speakers keep the order of the request, repeats dropped, whatever their tier; unknown
+    ones raise. Without a request: every speaker whose tier is not 'normal' (any case), or every one,
+    in the order of the severity file (``order`` must be unique)."""
+    if requested:
+        wanted = list(dict.fromkeys(requested))
+        known = severity.where(F.col("speaker").isin(wanted))
+        if missing := sorted(set(wanted) - {r["speaker"] for r in known.select("speaker").collect()}):   # at most the request
+            raise ValueError(f"speakers missing from the severity map: {missing}")
+        place = F.array_position(F.array(*[F.lit(s) for s in wanted]), F.col("speaker"))
+        return known.select(F.col("speaker").alias("held_out"), "severity", place.cast("bigint").alias("fold_no"))
+    held = severity if include_normal else severity.where(F.lower("severity") != "normal")
+    held = number_rows(held.select(*dict.fromkeys(["speaker", "severity", *order])), list(order), "_no")
+    return held.select(F.col("speaker").alias("held_out"), "severity", (F.col("_no") + 1).alias("fold_no"))
+
+
 def speaker_split(df: DataFrame, validation: str, test: str, speaker: str = "speaker") -> DataFrame:
     """D3: one column instead of three filtered copies."""
     s = F.col(speaker)
@@ -51,12 +70,12 @@ def phrase_split(df: DataFrame, text: str, every: int, idx: str = "idx") -> Data
     """Number distinct texts by first appearance (0-based); a row is
     validation iff its text's number is divisible by ``every``.
 
-    The phrase table is numbered with a range-partitioned ordinal (no single-task
+    The phrase table is dealt by ranges and numbered (no single-task
     window) and joined back on the text; a hot text is one row on the phrase side.
     """
     keyed = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))   # a missing transcript reads as ''
     phrases = keyed.groupBy("_t").agg(F.min(idx).alias("_first"))
-    numbered = global_ordinal(phrases, ["_first"], name="phrase_no")
+    numbered = number_rows(phrases, ["_first"], name="phrase_no")
     out = keyed.join(numbered, "_t", "inner").drop("_t")
     return out.withColumn("split", F.when(F.col("phrase_no") % every == 0, "validation")
                           .otherwise("train")).drop("_first")
@@ -70,17 +89,25 @@ def hash_draw(*parts: Column | str) -> Column:
 
 def ratio_split(df: DataFrame, seed: int, ratios: Sequence[float] = (0.8, 0.1, 0.1),
                 idx: str = "idx") -> DataFrame:
-    """D5 ``ratio``: order rows by a seeded hash, then cut exact counts
-    (floor(r*n) for train and validation, the rest test). Unlike randomSplit the
-    counts are exact and do not depend on partitioning."""
-    n = df.count()
-    n_train = int(ratios[0] * n)
-    n_val = int(ratios[1] * n)
-    keyed = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(idx).cast("string"))))
-    ranked = global_ordinal(keyed, ["_h", idx], name="_r")
-    r = F.col("_r")
-    return ranked.withColumn("split", F.when(r < n_train, "train")
-                             .when(r < n_train + n_val, "validation").otherwise("test")).drop("_h", "_r")
+    """D5 ``ratio``: number the rows, shuffle the positions by the seed, then cut exact
+    counts (floor(r*n) for train and validation, the rest test). Unlike randomSplit the
+    counts are exact and do not depend on partitioning; nothing is sorted by a hash."""
+    numbered = number_rows(df, [idx], name="_p")
+    n = numbered.count()
+    return numbered.withColumn("split", ratio_role(F.col("_p"), n, seed, ratios)).drop("_p")
+
+
+def ratio_role(position: Column, n: int, seed: int, ratios: Sequence[float] = (0.8, 0.1, 0.1)) -> Column:
+    """The split of a 0-based position among ``n`` rows, as an expression."""
+    train, validation = int(ratios[0] * n), int(ratios[1] * n)
+    r = permuted(position, n, seed)
+    # one evaluation of the shuffle, whatever the number of splits
+    return F.transform(F.array(r), lambda q: F.when(q < train, "train").when(q < train + validation, "validation").otherwise("test"))[0]
+
+
+def shuffled_batch(position: Column, n: int, seed: int, size: int) -> Column:
+    """D11 + D10: the batch of a 0-based position when ``n`` rows are shuffled by ``seed``."""
+    return batch_id(permuted(position, n, seed), size)
 
 
 def first_n(df: DataFrame, n: int | None, idx: str = "idx") -> DataFrame:

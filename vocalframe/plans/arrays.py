@@ -10,7 +10,7 @@ from vocalframe.functions.text import with_normalized, words
 from vocalframe.operators import labels as L
 from vocalframe.operators import spectral as M
 from vocalframe.operators import waveform as X
-from vocalframe.operators.ordinal import global_ordinal
+from vocalframe.operators.numbering import number_rows
 from vocalframe.operators.splits import hash_draw
 from vocalframe.plans import oracle_views as V
 from vocalframe.plans.registry import register
@@ -221,9 +221,7 @@ def _encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
                                                "text", "norm"), "norm")
     utt = with_normalized(fixtures.lines(spark, sf_dir).select("idx", "text"), "text", "norm")
     enc = L.encode(utt, "norm", vocab, with_start=F.size(words(F.col("norm"))) >= 3)
-    # the encodings feed the ordinal's sample, counts and numbering: write once
-    from vocalframe.session import cut_lineage
-    pos = global_ordinal(cut_lineage(enc.select("idx", "ids")), ["idx"], name="_p")
+    pos = number_rows(enc.select("idx", "ids"), ["idx"], name="_p")
     return pos.withColumn("batch_id", (F.col("_p") / LBATCH).cast("bigint")).drop("_p"), vocab
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vocalframe.operators import audio, infer, splits
 from vocalframe.operators import waveform as X
+from vocalframe.operators.numbering import number_rows
 from vocalframe.plans.arrays import mel, wave
 from vocalframe.plans.registry import register
 from vocalframe.session import cut_lineage
@@ -34,10 +35,10 @@ def log_mel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def augmented_waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two epochs of seeded augmentation over every waveform; each row's impulse
     response is drawn from all waveforms."""
-    w = wave(spark, sf_dir)
+    w = number_rows(wave(spark, sf_dir), ["vec_id"], "position")      # written once: three consumers
     n = w.count()
     ep = splits.epochs(w, EPOCHS).withColumn(
-        "seed", splits.sample_seed(SEED, F.col("epoch"), n, F.col("vec_id")))
+        "seed", splits.sample_seed(SEED, F.col("epoch"), n, F.col("position")))
     ep = audio.with_response(ep, "seed", w, "vec_id", "samples")
     out = audio.augment_job(ep, "vec_id", "samples", "sampling_rate", "seed", "epoch", "ir")
     return out.select(F.col("key").alias("vec_id"), "epoch", F.size("samples").alias("n_samples"),

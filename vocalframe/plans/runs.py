@@ -52,7 +52,7 @@ def _fold_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FOLDS = """f AS (SELECT speaker AS model,
-             (row_number() OVER (ORDER BY regexp_extract(speaker, '(\\d+)$', 1)::INTEGER))::BIGINT AS fold_no
+             (row_number() OVER (ORDER BY regexp_extract(speaker, '(\\d+)$', 1)::INTEGER, speaker))::BIGINT AS fold_no
       FROM sevd WHERE lower(severity) <> 'normal')"""
 
 
@@ -70,12 +70,11 @@ def evaluation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     to the small model table -- no model x row product is materialised."""
     lines = fixtures.lines(spark, sf_dir)
     models = _fold_models(spark, sf_dir)
-    models = models.withColumn("num_models", F.count(F.lit(1)).over(Window.partitionBy()))
+    models = models.withColumn("num_models", models.agg(F.count(F.lit(1))).scalar())
     own = lines.groupBy(F.col("speaker").alias("model")).agg(
-        F.count(F.lit(1)).alias("own_rows"),
-        F.count(F.when(F.col("lang") == "en", F.lit(1))).alias("_en"))
-    # one row per speaker: the corpus-wide retention size is a window sum over it
-    own = own.withColumn("retention_rows", F.sum("_en").over(Window.partitionBy()))
+        F.count(F.lit(1)).alias("own_rows"))
+    retention = lines.where(F.col("lang") == "en").agg(F.count(F.lit(1))).scalar()
+    own = own.withColumn("retention_rows", retention)
     j = models.join(own, "model")
     tgt = F.explode(F.array(
         F.struct(F.lit("own_speaker").alias("target"), F.col("own_rows").alias("num_rows")),

@@ -3,12 +3,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalframe.functions.text import with_normalized
 from vocalframe.operators import pairing, splits
-from vocalframe.operators.ordinal import global_ordinal, group_ordinal
+from vocalframe.operators.numbering import number_in_groups, number_rows
+from vocalframe.operators.permute import original, permuted, permuted_sql
 from vocalframe.plans import oracle_views as V
 from vocalframe.plans.registry import register
 from vocalframe.sources import fixtures
@@ -50,7 +51,7 @@ SELECT speaker, min(idx) AS first_idx, (row_number() OVER (ORDER BY min(idx)) -
 FROM lines GROUP BY speaker""")
 def first_appearance_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     firsts = pairing.first_appearance(fixtures.lines(spark, sf_dir), "speaker")
-    return global_ordinal(firsts, ["first_idx"], name="appearance_rank")
+    return number_rows(firsts, ["first_idx"], name="appearance_rank")
 
 
 @register("phrase_split", ("D4", "W1", "T1"), V.with_views(V.LINES, V.UTT) + f""",
@@ -60,9 +61,8 @@ SELECT idx, phrase_no, CASE WHEN phrase_no % {PHRASE_EVERY} = 0 THEN 'validation
 FROM utt JOIN num USING (norm)""")
 def phrase_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vocalframe.session import cut_lineage
-    # the normalised lines feed four consumers (bound sample, phrase counts,
-    # phrase numbering, join-back): write them once instead of re-running the
-    # regex chain for each
+    # the normalised lines feed the phrase numbering and the join back: write them
+    # once instead of running the regex chain twice
     utt = cut_lineage(with_normalized(fixtures.lines(spark, sf_dir).select("idx", "text"), "text", "norm")
                       .select("idx", "norm"))
     return splits.phrase_split(utt, "norm", PHRASE_EVERY).select("idx", "phrase_no", "split")
@@ -80,18 +80,16 @@ def transcript_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out speakers = every speaker whose tier is not 'normal'
-    (case-insensitive), numbered in speaker order (D7 seeds use the number)."""
+    (case-insensitive), numbered in the order of the severity table: by number,
+    then by name (D7 seeds use the fold number)."""
     dim = fixtures.severity_dimension(spark, sf_dir)
-    held = dim.where(F.lower("severity") != "normal")
-    n = F.regexp_extract("speaker", r"(\d+)$", 1).cast("int")
-    w = Window.orderBy(n)  # one row per speaker: small
-    return held.select(F.col("speaker").alias("held_out"), "severity",
-                       F.row_number().over(w).cast("bigint").alias("fold_no"))
+    dim = dim.withColumn("_n", F.regexp_extract("speaker", r"(\d+)$", 1).cast("int"))
+    return splits.resolve_speakers(dim, order=["_n", "speaker"])
 
 
 @register("loso_folds", ("D1", "D7", "P12", "J4"), V.with_views(V.LINES, V.SEV) + f""",
 f AS (SELECT speaker AS held_out, severity,
-             (row_number() OVER (ORDER BY regexp_extract(speaker, '(\\d+)$', 1)::INTEGER))::BIGINT AS fold_no
+             (row_number() OVER (ORDER BY regexp_extract(speaker, '(\\d+)$', 1)::INTEGER, speaker))::BIGINT AS fold_no
       FROM sevd WHERE lower(severity) <> 'normal'),
 per AS (SELECT speaker, count(*)::BIGINT AS c FROM lines GROUP BY speaker)
 SELECT held_out, severity, fold_no, ({SEED} + fold_no - 1)::BIGINT AS fold_seed,
@@ -118,17 +116,14 @@ def speaker_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speaker_counts(df)
 
 
-@register("ratio_split", ("D5",), V.with_views(V.LINES) + f""",
-r AS (SELECT idx, row_number() OVER (ORDER BY md5('{SEED}|' || idx::VARCHAR), idx) - 1 AS rn,
-             count(*) OVER () AS n FROM lines)
-SELECT idx, CASE WHEN rn < floor(0.8 * n) THEN 'train'
-                 WHEN rn < floor(0.8 * n) + floor(0.1 * n) THEN 'validation' ELSE 'test' END AS split
-FROM r""")
+@register("ratio_split", ("D5", "D11"), V.with_views(V.LINES).replace("WITH", "WITH RECURSIVE", 1) + f""",
+r AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS p, count(*) OVER () AS n FROM lines),
+{permuted_sql('r', SEED)}
+SELECT idx, CASE WHEN q < floor(0.8 * n) THEN 'train'
+                 WHEN q < floor(0.8 * n) + floor(0.1 * n) THEN 'validation' ELSE 'test' END AS split
+FROM r JOIN shuffled USING (p, n)""")
 def ratio_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the ids are read four times (count, bound sample, counts, numbering):
-    # materialise the narrow id column once rather than re-deriving the lines
-    from vocalframe.session import cut_lineage
-    return splits.ratio_split(cut_lineage(fixtures.lines(spark, sf_dir).select("idx")), SEED)
+    return splits.ratio_split(fixtures.lines(spark, sf_dir).select("idx"), SEED)
 
 
 @register("first_n", ("D6",), V.with_views(V.LINES) + f"SELECT idx FROM lines ORDER BY idx LIMIT {FIRST_N}")
@@ -141,9 +136,8 @@ def first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT speaker, idx, (row_number() OVER (PARTITION BY speaker ORDER BY idx) - 1)::BIGINT AS ordinal FROM lines""")
 def speaker_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2 in long form: (speaker, idx, position within the speaker)."""
-    from vocalframe.session import cut_lineage
-    lines = cut_lineage(fixtures.lines(spark, sf_dir).select("speaker", "idx"))
-    return group_ordinal(lines, ["speaker"], ["idx"]).select("speaker", "idx", "ordinal")
+    lines = fixtures.lines(spark, sf_dir).select("speaker", "idx")
+    return number_in_groups(lines, ["speaker"], ["idx"]).select("speaker", "idx", "ordinal")
 
 
 @register("epoch_batches", ("D8", "D9", "D10", "W6"), V.with_views(V.LINES) + f""",
@@ -152,25 +146,25 @@ SELECT idx, e.epoch::BIGINT AS epoch, position::BIGINT AS position,
        ({SEED} + e.epoch * n + position)::BIGINT AS sample_seed, (position // {BATCH})::BIGINT AS batch_id
 FROM p, (SELECT unnest(range({EPOCHS})) AS epoch) e""")
 def epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vocalframe.session import cut_lineage
-    lines = cut_lineage(fixtures.lines(spark, sf_dir).select("idx"))
-    n = lines.count()
-    pos = global_ordinal(lines, ["idx"], name="position")
+    pos = number_rows(fixtures.lines(spark, sf_dir).select("idx"), ["idx"], name="position")
+    n = pos.count()
     ep = splits.epochs(pos, EPOCHS).withColumn("epoch", F.col("epoch").cast("bigint"))
     return ep.select("idx", "epoch", "position",
                      splits.sample_seed(SEED, F.col("epoch"), n, F.col("position")).cast("bigint").alias("sample_seed"),
                      splits.batch_id(F.col("position"), BATCH).alias("batch_id"))
 
 
-@register("shuffled_batches", ("D11", "D10"), V.with_views(V.LINES) + f"""
-SELECT idx, ((row_number() OVER (ORDER BY md5('{SEED}|' || idx::VARCHAR), idx) - 1) // {BATCH})::BIGINT AS batch_id
-FROM lines""")
+@register("shuffled_batches", ("D11", "D10"), V.with_views(V.LINES).replace("WITH", "WITH RECURSIVE", 1) + f""",
+r AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS p, count(*) OVER () AS n FROM lines),
+{permuted_sql('r', SEED)}
+SELECT idx, (q // {BATCH})::BIGINT AS batch_id, p AS position, q AS place FROM r JOIN shuffled USING (p, n)""")
 def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vocalframe.session import cut_lineage
-    lines = cut_lineage(fixtures.lines(spark, sf_dir).select("idx"))
-    keyed = lines.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(SEED)), F.col("idx").cast("string"))))
-    pos = global_ordinal(keyed, ["_h", "idx"], name="_p")
-    return pos.select("idx", splits.batch_id(F.col("_p"), BATCH).alias("batch_id"))
+    """The rows' places in a seeded shuffle, and back: ``position`` is undone from ``place``."""
+    pos = number_rows(fixtures.lines(spark, sf_dir).select("idx"), ["idx"], name="_p")
+    n = pos.count()
+    placed = pos.select("idx", permuted(F.col("_p"), n, SEED).alias("place"))
+    return placed.select("idx", splits.batch_id(F.col("place"), BATCH).alias("batch_id"),
+                         original(F.col("place"), n, SEED).alias("position"), "place")
 
 
 def select_speaker(df: DataFrame, speaker: str, col: str = "speaker") -> DataFrame:

@@ -7,14 +7,12 @@ non-atomic JSON writes.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalframe.functions.paths import basename, fold_speaker
 
 # Audio extensions the reference scans, and impulse-response ones.
 AUDIO_EXTENSIONS = ["wav", "flac", "mp3", "ogg", "m4a"]
@@ -73,15 +71,17 @@ def snapshot(spark: SparkSession, path: str, derive) -> DataFrame:
 
 def load_severity_map(spark: SparkSession, path: str, order_key: str = "order_for_lora") -> DataFrame:
     """JSON object speaker -> tier minus '_'-prefixed keys and the order key;
-    ``sev_pos`` = 1-based position of the tier in the order list (null if unlisted)."""
+    ``sev_pos`` = 1-based position of the tier in the order list (null if unlisted) and
+    ``file_pos`` the 0-based place of the key in the file (of the first, if repeated)."""
     raw = spark.read.text(path, wholetext=True)
     m = F.from_json("value", "map<string,string>")
     order = F.from_json(F.get_json_object("value", f"$.{order_key}"), "array<string>")
-    kv = raw.select(F.explode(F.map_filter(m, lambda k, v: ~k.startswith("_") & (k != order_key)))
-                    .alias("speaker", "severity"), order.alias("_order"))
-    return kv.select("speaker", "severity",
-                     F.nullif(F.array_position(F.coalesce("_order", F.array().cast("array<string>")),
-                                               F.col("severity")), F.lit(0)).cast("int").alias("sev_pos"))
+    kv = raw.select(m.alias("_m"), order.alias("_order"), F.posexplode(F.array_distinct(F.json_object_keys("value"))).alias("file_pos", "speaker"))
+    kv = kv.where(~F.col("speaker").startswith("_") & (F.col("speaker") != order_key))
+    return kv.select("speaker", F.element_at("_m", F.col("speaker")).alias("severity"), "_order", "file_pos").select(
+        "speaker", "severity",
+        F.nullif(F.array_position(F.coalesce("_order", F.array().cast("array<string>")), F.col("severity")), F.lit(0)).cast("int").alias("sev_pos"),
+        "file_pos")
 
 
 def read_json_object(spark: SparkSession, path: str) -> DataFrame:
@@ -147,71 +147,6 @@ def shard(df: DataFrame, num_shards: int) -> DataFrame:
     return df.repartition(num_shards)
 
 
-def _fold_folders(spark: SparkSession, root: str) -> list[str]:
-    """Every ``held-out-*`` folder, also those without any file."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(root + "/held-out-*")
-    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
-    return [re.sub("^file:/*", "/", s.getPath().toString()) for s in found or [] if s.isDirectory()]
-
-
-def fold_catalogue(spark: SparkSession, method_dir: str, speakers: Sequence[str] | None = None) -> DataFrame:
-    """S6 + T5: every ``held-out-<speaker>`` folder with a ``run_config.json``
-    whose ``held_out_speaker`` equals the folder's speaker and with a non-empty
-    ``final-model`` folder. Mismatches, missing models or nothing found raise."""
-    root = method_dir.rstrip("/")
-    cfg = (spark.read.option("multiLine", True).json(f"{root}/held-out-*/run_config.json")
-           .select("*", F.col("_metadata.file_path").alias("_file")))
-    fields = [c for c in cfg.columns if c != "_file"]
-    cfg = cfg.select(F.regexp_extract(_strip_scheme(F.col("_file")), r"^(.*)/run_config\.json$", 1).alias("fold_dir"),
-                     F.col("held_out_speaker").alias("configured"), F.to_json(F.struct(*fields)).alias("run_config"))
-    folders = _fold_folders(spark, root)                    # one entry per fold
-    read = {r["fold_dir"] for r in cfg.select("fold_dir").collect()}
-    if bare := sorted(f for f in folders if not any(f.endswith(x) or x.endswith(f) for x in read)):
-        raise ValueError(f"fold folders without run_config.json: {bare}")
-    cfg = cfg.withColumn("speaker", fold_speaker(F.col("fold_dir")))
-    models = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-              .load(root).select(_strip_scheme(F.col("path")).alias("p"))
-              .where(F.col("p").contains("/final-model/"))
-              .select(F.regexp_extract("p", r"^(.*)/final-model/", 1).alias("fold_dir")).distinct())
-    bad = cfg.where(~F.col("speaker").eqNullSafe(F.col("configured"))).collect()
-    if bad:
-        raise ValueError(f"fold folders configured for another speaker: {[(r['fold_dir'], r['configured']) for r in bad]}")
-    out = cfg.join(models.withColumn("has_model", F.lit(True)), "fold_dir", "left")
-    missing = out.where(F.col("has_model").isNull()).select("fold_dir").collect()
-    if missing:
-        raise ValueError(f"fold folders without a final model: {[r[0] for r in missing]}")
-    if speakers:
-        absent = sorted(set(speakers) - {r["speaker"] for r in cfg.select("speaker").collect()})
-        if absent:
-            raise ValueError(f"no fold folder for the speakers {absent}")
-        out = out.where(F.col("speaker").isin(list(speakers)))
-    out = out.select("speaker", "fold_dir", F.concat(F.col("fold_dir"), F.lit("/final-model")).alias("model_dir"),
-                     "run_config").orderBy("speaker")
-    if out.limit(1).count() == 0:
-        raise ValueError(f"no fold models found under {root}")
-    return out
-
-
-def checkpoint_kinds(spark: SparkSession, root: str, model_folder: str = "final-model") -> DataFrame:
-    """Per model folder: ``lora_adapter`` if an adapter config exists, else
-    ``bottleneck_adapter`` if its config has ``bottleneck_adapter_dim``, else
-    ``whisper_finetuned`` if a config exists; other folders raise."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.json").load(root)
-             .select(_strip_scheme(F.col("path")).alias("p"), F.col("content").cast("string").alias("c")))
-    files = files.select(F.regexp_extract("p", r"^(.*)/[^/]+$", 1).alias("model_dir"),
-                         basename(F.col("p")).alias("name"), "c")
-    files = files.where(F.col("model_dir").endswith("/" + model_folder))
-    g = files.groupBy("model_dir").agg(
-        F.bool_or(F.col("name") == "adapter_config.json").alias("_lora"),
-        F.bool_or((F.col("name") == "config.json") & F.get_json_object("c", "$.bottleneck_adapter_dim").isNotNull()).alias("_bn"),
-        F.bool_or(F.col("name") == "config.json").alias("_cfg"))
-    kind = (F.when(F.col("_lora"), "lora_adapter").when(F.col("_bn"), "bottleneck_adapter")
-            .when(F.col("_cfg"), "whisper_finetuned")
-            .otherwise(F.raise_error(F.concat(F.lit("cannot tell checkpoint type of "), F.col("model_dir")))))
-    return g.select("model_dir", kind.alias("model_type"))
-
-
 def run_records(folds: DataFrame, counts: DataFrame, params_json: str) -> DataFrame:
     """One run-config record per fold: held-out speaker, severity,
     train/validation counts and the run parameters as JSON text."""
