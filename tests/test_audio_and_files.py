@@ -184,14 +184,9 @@ def test_sinks_roundtrip(spark):
     d = tempfile.mkdtemp(prefix="vf-sinks-")
     df = spark.createDataFrame([(0, "a b", "a c", "train"), (1, "x", "x", "test")],
                                "idx long, prediction string, reference string, split string")
-    files.write_predictions(df, f"{d}/pl")
-    files.write_predictions(df, f"{d}/ps", "samples")
     files.write_csv(df, f"{d}/csv")
     files.write_text(df, "prediction", f"{d}/txt")
     files.write_split_manifest(df, f"{d}/man")
-    assert spark.read.json(f"{d}/pl").count() == 2
-    s = spark.read.json(f"{d}/ps").collect()[0].samples
-    assert [x.prediction for x in s] == ["a b", "x"]
     assert spark.read.option("header", True).csv(f"{d}/csv").columns == df.columns
     assert sorted(r.value for r in spark.read.text(f"{d}/txt").collect()) == ["a b", "x"]
     assert {r.split for r in spark.read.json(f"{d}/man").collect()} == {"train", "test"}

@@ -96,21 +96,6 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_predictions(df: DataFrame, path: str, shape: str = "lines") -> None:
-    """Prediction sinks. ``lines``: one JSON object per row; ``samples``:
-    one object with an ordered ``samples`` array -- for small sets only (it is a
-    single document by definition)."""
-    if shape == "lines":
-        df.write.mode("overwrite").json(path)
-    elif shape == "samples":
-        doc = df.agg(F.array_sort(F.collect_list(F.struct("idx", "prediction", "reference"))).alias("samples"))
-        doc.select(F.transform("samples", lambda s: F.struct(s["prediction"].alias("prediction"),
-                                                             s["reference"].alias("reference"))).alias("samples")) \
-            .coalesce(1).write.mode("overwrite").json(path)
-    else:
-        raise ValueError(f"unknown prediction shape {shape!r}")
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)
