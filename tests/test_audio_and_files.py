@@ -190,10 +190,6 @@ def test_sinks_roundtrip(spark):
     assert spark.read.option("header", True).csv(f"{d}/csv").columns == df.columns
     assert sorted(r.value for r in spark.read.text(f"{d}/txt").collect()) == ["a b", "x"]
     assert {r.split for r in spark.read.json(f"{d}/man").collect()} == {"train", "test"}
-    st = {"log_history": [{"loss": 1.0, "step": 1}, {"eval_wer": 30.0, "step": 2}]}
-    json.dump(st, open(f"{d}/trainer_state.json", "w"))
-    log = files.read_trainer_state(spark, f"{d}/trainer_state.json").orderBy("pos").collect()
-    assert [r.step for r in log] == [1, 2] and log[1].eval_wer == 30.0
 
 
 def test_split_snapshot_and_json_sink(spark):

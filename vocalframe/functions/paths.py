@@ -62,6 +62,37 @@ def layer_slug(spec: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(spec)), ",", "_")
 
 
+def module_list(spec: Column) -> Column:
+    """The names of a comma-separated list, stripped, repeats dropped; an empty name or list raises."""
+    names = F.transform(F.split(spec, ","), lambda s: F.trim(s))
+    bad = F.raise_error(F.concat(F.lit("invalid module list: "), F.coalesce(spec, F.lit("null")))).cast("array<string>")
+    return F.when(spec.isNotNull() & ~F.array_contains(names, ""), F.array_distinct(names)).otherwise(bad)
+
+
+def method_name(scope: Column, options: Column) -> Column:
+    """The folder name of a fine-tuning method, by scope, from its ``options`` (a map of texts): full,
+    lora, adapter, components and, for any other scope, partial."""
+    o = lambda k: options[k]
+    layers = lambda e, d: F.concat(F.lit("-enc"), layer_slug(o(e)), F.lit("-dec"), layer_slug(o(d)))
+    joined = lambda k: F.array_join(module_list(o(k)), "_")
+    return (F.when(scope == "full", F.lit("full-finetune"))
+            .when(scope == "lora", F.concat(F.lit("lora-r"), o("lora_rank"), F.lit("-a"), o("lora_alpha"), F.lit("-"), joined("lora_target_modules")))
+            .when(scope == "adapter", F.concat(F.lit("adapter-dim"), o("adapter_dim"), layers("adapter_encoder_layers", "adapter_decoder_layers")))
+            .when(scope == "components", F.concat(F.lit("component-finetune-"), joined("train_components"),
+                                                  layers("train_encoder_layers", "train_decoder_layers")))
+            .otherwise(F.concat(F.lit("partial-finetune"), layers("train_encoder_layers", "train_decoder_layers"))))
+
+
+def checkpoint_folder(path: Column) -> Column:
+    """Whether a model path's last part names a training checkpoint."""
+    return basename(F.regexp_replace(path, "/+$", "")).contains("checkpoint-")
+
+
+def distilled(model: Column) -> Column:
+    """Whether a model's name says that it is distilled."""
+    return model.contains("distil")
+
+
 def english_only(model: Column) -> Column:
     """T8: '.en' inside or '-en' at the end of the model name."""
     m = F.lower(model)

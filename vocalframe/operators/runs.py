@@ -59,13 +59,6 @@ def running_macro(per_fold: DataFrame, order: str = "fold_no") -> DataFrame:
     return r.select(*per_fold.columns, mean("_ws", "_wc").alias("running_wer"), mean("_cs", "_cc").alias("running_cer"), "folds_done")
 
 
-def last_eval(log: DataFrame, run: str = "run", step: str = "step") -> DataFrame:
-    """Per run, the last log entry carrying ``eval_wer``; none -> no row."""
-    e = log.where(F.col("eval_wer").isNotNull())
-    return e.groupBy(run).agg(F.max_by(F.struct("eval_wer", "eval_loss", "epoch", step),
-                                       F.col(step)).alias("_l")).select(run, "_l.*")
-
-
 def best_checkpoint(log: DataFrame, run: str = "run", step: str = "step") -> DataFrame:
     """Lowest eval_wer, earliest step on ties."""
     e = log.where(F.col("eval_wer").isNotNull())

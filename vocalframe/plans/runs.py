@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vocalframe.functions.paths import iso_utc
 from vocalframe.functions.text import format_metric
-from vocalframe.operators import metrics, runs
+from vocalframe.operators import metrics, records, runs
 from vocalframe.plans import oracle_views as V
 from vocalframe.plans.registry import register
 from vocalframe.plans.scoring import scored_lines
@@ -176,12 +177,99 @@ _LOG = """log AS (SELECT user_id AS run, event_id AS step,
   CASE WHEN event_type = 'click' THEN value END AS consistency_loss FROM events)"""
 
 
-@register("last_eval_metrics", ("A12", "S16"), V.with_views(_LOG) + """
-SELECT run, eval_wer, epoch, step FROM (
-  SELECT run, eval_wer, epoch, step, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS r
-  FROM log WHERE eval_wer IS NOT NULL) WHERE r = 1""")
+def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run, pos, entry): every event as a log entry, with the fields of its kind: evaluations ('error')
+    have both rates and, at times, a loss; the others have a training loss."""
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value")
+    v, i = F.col("value"), F.col("event_id")
+    fields = [(i / 100.0).alias("epoch"), i.alias("step")]
+    entry = (F.when((F.col("event_type") == "error") & (i % 3 == 0), F.to_json(F.struct(
+                 v.alias("eval_wer"), (v / 2).alias("eval_cer"), (v / 4).alias("eval_loss"), *fields)))
+             .when(F.col("event_type") == "error", F.to_json(F.struct(v.alias("eval_wer"), (v / 2).alias("eval_cer"), *fields)))
+             .otherwise(F.to_json(F.struct(v.alias("loss"), *fields))))
+    return e.select(F.col("user_id").alias("run"), i.alias("pos"), F.parse_json(entry).alias("entry"))
+
+
+@register("last_eval_metrics", ("A12", "S16"), """
+WITH e AS (SELECT user_id AS run, event_id AS step, event_type, value,
+                  row_number() OVER (PARTITION BY user_id ORDER BY (event_type = 'error') DESC, event_id DESC) AS r FROM events)
+SELECT run, CASE WHEN event_type = 'error' THEN value END AS wer, CASE WHEN event_type = 'error' THEN value / 2 END AS cer,
+       CASE WHEN event_type = 'error' AND step % 3 = 0 THEN value / 4 END AS eval_loss,
+       CASE WHEN event_type = 'error' THEN step / 100.0::DOUBLE END AS epoch, CASE WHEN event_type = 'error' THEN step END AS step,
+       event_type = 'error' AS evaluated FROM e WHERE r = 1""")
 def last_eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.last_eval(training_log(spark, sf_dir)).select("run", "eval_wer", "epoch", "step")
+    """The last evaluation of every run, from entries of differing fields; a run without one has a null record."""
+    last = records.last_eval(log_entries(spark, sf_dir))
+    return last.select("run", "last.*", F.col("last").isNotNull().alias("evaluated"))
+
+
+_PERF = """perf AS (SELECT s.speaker, s.severity, s.sev_pos, r.wer, r.cer, r.num_samples
+  FROM sevd s JOIN (SELECT speaker, """ + V.rates() + """ FROM err GROUP BY speaker) r USING (speaker))"""
+
+
+@register("result_document", ("S18", "A6", "A7"), V.with_views(V.SCORED, V.SEV, _FOLDS, _PERF) + """
+SELECT p.speaker, f.fold_no, p.severity, round(p.wer, 9) AS wer, round(p.cer, 9) AS cer, p.num_samples, 'fold-' || f.fold_no AS fold,
+       (SELECT round(avg(wer), 9) FROM perf JOIN f ON f.model = perf.speaker) AS overall_wer,
+       round(avg(p.cer) OVER (PARTITION BY p.severity), 9) AS severity_cer,
+       count(*) OVER (PARTITION BY p.severity)::BIGINT AS num_speakers, '2024-01-02T03:04:05+00:00' AS created_at, 1 AS schema_version
+FROM perf p JOIN f ON f.model = p.speaker""")
+def result_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result document of a run over the held-out speakers, written as JSON and taken apart again."""
+    per = metrics.metric_record(scored_lines(spark, sf_dir), ["speaker"]).join(fixtures.severity_dimension(spark, sf_dir), "speaker")
+    per = per.join(_fold_models(spark, sf_dir).withColumnRenamed("model", "speaker"), "speaker")
+    per = cut_lineage(per.select("speaker", "fold_no", "severity", "sev_pos", "wer", "cer", "num_samples",
+                                 F.struct(F.concat(F.lit("fold-"), "fold_no").alias("name")).alias("fold")))       # a row a speaker
+    doc = records.result_document(per, {"mode": F.lit("finetune"), "model_name": F.lit("org/model")},
+                                  iso_utc(F.lit("2024-01-02T03:04:05Z").cast("timestamp")))
+    metric = "struct<wer:double,cer:double,num_samples:bigint,severity:string>"
+    tier = "struct<wer:double,cer:double,num_speakers:bigint,num_samples:bigint>"
+    back = doc.select(F.from_json("document", f"schema_version int, created_at string, selected_speakers array<string>, "
+                                  f"speaker_severity map<string,string>, speaker_metrics map<string,{metric}>, folds map<string,struct<name:string>>, "
+                                  f"overall_macro struct<wer:double,cer:double>, severity_macro map<string,{tier}>").alias("d"))
+    back = back.select("d.*", F.posexplode("d.selected_speakers").alias("at", "speaker"))
+    m, s = F.element_at("speaker_metrics", F.col("speaker")), F.element_at("speaker_severity", F.col("speaker"))
+    t = F.element_at("severity_macro", s)
+    return back.select("speaker", (F.col("at") + 1).cast("bigint").alias("fold_no"), s.alias("severity"), F.round(m["wer"], 9).alias("wer"),
+                       F.round(m["cer"], 9).alias("cer"), m["num_samples"].alias("num_samples"), F.element_at("folds", F.col("speaker"))["name"].alias("fold"),
+                       F.round("overall_macro.wer", 9).alias("overall_wer"), F.round(t["cer"], 9).alias("severity_cer"), t["num_speakers"].alias("num_speakers"),
+                       "created_at", "schema_version")
+
+
+REPORT_TARGETS = [("en", "English", "each model on its own lines."), ("fr", "French", "the same retention lines.")]
+
+
+def _report_sql(mode: str) -> str:
+    """The expected lines, spelled out."""
+    m = lambda c: f"coalesce(format('{{:.3f}}', round({c}, 3)), '—')"
+    cells = "".join(f" || ' | ' || coalesce({p}_samples::VARCHAR, '—') || ' | ' || {m(p + '_wer')} || ' | ' || {m(p + '_cer')}" for p, *_ in REPORT_TARGETS)
+    foot = "".join(f" || ' | — | **' || {m(f'avg({p}_wer)')} || '** | **' || {m(f'avg({p}_cer)')} || '**'" for p, *_ in REPORT_TARGETS)
+    title, first, intro = (("LOSO retention evaluation", "Held-out model", "WER/CER are percentages. The method average is an unweighted macro "
+                            "average over completed LOSO models.") if mode == "loso" else
+                           ("Single-model evaluation", "Model selection", "WER/CER are percentages. Exactly one model is evaluated."))
+    fixed = [(0, f"# {title}: study"), (1, ""), (2, intro), (3, ""), (4, f"| {first} | Model type | English samples | English WER | English CER | "
+              "French samples | French WER | French CER |"), (5, "|---|---|---:|---:|---:|---:|---:|---:|"), (8, ""),
+             (9, "- English: each model on its own lines."), (10, "- French: the same retention lines."), (11, "")]
+    sql = " UNION ALL ".join(f"SELECT {k} AS part, '' AS key, '{t}' AS line" for k, t in fixed)
+    sql += f" UNION ALL SELECT 6, speaker, '| ' || speaker || ' | full'{cells} || ' |' FROM wide" + (" WHERE speaker = 'src3'" if mode == "single" else "")
+    if mode == "loso":
+        sql += f" UNION ALL SELECT 7, '', '| **Method macro average** | —'{foot} || ' |' FROM wide"
+    return f"SELECT '{mode}' AS mode, (row_number() OVER (ORDER BY part, key) - 1)::BIGINT AS line_no, line FROM ({sql})"
+
+
+@register("retention_report", ("S15", "T11", "W4"), _RES + """,
+wide AS (SELECT model AS speaker, any_value(num_samples) FILTER (target = 'en') AS en_samples, any_value(wer) FILTER (target = 'en') AS en_wer,
+                any_value(cer) FILTER (target = 'en') AS en_cer, any_value(num_samples) FILTER (target = 'fr') AS fr_samples,
+                any_value(wer) FILTER (target = 'fr') AS fr_wer, any_value(cer) FILTER (target = 'fr') AS fr_cer FROM res GROUP BY model)
+""" + _report_sql("loso") + " UNION ALL " + _report_sql("single"))
+def retention_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report of both modes: title, notes, both targets side by side, averages."""
+    res = model_results(spark, sf_dir)
+    of = lambda p, c: F.any_value(F.when(F.col("target") == p, F.col(c)), True)
+    wide = res.groupBy(F.col("model").alias("speaker")).agg(
+        *[of(p, c).alias(f"{p}_{n}") for p, *_ in REPORT_TARGETS for c, n in (("num_samples", "samples"), ("wer", "wer"), ("cer", "cer"))])
+    wide = wide.withColumn("model_type", F.lit("full"))
+    out = records.report_lines(wide, "loso", "study", REPORT_TARGETS).withColumn("mode", F.lit("loso"))
+    return out.unionByName(records.report_lines(wide.where("speaker = 'src3'"), "single", "study", REPORT_TARGETS).withColumn("mode", F.lit("single")))
 
 
 @register("best_checkpoint", ("A13",), V.with_views(_LOG) + """

@@ -117,16 +117,6 @@ def write_lines(lines: DataFrame, path: str, order: Sequence[str]) -> None:
     lines.orderBy(*order).select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
-def read_trainer_state(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
-    """``log_history`` of a trainer state document, one row per entry."""
-    st = spark.read.option("multiLine", True).json(path)
-    ex = st.select(F.posexplode("log_history").alias("pos", "entry"))
-    cols = [F.col("pos")] + [F.col(f"entry.{f}").alias(f) for f in
-                             ex.schema["entry"].dataType.fieldNames()]
-    out = ex.select(*cols)
-    return out.withColumn("run", F.lit(run)) if run else out
-
-
 def shard(df: DataFrame, num_shards: int) -> DataFrame:
     """A sharded view (Spark partitions)."""
     return df.repartition(num_shards)
