@@ -143,7 +143,8 @@ def format_metric(c: Column, digits: int = 3) -> Column:
     """Fixed decimals, or an em dash for a missing value."""
     # round the exact value first: Java's %f alone rounds the shortest decimal
     # form of the double, which differs from Python's formatting at ties
-    return F.coalesce(F.format_string(f"%.{digits}f", F.round(c, digits)), F.lit("—"))
+    # a null formats as "nul" with a precision, so it is told apart first
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", F.round(c, digits))).otherwise("—")
 
 
 def or_default(c: Column, default: str = "") -> Column:
