@@ -196,3 +196,14 @@ def test_refresh_and_resume_guard(spark):
     b = spark.createDataFrame([("r1", "x"), ("r2", "z")], "run string, fp string")
     with pytest.raises(ValueError, match="r2"):
         runs.check_resume(a, b, ["run"], "fp")
+
+
+def test_whole_matrices_of_shuffles_and_masks(spark):
+    from vocalframe.operators import spectral as M
+    df = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]], [2, 0, 1], [1, 0, 1])], "k int, m array<array<float>>, o array<int>, keep array<int>")
+    r = df.select(M.reorder(F.col("m"), F.col("o")).alias("o"), M.keep_channels(F.col("m"), F.col("keep")).alias("k"),
+                  M.keep_channels(F.col("m"), M.span_keep(F.lit(1), F.lit(2), 3)).alias("s")).first()
+    assert r.o == [[5, 6], [1, 2], [3, 4]] and r.k == [[1, 2], [0, 0], [5, 6]] and r.s == [[1, 2], [0, 0], [0, 0]]
+    for wrong in (M.reorder(F.col("m"), F.array(F.lit(0))), M.keep_channels(F.col("m"), F.array(F.lit(0)))):
+        with pytest.raises(Exception, match="differ in their channels"):
+            df.select(wrong).collect()

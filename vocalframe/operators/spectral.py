@@ -88,7 +88,21 @@ def group_shuffle_order(seed: int, batch: Column, group_sizes: list[int]) -> Col
 
 
 def reorder(mel: Column, order: Column) -> Column:
-    return F.transform(order, lambda c: F.element_at(mel, c + 1))
+    """M5 / M6 applied: the matrix with its channels in ``order``; another number of channels raises."""
+    lost = F.raise_error(F.lit("order and matrix differ in their channels")).cast("array<int>")
+    return F.transform(F.when(F.size(mel) == F.size(order), order).otherwise(lost), lambda c: F.element_at(mel, c + 1))
+
+
+def keep_channels(mel: Column, keep: Column) -> Column:
+    """M7 / M8 applied: channels whose ``keep`` is 0 become zero; another number of channels raises."""
+    lost = F.raise_error(F.lit("mask and matrix differ in their channels")).cast("array<int>")
+    same = F.when(F.size(mel) == F.size(keep), keep).otherwise(lost)
+    return F.zip_with(mel, same, lambda row, k: F.when(k == 1, row).otherwise(F.transform(row, lambda x: F.lit(0.0).cast("float"))))
+
+
+def span_keep(start: Column, length: Column, channels: int) -> Column:
+    """M8: 0 for the channels of a span, 1 for the others."""
+    return F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), lambda c: F.when((c >= start) & (c < start + length), 0).otherwise(1))
 
 
 def importance_keep(seed: int, batch: Column, channels: int, probs: list[float] | None = None) -> Column:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocalframe.functions.bind import bind
 from vocalframe.functions.text import with_normalized, words
 from vocalframe.operators import labels as L
 from vocalframe.operators import spectral as M
@@ -164,6 +165,53 @@ def importance_span_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join(F.transform(span, lambda x: x.cast("string")), "").alias("span_kept"))
 
 
+def _flat(order_or_keep: str, masked: bool) -> str:
+    """The whole matrix, channel by channel: ``s`` in a channel order, or with channels zeroed."""
+    value = (f"CASE WHEN ({order_or_keep})[i // {FR} + 1] = 1 THEN s[i + 1] ELSE 0.0 END" if masked else
+             f"s[({order_or_keep})[i // {FR} + 1] * {FR} + i % {FR} + 1]")
+    return dfmt(f"list_transform(range({CH * FR}), lambda i: {value})")
+
+
+_WHOLE = f"""g AS (SELECT *, {_dgroups('m')} AS r1, {_dgroups('n')} AS r2 FROM w),
+a AS (SELECT *, list_transform(range(2), lambda i: CASE WHEN bit_count(r1[i + 1]) > bit_count(r2[i + 1]) THEN r1[i + 1] ELSE r2[i + 1] END) AS adv,
+             ({ddraw(repr(str(SEED)), "'len'", 'batch_id::VARCHAR')} % 2 + 1)::INTEGER AS len FROM g),
+b AS (SELECT *, list_transform(range({CH}), lambda c: (adv[c // {BITS} + 1] >> (c % {BITS})) & 1) AS keep,
+             list_transform(range({CH}), lambda c: 1 - ((adv[c // {BITS} + 1] >> (c % {BITS})) & 1)) AS drop_,
+             ({ddraw(repr(str(SEED)), "'start'", 'vec_id::VARCHAR')} % ({CH} - len + 1))::INTEGER AS start,
+  list_transform(list_sort(list_transform(range({CH}), lambda c:
+     {{'w': c // {WINDOW}, 'h': {ddraw(repr(str(SEED)), 'vec_id::VARCHAR', 'c::VARCHAR')}, 'c': c}})), lambda x: x.c) AS local_,
+  list_transform(list_sort(list_transform(range({CH}), lambda c:
+     {{'g': len(list_filter({[sum(GROUP_SIZES[:i + 1]) for i in range(len(GROUP_SIZES))]}, lambda b: b <= c)),
+      'h': {ddraw(repr(str(SEED)), 'batch_id::VARCHAR', 'c::VARCHAR')}, 'c': c}})), lambda x: x.c) AS group_,
+  list_transform(range(80), lambda c: ({ddraw(repr(str(SEED)), "'imp'", 'batch_id::VARCHAR', 'c::VARCHAR')} / 4294967296.0 >= {M.IMPORTANCE_DROP}[c + 1])::INTEGER) AS imp
+  FROM a),
+m AS (SELECT *, list_transform(range({CH}), lambda c: CASE WHEN c >= start AND c < start + len THEN 0 ELSE 1 END) AS span FROM b)"""
+
+
+@register("feature_matrices", ("M1", "M4", "M5", "M6", "M7", "M8"), V.with_views(WAVE, _WHOLE) + f"""
+SELECT vec_id, {_flat('keep', True)} AS masked_view, {_flat('drop_', True)} AS other_view, {_flat('local_', False)} AS local_shuffled,
+       {_flat('group_', False)} AS group_shuffled, {_flat('span', True)} AS span_masked,
+       {dfmt("list_transform(range(160), lambda i: CASE WHEN imp[i // 2 + 1] = 1 THEN s[i % 64 + 1] ELSE 0.0 END)")} AS importance_masked
+FROM m""")
+def feature_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole matrices that masks and shuffles make of every feature matrix, channel by channel; the
+    importance mask on an 80-channel matrix of two frames."""
+    w = wave(spark, sf_dir).withColumn("mel", mel(F.col("samples")))
+    groups = M.advantage_groups(M.mask_groups(SEED, F.col("vec_id"), CH // BITS, BITS, "m"), M.mask_groups(SEED, F.col("vec_id"), CH // BITS, BITS, "n"))
+    tall = F.transform(F.sequence(F.lit(0), F.lit(79)), lambda c: F.transform(F.array(F.lit(0), F.lit(1)), lambda t: F.element_at(
+        "samples", (c * 2 + t) % 64 + 1)))
+    start, length = M.contiguous_mask_span(SEED, F.col("batch_id"), F.col("vec_id"), CH)
+    # draws are bound to columns first, so each is made once a row
+    w = bind(w, {"_adv": groups, "_tall": tall, "_local": M.local_shuffle_order(SEED, F.col("vec_id"), CH, WINDOW),
+                 "_group": M.group_shuffle_order(SEED, F.col("batch_id"), GROUP_SIZES), "_imp": M.importance_keep(SEED, F.col("batch_id"), 80),
+                 "_start": start, "_length": length})
+    view, other = M.complementary_views(F.col("mel"), F.col("_adv"), BITS)
+    whole = {"masked_view": view, "other_view": other, "local_shuffled": M.reorder(F.col("mel"), F.col("_local")),
+             "group_shuffled": M.reorder(F.col("mel"), F.col("_group")), "importance_masked": M.keep_channels(F.col("_tall"), F.col("_imp")),
+             "span_masked": M.keep_channels(F.col("mel"), M.span_keep(F.col("_start"), F.col("_length"), CH))}
+    return w.select("vec_id", *[fmt(F.flatten(c)).alias(k) for k, c in whole.items()])
+
+
 _LSM = ("list_transform({x}, lambda v: v::DOUBLE - (ln(list_sum(list_transform({x}, lambda u: exp(u::DOUBLE - list_max({x})::DOUBLE)))) "
         "+ list_max({x})::DOUBLE))")
 
