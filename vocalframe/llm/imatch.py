@@ -72,20 +72,24 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = 0.002, high: float
     return keep(band.select("term", code.alias("code")).where("code % 4294967296 > 0"))
 
 
-def spare_code(term: Column, n_terms: Column) -> Column:
-    """The code of a text's own term, as in ``lexicon``; null unless about ``SPARE`` of the text's
-    ``n_terms`` terms are let in by their hash. The sets of texts of similar length are nested."""
-    h = [F.xxhash64(term, F.lit(k)) for k in range(4)]
+def let_in(n_terms: Column) -> Column:
+    """The hash bits that must be zero for an own term of a text with ``n_terms`` terms to be taken: none
+    up to ``SPARE`` terms, one more per doubling. So the sets of texts of similar length are nested."""
     step = F.greatest(F.ceil(F.log2(n_terms / F.lit(SPARE))), F.lit(0)).cast("int")
+    return (F.pow(F.lit(2.0), step) - 1).cast("bigint")
+
+
+def spare_code(term: Column, zero_bits: Column) -> Column:
+    """The code of a text's own term, as in ``lexicon``; null for a term that is not let in."""
+    h = [F.xxhash64(term, F.lit(k)) for k in range(4)]
     mask, at = F.lit(0).cast("bigint"), 0
     for k, bits in enumerate(SPARE_BITS):
         if at % 60 + bits > 60:
             at += 60 - at % 60
         zero = F.shiftright(h[at // 60], at % 60).bitwiseAND(F.lit((1 << bits) - 1)) == 0
         mask, at = mask + F.when(zero, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")), at + bits
-    ident = F.shiftrightunsigned(h[2], 33)
-    let_in = F.pmod(h[3], F.pow(F.lit(2.0), step).cast("bigint")) == 0
-    return F.when(let_in & (mask > 0), ident * (1 << 32) + mask)
+    # the subsets are worked out inside the branch, for the few terms that are let in
+    return F.when(h[3].bitwiseAND(zero_bits) == 0, F.shiftrightunsigned(h[2], 33) * (1 << 32) + mask)
 
 
 def signature(ordered: Column, sparse: Column) -> Column:
@@ -128,10 +132,10 @@ def fingerprints(texts: DataFrame, keys: list[str], variants: list[str], words:
     parts = [tag(i, F.col(f"_t{i}")) for i in range(n)]
     if carried:
         parts.append(tag(-1, F.array("_carried")))
-    sizes = F.array(*[F.size(f"_t{i}") for i in range(n)])
+    sizes = F.array(*[let_in(F.size(f"_t{i}")) for i in range(n)])
     rows = held.select(*keys, sizes.alias("_sizes"), F.explode_outer(F.concat(*parts)).alias("x"))
-    rows = rows.select(*keys, "x.v", F.col("x.t").alias("term"), F.when(F.col("x.v") >= 0, F.get("_sizes", F.col("x.v"))).alias("_n"))
-    met = rows.join(words, "term", "left").withColumn("own", F.when(F.col("v") >= 0, spare_code(F.col("term"), F.col("_n"))))
+    rows = rows.select(*keys, "x.v", F.col("x.t").alias("term"), F.get("_sizes", F.col("x.v")).alias("_n"))
+    met = rows.join(words, "term", "left").withColumn("own", spare_code(F.col("term"), F.col("_n")))
     met = met.where("code is not null or own is not null or v is null or v < 0")
     met = met.select(*keys, "v", "code", "own", F.when(F.col("v") < 0, F.col("term")).alias("_carried"))
     lists = [F.sort_array(F.collect_list(F.when(F.col("v") == i, F.col(c)))).alias(f"_{c}{i}") for i in range(n) for c in ("code", "own")]
