@@ -36,7 +36,7 @@ res AS (SELECT speaker AS model, lang AS target, {V.rates()} FROM err GROUP BY s
 """
 
 
-@register("model_average", ("A8", "A9", "A4"), _RES + """
+@register("model_average", ("A8", "A4"), _RES + """
 SELECT target, round(avg(wer), 9) AS wer, round(avg(cer), 9) AS cer, count(*)::BIGINT AS num_models,
        array_to_string(list_sort(list_distinct(list(num_samples))), ',') AS num_samples_per_model
 FROM res GROUP BY target""")
@@ -324,7 +324,7 @@ def latency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.latency_table(e, ["model", "device"], "seconds", "event_id")
 
 
-@register("agreement_cer", ("A18", "A2", "J3"), V.with_views(V.SCORED) + """
+@register("agreement_cer", ("A18", "A2"), V.with_views(V.SCORED) + """
 SELECT speaker, CASE WHEN sum(length(hs)) > 0 THEN 100.0::DOUBLE * sum(char_errors) / sum(length(hs)) END AS agreement_cer
 FROM err GROUP BY speaker""")
 def agreement_cer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,7 +109,7 @@ def macro_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "num_speakers", "num_samples")
 
 
-@register("severity_macro", ("A7", "J4", "W3", "S4"), _SPK + """
+@register("severity_macro", ("A7", "J4", "W3"), _SPK + """
 SELECT severity, round(avg(wer), 9) AS wer, round(avg(cer), 9) AS cer,
        count(*)::BIGINT AS num_speakers, sum(num_samples)::BIGINT AS num_samples,
        row_number() OVER (ORDER BY coalesce(min(sev_pos), 1073741824), severity)::INTEGER AS tier_rank

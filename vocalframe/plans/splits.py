@@ -103,7 +103,7 @@ def loso_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
         "train_samples", "validation_samples")
 
 
-@register("speaker_split_counts", ("D3", "A10", "S12"), V.with_views(V.LINES) + f""",
+@register("speaker_split_counts", ("D3", "A10"), V.with_views(V.LINES) + f""",
 s AS (SELECT speaker, CASE WHEN speaker = '{VAL_SPEAKER}' THEN 'validation'
                            WHEN speaker = '{TEST_SPEAKER}' THEN 'test' ELSE 'train' END AS split FROM lines)
 SELECT speaker, count(*) FILTER (WHERE split = 'train')::BIGINT AS train,
