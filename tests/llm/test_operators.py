@@ -271,6 +271,15 @@ def test_likeness_outside_the_band(spark):
 
 # operator 5
 
+def test_warc_headers_of_other_archives_are_not_changed():
+    head = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: <http://x.org/a%20b%2Fc>\r\nWARC-Record-ID: <urn:a%41>\r\n\r\nbody"
+    got = warc.parse_header(head)
+    assert got["warc-target-uri"] == "http://x.org/a%20b%2Fc" and got["warc-record-id"] == "urn:a%41"
+    for uri in ("http://x.org/a%20b%2Fc", "http://x.org/plain", "u\r\nWARC-Type: x"):
+        ours = warc.inflate(warc.record("response", "urn:page:1", uri, "2024-01-01T00:00:00Z", b"x", None))[1]
+        assert warc.parse_header(ours)["warc-target-uri"] == uri and (warc.ESCAPES.encode() in ours) == (uri != "http://x.org/plain")
+
+
 def test_warc_round_trip_and_pushdown(spark):
     rows = [(1, "http://a/1", "same"), (3, "http://a/3\r\nx%", "same"), (2, None, "same"), (4, "u", None), (5, "v", "é" * 9000),
             (6, "w", ""), (None, "n", "same")]

@@ -51,6 +51,10 @@ FIELDS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri
 END = b"\r\n\r\n"
 
 
+#: Our writer's mark of a record whose header values are percent-escaped; other archives' values are read as they are.
+ESCAPES = "WARC-Field-Escapes"
+
+
 def encoded(value: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f%]", lambda m: f"%{ord(m[0]):02X}", value)
 
@@ -72,6 +76,8 @@ def record(kind: str, record_id: str, uri: str | None, date: str, payload: bytes
     if refers_to is not None:
         head.append(f"WARC-Refers-To: <{encoded(refers_to)}>")
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+    if any(encoded(v) != v for v in (record_id, uri or "", refers_to or "")):
+        head.append(f"{ESCAPES}: percent")
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(head).encode() + END + block + END) + z.flush()
 
@@ -142,7 +148,8 @@ def parse_header(head: bytes) -> dict[str, str]:
     lines = head.split(END, 1)[0].decode("utf-8", "replace").split("\r\n")
     pairs = (line.split(":", 1) for line in lines[1:] if ":" in line)
     out = {k.strip().lower(): v.strip() for k, v in pairs}
-    return {k: decoded(v.strip("<>")) if k in FIELDS.values() else v for k, v in out.items()}
+    plain = decoded if ESCAPES.lower() in out else str
+    return {k: plain(v.strip("<>")) if k in FIELDS.values() else v for k, v in out.items()}
 
 
 class WarcReader(DataSourceReader):
