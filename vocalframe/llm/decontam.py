@@ -14,13 +14,14 @@ out of the text.
 
 Scale: documents are never shuffled. Items are read in blocks of at most
 ``block_words`` words; each block is one automaton, broadcast on its own, and each
-further block is one more pass inside the same tasks, so a block bounds the memory
-however large the benchmark is.
+further block is one more pass inside the same tasks. All automata pass through the
+driver and stay in every worker, about 0.8 KB a benchmark word, so this is for
+benchmarks of up to some million words.
 
 Nulls and odd input: null and empty texts have no words and no hits; items without
 words have no window; equal items are all reported; repeated documents get equal
 rows; empty tables give empty results. Columns of the documents are kept under
-their own names and never meet the operator's, which are returned as one struct.
+their own names; the results are one struct, which replaces a column of its name.
 """
 
 from __future__ import annotations

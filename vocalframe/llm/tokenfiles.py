@@ -5,7 +5,7 @@ little-endian, 16 bits when the vocabulary allows and else 32), ``.idx`` (64-bit
 token offsets inside the part, one more than documents) and ``.ids`` (64-bit
 document ids), and ``manifest.json`` with the parts in order, each with its first
 token and first document: prefix sums over the parts. A reader maps the files into
-memory where they are local and reads the byte range otherwise.
+memory where they are local and reads a whole part otherwise.
 
 Documents are dealt by ranges of the document id and sorted inside, so the parts in
 order hold the documents in ascending order; a third of all rows from one source
