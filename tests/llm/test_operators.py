@@ -475,6 +475,84 @@ def test_quotes_and_threads(spark):
     assert sorted((r.depth, r.position) for r in deep) == [(t, t) for t in range(50)]
 
 
+TALK = "conv_id bigint, turn bigint, role string, text string"
+
+
+def brute_links(rows):
+    """{(conv, turn, text): (own_text, quote_levels, n_quotes, reply_to)} line by line, all pairs of messages."""
+    def lines(text):
+        out = []
+        for raw in re.split(r"\r\n|\r|\n", text or ""):
+            marks = re.match(r"(?:[ \t]*>)*", raw).group()
+            out.append((marks.count(">"), raw[len(marks):].removeprefix(" ") if marks else raw, raw))
+        return out
+
+    def clean(x):
+        return re.sub(r"\s+", " ", x.lower()).strip(" ")
+
+    def runs(ls):
+        out = []
+        for i, x in enumerate(ls):
+            if i and x[0] == ls[i - 1][0]:
+                out[-1].append(i)
+            else:
+                out.append([i])
+        return out
+
+    held = {}
+    for c, t, _, text in rows:
+        if c is not None and t is not None:
+            ls = lines(text)
+            own = [x[1] for x in ls if x[0] == 0]
+            bodies = ["\n".join(own), *own, *("\n".join(ls[i][1] for i in r) for r in runs(ls) if ls[r[0]][0] == 0)]
+            held.setdefault(c, []).extend((t, clean(b)) for b in bodies if clean(b))
+    links, gone = {}, {}
+    for c, t, _, text in rows:
+        ls = lines(text)
+        for r in runs(ls):
+            if ls[r[0]][0] == 0 or c is None or t is None:
+                continue
+            asked = [(0, "\n".join(ls[i][1] for i in r), r)]
+            for k, i in enumerate(r):
+                if ls[i][1].strip():
+                    tail = next((k + 1 + d for d, j in enumerate(r[k + 1:]) if ls[j][1].strip()), len(r))
+                    asked.append((1, ls[i][1], r[k:tail]))
+            for part, body, which in asked:
+                at = [x for x, b in held[c] if x < t and clean(body) and b == clean(body)]
+                if at:
+                    gone.setdefault((c, t, text), set()).update(which)
+                    links.setdefault((c, t), []).append((ls[r[0]][0], part, -max(at)))
+    return {(c, t, text): (
+        "\n".join(x[2] for i, x in enumerate(lines(text)) if i not in gone.get((c, t, text), ())).strip(" "),
+        max(x[0] for x in lines(text)), sum(1 for r in runs(lines(text)) if lines(text)[r[0]][0] > 0),
+        -min(links[c, t])[2] if (c, t) in links else None) for c, t, _, text in rows}
+
+
+def test_quotes_typed_lines_stay(spark):
+    rows = [(1, 0, "u", "How do I count?\nIt is slow"), (1, 1, "b", "> how do I  count?\n>\n> typed here\nuse\n> SELECT 1\n\nbye"),
+            (1, 2, "u", "> It is slow\n> How do I count?\n>\nno"), (1, 9000, "b", "> use\nlate"), (1, 9001, "b", "> late\n> > use\nlater"),
+            (1, 1, "b", "another version"), (2, 0, "u", ">\n>>\n"), (2, 1, "u", ""), (2, 2, "u", "long " * 50000 + "\n> x" * 3000),
+            (None, 1, "u", "> It is slow"), (1, None, "u", "> It is slow")]
+    got = quotes.link_quotes(spark.createDataFrame(rows, TALK).selectExpr("*", "1 row", "2 lines", "3 runs", "4 h")).collect()
+    by = {(r.conv_id, r.turn): r for r in got if r.own_text != "another version"}
+    assert by[1, 1].own_text == "> typed here\nuse\n> SELECT 1\n\nbye" and by[1, 1].reply_to == 0
+    assert by[1, 2].own_text == "no" and by[1, 9000].reply_to == 1 and by[1, 9000].own_text == "late"
+    assert by[1, 9001].own_text == "later" and by[1, 9001].reply_to == 9000 and by[None, 1].own_text == "> It is slow"
+    want = brute_links(rows)
+    assert sorted(map(str, ((r.conv_id, r.turn, r.own_text, r.quote_levels, r.n_quotes, r.reply_to) for r in got))) == sorted(
+        map(str, ((c, t, *want[c, t, x]) for c, t, _, x in rows)))
+    assert quotes.link_quotes(spark.createDataFrame([], TALK)).count() == 0
+
+
+def test_quotes_against_brute_force(spark):
+    m = quotes.quoting_thread(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet"))
+    rows = [tuple(r) for r in m.select("conv_id", "turn", "role", "text").collect()]
+    want = brute_links(rows)
+    got = quotes.link_quotes(m).collect()
+    assert sorted(map(str, ((r.conv_id, r.turn, r.own_text, r.quote_levels, r.n_quotes, r.reply_to) for r in got))) == sorted(
+        map(str, ((c, t, *want[c, t, x]) for c, t, _, x in rows)))
+
+
 # operator 10
 
 def test_token_files_round_trip(spark):

@@ -3,23 +3,29 @@
 A message is read line by line: leading ``>`` marks (blanks between them allowed)
 give a line's quote level. A run of lines of one level is a passage; its text is
 lower-cased, white space runs become one blank, and the result is hashed. A quoted
-passage is joined, inside its conversation, to the messages whose own words
-(level 0) contain it as their whole text, as a run or as a line; where a whole
-quoted passage has no match, its single lines are tried. The reply's original is
-the latest earlier message matched at the lowest quote level. Threads then are the
-trees of these links: ``root`` and ``depth`` come from pointer doubling, and
-(root, depth, turn) puts every reply behind its original.
+passage is joined, inside its conversation, to the earlier messages whose own words
+(level 0) contain it as their whole text, as a run or as a line; the single lines of
+a quoted passage are joined likewise. The reply's original is the latest earlier
+message matched at the lowest quote level, by a whole passage before a single line.
+Threads then are the trees of these links: ``root`` and ``depth`` come from pointer
+doubling, and (root, depth, turn) puts every reply behind its original.
+
+``own_text`` is the message without its linked quotes: a linked passage goes whole, and
+of other passages the linked lines go, with the empty marked lines behind them. A marked
+line that no earlier message holds was typed by the writer and stays as it is.
 
 A message is a (conv_id, turn); rows that repeat it are versions of one message
 and share its links. Nulls and odd input: a null text is empty; rows with a null
-conversation or turn keep their row, link to nothing and have depth 0; empty
-passages are not linked; an empty table gives an empty result. Columns other than
-those named are ignored.
-
-Scale: passages are narrow rows keyed by (conversation, hash), so one conversation
-with a third of all rows is spread over its passages; positions are numbered over
-ranges of (conversation, root, depth, turn), so it is also cut there. Nothing is
-collected but a row count per doubling round.
+conversation or turn keep their row and whole text, link to nothing and have depth 0;
+empty passages are not linked; an empty table gives an empty result. Columns other
+than those named are ignored.
+
+Scale: lines are parsed inside the row and only their hashes are exploded, once. The
+hashes are keyed by (conversation, hash, block of turns), the latest mark of earlier
+blocks is carried in by a row per block, so neither a conversation with a third of all
+rows nor a line repeated through it is one task. Positions are numbered over ranges of
+narrow rows; texts are shuffled once, by a unique row number. Nothing is collected but
+a row count per doubling round.
 """
 
 from __future__ import annotations
@@ -27,84 +33,108 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vocalframe.functions.bind import bind
 from vocalframe.llm.store import keep
 
 MARKS = r"^((?:[ \t]*>)*)"
 
+#: Turns of one conversation in a block; blocks of one (conversation, hash) are separate keys.
+TURNS = 4096
+
 
 def normalised(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
-def lines_of(messages: DataFrame, text: str = "text") -> DataFrame:
-    """One row per line: level, the line without its marks, and the passage number ``run``."""
-    split = messages.select("conv_id", "turn", "tie", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\r|\n"))
-                            .alias("pos", "raw"))
-    marks = F.regexp_extract("raw", MARKS, 1)
-    rows = split.select("conv_id", "turn", "tie", "pos", F.length(F.regexp_replace(marks, r"[ \t]", "")).alias("level"),
-                        F.regexp_replace(F.col("raw"), MARKS + r"(?<=>) ?", "").alias("line"))
-    w = Window.partitionBy("conv_id", "turn", "tie").orderBy("pos")   # one message
-    new = F.when(F.col("level") == F.lag("level").over(w), 0).otherwise(1)
-    return rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(w)).drop("_new")
-
-
-def passages(lines: DataFrame) -> DataFrame:
-    """One row per passage: (conv_id, turn, tie, run, level, body, h)."""
-    got = lines.groupBy("conv_id", "turn", "tie", "run", "level").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
-    body = F.array_join(F.transform("x", lambda s: s["line"]), "\n")
-    return got.select("conv_id", "turn", "tie", "run", "level", body.alias("body"))
-
-
 def hashed(c: Column) -> Column:
     """128 bits of the normalised passage; null when nothing is left."""
     n = normalised(c)
-    return F.when(n != "", F.md5(n))
+    return F.when(n != "", F.unhex(F.md5(n)))
+
+
+def parsed(messages: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``lines`` (level, line without its marks, the line as typed), ``runs`` (start, n, level: the
+    passages) and ``parts`` (the same for each line with words and the empty lines behind it)."""
+    def line(x: Column) -> Column:
+        marks = F.regexp_replace(F.regexp_extract(x, MARKS, 1), r"[ \t]", "")
+        return F.struct(F.length(marks).alias("level"), F.regexp_replace(x, MARKS + r"(?<=>) ?", "").alias("line"), x.alias("raw"))
+
+    def changes(i: Column) -> Column:
+        return (i == 0) | (F.get("lines", i)["level"] != F.get("lines", i - 1)["level"])
+
+    def spans(starts: str) -> Column:
+        end = lambda k: F.coalesce(F.get(starts, k + 1), F.size("lines"))
+        return F.transform(starts, lambda i, k: F.struct(i.alias("start"), (end(k) - i).alias("n"), F.get("lines", i)["level"].alias("level")))
+
+    got = bind(messages, {"lines": F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\r|\n"), line)})
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    got = bind(got, {"_runs": F.filter(every, changes),
+                     "_parts": F.filter(every, lambda i: changes(i) | F.get("lines", i)["line"].rlike(r"\S"))})
+    return bind(got, {"runs": spans("_runs"), "parts": spans("_parts")}, drop=("_runs", "_parts"))
+
+
+def passage_hashes(m: DataFrame) -> DataFrame:
+    """(conv_id, turn, tie, h, level, part, start, n): a row per hash of a message. A null ``level``
+    marks the message's own words; ``part`` is 0 for whole quoted passages and 1 for their lines."""
+    p = parsed(m.select("conv_id", "turn", "tie", "text"))
+    body = lambda r: F.array_join(F.slice("lines", r["start"] + 1, r["n"])["line"], "\n")
+    none = F.lit(None).cast("int")
+
+    def mark(h: Column) -> Column:
+        return F.struct(h.alias("h"), none.alias("level"), none.alias("part"), none.alias("start"), none.alias("n"))
+
+    def ask(h: Column, part: int, r: Column) -> Column:
+        return F.struct(h.alias("h"), r["level"].alias("level"), F.lit(part).alias("part"), r["start"].alias("start"), r["n"].alias("n"))
+
+    own = F.filter("lines", lambda x: x["level"] == 0)
+    first = lambda r: F.get("lines", r["start"])["line"]
+    entries = F.concat(
+        F.array(mark(hashed(F.array_join(own["line"], "\n")))),
+        F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: mark(hashed(body(r)))),
+        F.transform(own, lambda x: mark(hashed(x["line"]))),
+        F.transform(F.filter("runs", lambda r: r["level"] > 0), lambda r: ask(hashed(body(r)), 0, r)),
+        F.transform(F.filter("parts", lambda r: r["level"] > 0), lambda r: ask(hashed(first(r)), 1, r)))
+    return p.select("conv_id", "turn", "tie", F.inline(F.array_distinct(entries))).where("h is not null").distinct()
+
+
+def originals(hashes: DataFrame) -> DataFrame:
+    """The quoted rows of ``hashes`` with ``found``, the latest earlier turn that holds the hash."""
+    rows = keep(hashes.withColumn("block", F.floor(F.col("turn") / TURNS))
+                .withColumn("at", F.when(F.col("level").isNull(), F.col("turn"))))
+    near = Window.partitionBy("conv_id", "h", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    # a row per (conversation, hash, block); only hashes in several blocks have anything to carry
+    blocks = rows.groupBy("conv_id", "h", "block").agg(F.max("at").alias("at"))
+    earlier = Window.partitionBy("conv_id", "h").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.withColumn("carried", F.max("at").over(earlier)).where("carried is not null").drop("at")
+    return (rows.withColumn("near", F.max("at").over(near)).where("level is not null")
+            .join(carried, ["conv_id", "h", "block"], "left")
+            .withColumn("found", F.coalesce("near", "carried")).where("found is not null")
+            .select("conv_id", "turn", "tie", "level", "part", "start", "n", "found"))
 
 
 def link_quotes(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
                 text: str = "text") -> DataFrame:
     """(conv_id, turn, role, own_text, quote_levels, n_quotes, reply_to, root, depth, position)."""
     m = keep(messages.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"),
-                             F.col(text).alias("text"), F.xxhash64(role, text).alias("tie")))
-    versions = m.dropDuplicates(["conv_id", "turn", "tie"])
-    lines = keep(lines_of(versions))
-    runs = keep(passages(lines))
-    own = runs.where("level = 0")
-    whole = own.groupBy("conv_id", "turn", "tie").agg(F.array_sort(F.collect_list(F.struct("run", "body"))).alias("x")).select(
-        "conv_id", "turn", "tie", F.trim(F.array_join(F.transform("x", lambda s: s["body"]), "\n")).alias("own_text"))
-    key = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    index = (whole.select("conv_id", "turn", hashed(F.col("own_text")).alias("h"))
-             .unionByName(own.select("conv_id", "turn", hashed(F.col("body")).alias("h")))
-             .unionByName(lines.where("level = 0").select("conv_id", "turn", hashed(F.col("line")).alias("h")))
-             .where(key & F.col("h").isNotNull()).distinct())
-    quoted = runs.where("level > 0").select("conv_id", "turn", "run", "level", hashed(F.col("body")).alias("h"))
-    quoted_lines = lines.where("level > 0").select("conv_id", "turn", "run", "level", hashed(F.col("line")).alias("h"))
-    sought = keep(quoted.withColumn("part", F.lit(0)).unionByName(quoted_lines.withColumn("part", F.lit(1)))
-                  .where(key & F.col("h").isNotNull()).distinct())
-    # as-of: the latest earlier turn with the hash, by one pass over each (conversation, hash)
-    marks = index.select("conv_id", "h", "turn", F.col("turn").alias("at"), F.lit(None).cast("bigint").alias("run"),
-                         F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("part"))
-    asked = sought.select("conv_id", "h", "turn", F.lit(None).cast("bigint").alias("at"), F.col("run").cast("bigint").alias("run"),
-                          F.col("level").cast("int").alias("level"), F.col("part").cast("int").alias("part"))
-    before = Window.partitionBy("conv_id", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    found = (marks.unionByName(asked).withColumn("found", F.max("at").over(before))
-             .where("part is not null and found is not null"))
-    best = found.groupBy("conv_id", "turn").agg(
+                             F.col(text).alias("text"), F.xxhash64(role, text).alias("tie"))
+             .withColumn("row", F.monotonically_increasing_id()))
+    keyed = m.where("conv_id is not null and turn is not null")
+    # per version of a message: its best link and the lines that go, no more than the version has
+    links = keep(originals(passage_hashes(keyed)).groupBy("conv_id", "turn", "tie").agg(
         F.min(F.struct("level", "part", (-F.col("found")).alias("neg"))).alias("b"),
-        F.countDistinct("run").alias("n_linked")).select("conv_id", "turn", (-F.col("b.neg")).alias("reply_to"), "n_linked")
-    nodes = threads(versions.select("conv_id", "turn").where(key).distinct(), best)
-    levels = runs.groupBy("conv_id", "turn", "tie").agg(
-        F.max("level").alias("quote_levels"), F.sum(F.when(F.col("level") > 0, 1).otherwise(0)).alias("n_quotes"))
-    same = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
-    j = m.alias("m").join(whole.alias("w"), same("m", "w", ["conv_id", "turn", "tie"]), "left")
-    j = j.join(levels.alias("l"), same("m", "l", ["conv_id", "turn", "tie"]), "left")
-    j = j.join(nodes.alias("n"), [F.col("m.conv_id") == F.col("n.conv_id"), F.col("m.turn") == F.col("n.turn")], "left")
-    return numbered(j.select(
-        "m.conv_id", "m.turn", "m.role", F.coalesce("w.own_text", F.lit("")).alias("own_text"),
-        F.coalesce("l.quote_levels", F.lit(0)).cast("int").alias("quote_levels"),
-        F.coalesce("l.n_quotes", F.lit(0)).cast("int").alias("n_quotes"), "n.reply_to",
-        F.coalesce("n.root", "m.turn").alias("root"), F.coalesce("n.depth", F.lit(0)).cast("int").alias("depth"), "m.tie"))
+        F.collect_list(F.struct("start", "n")).alias("linked")))
+    best = links.groupBy("conv_id", "turn").agg(F.min("b").alias("b")).select("conv_id", "turn", (-F.col("b.neg")).alias("reply_to"))
+    nodes = threads(keyed.select("conv_id", "turn").distinct(), best)
+    facts = (m.select("conv_id", "turn", "tie", "row").join(nodes, ["conv_id", "turn"], "left")
+             .withColumn("root", F.coalesce("root", "turn")).withColumn("depth", F.coalesce("depth", F.lit(0)).cast("int")))
+    placed = numbered(facts).join(links.select("conv_id", "turn", "tie", "linked"), ["conv_id", "turn", "tie"], "left")
+    out = parsed(m.select("row", "role", "text").join(placed, "row"))
+    gone = F.flatten(F.transform(F.coalesce("linked", F.array()), lambda p: F.sequence(p["start"], p["start"] + p["n"] - 1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone)
+    own = F.array_join(F.transform(stay, lambda i: F.get("lines", i)["raw"]), "\n")
+    return out.select(
+        "conv_id", "turn", "role", F.trim(own).alias("own_text"), F.array_max(F.col("runs")["level"]).cast("int").alias("quote_levels"),
+        F.size(F.filter("runs", lambda r: r["level"] > 0)).alias("n_quotes"), "reply_to", "root", "depth", "position")
 
 
 def threads(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -127,16 +157,16 @@ def numbered(rows: DataFrame) -> DataFrame:
     """``position`` of each row in its conversation in (root, depth, turn) order, numbered over
     ranges, so a long conversation is cut like any other part of the table."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["conv_id", "root", "depth", "turn", "tie"]
+    order = ["conv_id", "root", "depth", "turn", "tie", "row"]
     kept = keep(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
-    w = Window.partitionBy("part", "conv_id").orderBy("root", "depth", "turn", "tie")
+    w = Window.partitionBy("part", "conv_id").orderBy("root", "depth", "turn", "tie", "row")
     local = kept.withColumn("_k", F.row_number().over(w) - 1)
     # one row per range and conversation; a conversation has at most as many as there are ranges
     counts = kept.groupBy("part", "conv_id").count()
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("part").alias("_p"), F.col("conv_id").alias("_c"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
     out = local.join(starts, (F.col("part") == F.col("_p")) & F.col("conv_id").eqNullSafe(F.col("_c")))
-    return out.withColumn("position", (F.col("_k") + F.col("_off")).cast("bigint")).drop("part", "_k", "_p", "_c", "_off", "tie")
+    return out.withColumn("position", (F.col("_k") + F.col("_off")).cast("bigint")).drop("part", "_k", "_p", "_c", "_off")
 
 
 def quoting_thread(messages: DataFrame) -> DataFrame:
