@@ -203,6 +203,36 @@ def test_url_rules_and_aliases(spark):
     assert url_rules.filter_urls(empty, URL_RULES).count() == 0
 
 
+def test_url_links_are_resolved(spark):
+    base = "http://Site.org/a/b.html?q=1#f"
+    targets = {"http://x.net/fr/1": "http://x.net/fr/1", "//x.net/y": "http://x.net/y", "/fr/x": "http://Site.org/fr/x",
+               "c": "http://Site.org/a/c", "./c/../d?z=/../": "http://Site.org/a/d?z=/../", "../../../e": "http://Site.org/e", "..": "http://Site.org/",
+               "?p=2": "http://Site.org/a/b.html?p=2", "#top": None, "mailto:a@b.c": None, "/go?u=http://x.net/": "http://Site.org/go?u=http://x.net/"}
+    rows = [(base, t, w) for t, w in targets.items()] + [("no scheme", "/x", None), ("http://h.org", "x", "http://h.org/x")]
+    got = spark.createDataFrame(rows, "b string, t string, w string").select(
+        "t", "w", url_rules.resolved(F.col("b"), F.col("t")).alias("r")).collect()
+    assert [(r.t, r.r) for r in got] == [(r.t, r.w) for r in got]
+
+
+def test_url_aliases_by_relative_links_as_sql(spark, tmp_path):
+    import duckdb
+    from vocalframe.llm.oracles import ORACLES
+    pages = [(1, "http://a.net/x/1", '<link rel="canonical" href="/fr/x">'), (2, "http://a.net/x/2", '<link rel=canonical href="../es/./y">'),
+             (3, "http://b.org/p", '<link rel="canonical" href="//a.net/fr/z">'), (4, "http://c.org/q", '<meta http-equiv=refresh content="0; url=r">'),
+             (5, "http://c.org/r", '<link rel=canonical href="http://b.org/p">'), (6, "http://d.org/", '<link rel=canonical href="#x">'),
+             (7, "http://e.org/s/t", '<link rel=canonical href="mailto:x@a.net">'), (8, "none", '<link rel=canonical href="/fr/">'),
+             (9, "http://c.org/q", '<link rel=canonical href="http://good.com/">' * 2), (10, None, "x"),
+             (11, "http://f.org/" + "l" * 20000, '<link rel=canonical href="//a.net/fr/z?utm_x=1">' + "text " * 40000)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").selectExpr("*", "'c' host", "'c' r", "'c' src")
+    got = url_rules.filter_urls(df, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "via").collect()
+    df.select("page_id", "url", "html").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLES["op3_url_filters"]).fetchall())
+    assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow",
+                                                  8: "allow", 9: "allow", 10: "allow", 11: "allow"}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7), (None, 5)], "src bigint, dst bigint")
     got = {r.node: r.component for r in connected_components(edges).collect()}

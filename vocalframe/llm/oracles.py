@@ -5,14 +5,25 @@ from __future__ import annotations
 ORACLES: dict[str, str] = {}
 
 ORACLES["op3_url_filters"] = r"""
-WITH RECURSIVE links AS (
-  SELECT url AS src, unnest(list_filter(list_concat(
+WITH RECURSIVE written AS (
+  SELECT url AS src, unnest(list_concat(
     list_transform(regexp_extract_all(coalesce(html,''), '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1),
                    lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
     list_transform(regexp_extract_all(coalesce(html,''), '(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1),
-                   lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1))),
-    lambda u: contains(u, '://'))) AS dst
+                   lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) AS t
   FROM pages WHERE url IS NOT NULL),
+split AS (SELECT DISTINCT src, t, regexp_extract(src, '(?s)^(.*?://[^/?#]*)', 1) AS site, regexp_extract(src, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p,
+                 regexp_extract(t, '^([^?#]*)', 1) AS tp FROM written WHERE t <> ''),
+joined AS (SELECT *, CASE WHEN tp = '' THEN p WHEN starts_with(tp, '/') THEN tp ELSE '/' || substr(regexp_extract(p, '(?s)^(.*/)', 1), 2) || tp END AS j FROM split),
+-- a '..' takes the last segment away, never the empty one before the first slash
+walked AS (SELECT *, CASE WHEN NOT regexp_matches(j, '(?s)/\.\.?(/|$)') THEN j ELSE array_to_string(list_reduce(
+             list_transform(list_concat(string_split(j, '/'), CASE WHEN regexp_matches(j, '(?s)/\.\.?$') THEN [''] ELSE [] END), lambda x: [x]),
+             lambda a, x: CASE x[1] WHEN '.' THEN a WHEN '..' THEN a[1:greatest(len(a) - 1, 1)] ELSE list_concat(a, x) END), '/') END AS k FROM joined),
+links AS (SELECT src, dst FROM (SELECT src, CASE
+    WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+    WHEN NOT contains(src, '://') OR starts_with(t, '#') OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(t, '//') THEN regexp_extract(src, '(?s)^(.*?)://', 1) || ':' || t
+    ELSE site || k || substr(t, length(tp) + 1) END AS dst FROM walked) WHERE dst IS NOT NULL),
 urls AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT dst FROM links) WHERE contains(url, '://')),
 cut AS (SELECT url, substr(url, instr(url, '://') + 3) AS a,
                list_filter(string_split(regexp_extract(url, '(?s)^[^#]*?\?([^#]*)', 1), '&'),

@@ -9,7 +9,9 @@ blocked url blocks, else the default is allow.
 
 Nulls and odd input: a null url, or one without ``://``, has empty host and path,
 no rule, belongs to no alias group and is allowed. Repeated rows get equal rows.
-A null html declares no link. An empty table gives an empty result. Only the
+A null html declares no link. Targets are resolved against the page's url (``//host/x``, ``/x``,
+``x``, ``../x``, ``?x``); a bare fragment, another scheme (``mailto:``) and a relative target on a
+url without ``://`` make no edge; ``<base>`` is not read. An empty table gives an empty result. Only the
 columns named are read, so extra columns may have any name.
 """
 
@@ -61,13 +63,37 @@ def canonical_form(url: Column) -> Column:
 
 
 def declared_links(html: Column) -> Column:
-    """Absolute targets of canonical links and meta redirects in a page."""
+    """Targets of canonical links and meta redirects in a page, as written."""
     html = F.coalesce(html, F.lit(""))
     tags = F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), 1)
     canon = F.transform(tags, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     metas = F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), 1)
     moved = F.transform(metas, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    return F.filter(F.concat(canon, moved), lambda u: u.contains("://"))
+    return F.filter(F.concat(canon, moved), lambda u: u != "")
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments taken out; ``..`` at the top stays at the top."""
+    up = lambda acc: F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)
+    segments = F.concat(F.split(path, "/"), F.when(path.rlike(r"(?s)/\.\.?$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    walked = F.aggregate(segments, F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc)
+                         .when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x))))
+    return F.when(path.rlike(r"(?s)/\.\.?(/|$)"), F.array_join(walked, "/")).otherwise(path)
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The absolute url of a link target on the page ``base``; null where it names no other page."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    authority = F.regexp_extract(base, r"(?s)^.*?://([^/?#]*)", 1)
+    path = split_url(base)[1]
+    own, rest = (F.regexp_extract(target, r"(?s)^([^?#]*)(.*)$", k) for k in (1, 2))
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
+    joined = (F.when(own == "", path).when(own.startswith("/"), own)
+              .otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own)))
+    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when(~base.contains("://") | target.startswith("#") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+            .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+            .otherwise(F.concat(scheme, F.lit("://"), authority, without_dots(joined), rest)))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: str = "page_id",
@@ -86,6 +112,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], page_id
     judged = keep(judged.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)))
     declared = judged.where("url is not null and size(links) > 0").select(
         F.col("url").alias("src"), F.explode("links").alias("dst")).distinct()
+    declared = declared.select("src", resolved(F.col("src"), F.col("dst")).alias("dst")).where("dst is not null")
     urls = keep(judged.select("url").unionByName(declared.select(F.col("dst").alias("url")))
                 .distinct().where(F.col("url").contains("://"))
                 .select("url", F.concat(F.lit("//"), canonical_form(F.col("url"))).alias("form"),
