@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 
 def test_word_distances_are_scored_by_the_batch(monkeypatch):
@@ -37,3 +38,20 @@ def test_long_runs_of_signs_are_normalised(spark):
     rows = [("a" + "- \t." * 50_000 + "B",), ("x (y) <z> [w] Q!",), (None,), ("c ( d",)]
     df = with_normalized(spark.createDataFrame(rows, "t string"), "t", "n")
     assert [r.n for r in df.select("n").collect()] == ["a b", "x q ", None, "c d"]
+
+
+def test_labels_carry_no_text_and_keep_repeated_null_and_empty_rows(spark):
+    from vocalframe.operators import labels as L
+    vocab = spark.createDataFrame([("a", 4), ("b", 5)], "word string, id int")
+    df = spark.createDataFrame([(1, "a x b", "p"), (2, "", "q"), (3, None, "r"), (4, "b", "s"), (4, "a b", "t"), (None, "a", "u"), (None, "b", "v")],
+                               "idx long, t string, other string")
+    start = F.size(F.split("t", " ")) >= 2
+    enc = L.encode(df, "t", vocab, with_start=start)
+    assert enc.columns == ["idx", "t", "other", "ids"]
+    got = {r.other: (r.idx, r.t, r.ids) for r in enc.collect()}
+    assert got == {"p": (1, "a x b", [1, 4, 3, 5]), "q": (2, "", []), "r": (3, None, []), "s": (4, "b", [4, 5, 5]),
+                   "t": (4, "a b", [1, 4, 5, 5]), "u": (None, "a", []), "v": (None, "b", [])}
+    narrow = L.encode(df, "t", vocab, with_start=start, keep=["idx"])
+    assert sorted((r.idx or 0, r.ids) for r in narrow.collect()) == sorted((i or 0, ids) for i, _, ids in got.values())
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(_part" in plan and "struct" not in plan

@@ -7,6 +7,8 @@ encoded with a word vocabulary *table*, which scales as a join.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,21 +30,24 @@ def build_vocabulary(texts: DataFrame, col: str) -> DataFrame:
 
 
 def encode(df: DataFrame, col: str, vocab: DataFrame, key: str = "idx",
-           with_start: F.Column | None = None) -> DataFrame:
-    """L1: words -> ids (unknown -> UNK) in order, optional start token first.
+           with_start: F.Column | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """L1: words -> ids (unknown -> UNK) in order, optional start token first; the columns ``keep``
+    (all of ``df``) and ``ids``.
 
     Words are exploded, joined to the vocabulary (broadcast by AQE when small),
-    and regrouped per utterance -- a group is one utterance, bounded by its length.
+    and regrouped per utterance -- a group is one utterance, bounded by its length. A word travels
+    as one long, its position and below it its id; of the row, only what is kept does.
     """
     ex = df.select(key, F.posexplode(words(F.col(col))).alias("pos", "word"))
-    j = ex.join(vocab, "word", "left").select(key, "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
-    ids = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"))
-    ids = ids.select(key, F.transform("_p", lambda s: s["id"]).alias("ids"))
-    out = df.join(ids, key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
-    if with_start is not None:
-        out = out.withColumn("ids", F.when(with_start, F.concat(F.array(F.lit(START)), "ids"))
-                             .otherwise(F.col("ids")))
-    return out
+    part = F.shiftleft(F.col("pos").cast("bigint"), 32).bitwiseOR(F.coalesce("id", F.lit(UNK)).cast("bigint"))
+    j = ex.join(vocab, "word", "left").select(key, part.alias("_part"))
+    ids = j.groupBy(key).agg(F.array_sort(F.collect_list("_part")).alias("_p"))
+    ids = ids.select(key, F.transform("_p", lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("ids"))
+    keep = list(keep or df.columns)
+    # the start mark is settled before the join, so that it carries no text
+    out = df.select(*keep, (F.lit(False) if with_start is None else with_start).alias("_start")).join(ids, key, "left")
+    full = F.coalesce("ids", F.array().cast("array<int>"))
+    return out.select(*keep, F.when(F.col("_start"), F.concat(F.array(F.lit(START)), full)).otherwise(full).alias("ids"))
 
 
 def pad_batch(df: DataFrame, ids: str = "ids", batch: str = "batch_id") -> DataFrame:

@@ -268,8 +268,8 @@ def _encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     vocab = L.build_vocabulary(with_normalized(table(spark, sf_dir, "benchmark", "item_id", "text"),
                                                "text", "norm"), "norm")
     utt = with_normalized(fixtures.lines(spark, sf_dir).select("idx", "text"), "text", "norm")
-    enc = L.encode(utt, "norm", vocab, with_start=F.size(words(F.col("norm"))) >= 3)
-    pos = number_rows(enc.select("idx", "ids"), ["idx"], name="_p")
+    enc = L.encode(utt, "norm", vocab, with_start=F.size(words(F.col("norm"))) >= 3, keep=["idx"])
+    pos = number_rows(enc, ["idx"], name="_p")
     return pos.withColumn("batch_id", (F.col("_p") / LBATCH).cast("bigint")).drop("_p"), vocab
 
 
