@@ -55,3 +55,17 @@ def test_labels_carry_no_text_and_keep_repeated_null_and_empty_rows(spark):
     assert sorted((r.idx or 0, r.ids) for r in narrow.collect()) == sorted((i or 0, ids) for i, _, ids in got.values())
     plan = narrow._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(_part" in plan and "struct" not in plan
+
+
+def test_numbered_documents_write_only_what_their_records_hold(spark, tmp_path, monkeypatch):
+    import json
+
+    from vocalframe.sources import documents
+    seen, number = [], documents.number_rows
+    monkeypatch.setattr(documents, "number_rows", lambda df, *a: seen.append(df.columns) or number(df, *a))
+    fields = ["prediction", "reference", "normalized_prediction", "normalized_reference"]
+    df = spark.createDataFrame([(7, "u", *"abcd"), (3, "u", *"efgh")], "idx long, unused string, " + ", ".join(f"{c} string" for c in fields))
+    documents.write_predictions(df, str(tmp_path / "d.json"), "indexed")
+    assert seen == [["_given", *fields]]
+    got = [json.loads(x) for x in open(tmp_path / "d.json").read().splitlines() if x]
+    assert [list(r.values()) for r in got] == [[0, *"efgh"], [1, *"abcd"]]

@@ -70,9 +70,11 @@ class DocumentWriter(DataSourceArrowWriter):
             out.write(self.head.encode())
             for i, (_, uri) in enumerate(parts):
                 out.write(self.between.encode() if i else b"")
-                with f.open_input_stream(open_fs(uri)[1], compression=None) as src:
+                fragment = open_fs(uri)[1]
+                with f.open_input_stream(fragment, compression=None) as src:
                     while piece := src.read(COPY_BYTES):
                         out.write(piece)
+                f.delete_file(fragment)         # the rows are never on disk three times
             out.write(self.foot.encode())
         f.move(made, path)
         self.abort(messages)
@@ -138,6 +140,8 @@ def write_predictions(df: DataFrame, path: str, shape: str, order: str = "idx")
     if missing := [c for c in fields.values() if c != "idx" and c not in df.columns]:
         raise ValueError(f"shape {shape!r} needs the columns {missing}")
     if shape == "indexed":
-        df = number_rows(df.withColumnRenamed(order, "_given"), ["_given"], "idx")
+        # numbering writes its rows: only what the records hold
+        held = df.select(F.col(order).alias("_given"), *[c for c in fields.values() if c != "idx"])
+        df = number_rows(held, ["_given"], "idx")
         order = "_given"
     write_document(df, _record(**fields), [order], path, head, foot if shape in ("array", "samples") else "", between)
