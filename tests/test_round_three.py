@@ -69,3 +69,63 @@ def test_numbered_documents_write_only_what_their_records_hold(spark, tmp_path,
     assert seen == [["_given", *fields]]
     got = [json.loads(x) for x in open(tmp_path / "d.json").read().splitlines() if x]
     assert [list(r.values()) for r in got] == [[0, *"efgh"], [1, *"abcd"]]
+
+
+def test_guessed_distances_are_exact_whatever_the_guess(monkeypatch):
+    """The kernel once scored the whole table of every pair; a guess narrows it to a band, never the result."""
+    import numpy as np
+
+    from vocalframe.functions import bitparallel
+    rng = random.Random(7)
+    a = ["".join(rng.choice("abc dé") for _ in range(n)) for n in (0, 1, 63, 64, 65, 128, 300, 700, 1300) for _ in range(6)]
+    b = ["".join(c for c in t if rng.random() > 0.2) for t in a]
+    b[::5] = [t[len(t) // 2:] + t[:len(t) // 2] for t in a[::5]]
+    b[::7] = [t[:9] + "x" * 350 + t[9:] for t in a[::7]]
+
+    def plain(x, y):
+        row = np.arange(len(y) + 1)
+        codes, at = np.array([ord(c) for c in y], dtype=np.int64), np.arange(len(y) + 1)
+        for i, c in enumerate(x):
+            new = np.r_[i + 1, np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))]
+            row = np.minimum.accumulate(new - at) + at
+        return int(row[-1])
+
+    want = [plain(x, y) for x, y in zip(a, b)]
+    for symbol in (bitparallel.SYMBOL, 1.0, 0.0):                   # as measured, all by lanes, all by Python integers
+        monkeypatch.setattr(bitparallel, "SYMBOL", symbol)
+        for guess in (None, [0] * len(a), want, [w + rng.randint(-30, 30) for w in want], [10_000] * len(a)):
+            assert list(bitparallel.levenshtein_many(a, b, guess)) == want
+
+
+def test_lanes_far_from_the_diagonal_are_not_scanned(monkeypatch):
+    """A pair of nearly equal texts once scanned every block at every symbol."""
+    import numpy as np
+
+    from vocalframe.functions import bitparallel
+    rng, ran = random.Random(8), []
+    text = "".join(rng.choice("abcdefgh ") for _ in range(6400))
+    near = [text[:50 * i] + "x" + text[50 * i + 1:] for i in range(1, 60)]
+    monkeypatch.setattr(bitparallel, "SYMBOL", 1.0)
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def bitwise_and(self, x, y, out=None):
+            ran.append(len(x))
+            return np.bitwise_and(x, y, out=out)
+    monkeypatch.setattr(bitparallel, "np", Counted())
+    assert list(bitparallel.levenshtein_many([text] * 59, near, np.ones(59, dtype=int))) == [int(t != text) for t in near]
+    assert sum(ran) < 2 * 59 * 6400 * 100 // 10                     # a hundred blocks a pair, two such calls a step
+
+
+def test_signs_and_blanks_become_one_space_over_all_characters(spark):
+    """The class looks most characters up in a table; single spaces are left where they are."""
+    from vocalframe.functions import text as X
+    chars = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000] + ["\U0001F600", "\U00010400", "\U0001D165", "！"]
+    rows = [(f"a{c}b {c} {c}{c}c  {c}d{c}",) for c in chars] + [(" ",), ("  ",), ("",), (" a b ",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    got = df.select("t", X._post(F.col("t")).alias("n"), F.regexp_replace("t", X.MSP_OR_WS_RUN, " ").alias("w"),
+                    X.needs_nfkc(F.col("t")).alias("u"),
+                    ((F.char_length("t") != F.octet_length("t")) & F.col("t").rlike(X.NFKC_UNSAFE)).alias("v")).collect()
+    assert [(r.t, r.n, r.u) for r in got] == [(r.t, r.w, r.v) for r in got]
