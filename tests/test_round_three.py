@@ -129,3 +129,24 @@ def test_signs_and_blanks_become_one_space_over_all_characters(spark):
                     X.needs_nfkc(F.col("t")).alias("u"),
                     ((F.char_length("t") != F.octet_length("t")) & F.col("t").rlike(X.NFKC_UNSAFE)).alias("v")).collect()
     assert [(r.t, r.n, r.u) for r in got] == [(r.t, r.w, r.v) for r in got]
+
+
+def test_long_pairs_of_several_batches_are_scored_together(monkeypatch):
+    import pandas as pd
+
+    from vocalframe.functions import edits
+    calls = []
+    scored = edits._long_pairs
+    monkeypatch.setattr(edits, "_long_pairs", lambda rs, hs: calls.append(len(rs)) or scored(rs, hs))
+    batches = [(pd.Series(["a b c", None, "one two"]), pd.Series(["a c", None, "one too"])),
+               (pd.Series([None, None]), pd.Series([None, None])),
+               (pd.Series(["x y", "", "the end"]), pd.Series([None, "z", "the end"]))]
+    rows = pd.concat(edits.long_pair_udf.func(iter(batches)), ignore_index=True)
+    assert calls == [8]
+    assert [None if pd.isna(v) else int(v) for v in rows["word_errors"]] == [1, None, 1, None, None, 2, 1, 0]
+    assert [None if pd.isna(v) else int(v) for v in rows["char_errors"]] == [2, None, 1, None, None, 3, 1, 0]
+    # a batch that fills the measure is not held back
+    calls.clear()
+    monkeypatch.setattr(edits, "GATHER_CHARS", edits.ROW_CHARS * 3)
+    got = list(edits.long_pair_udf.func(iter(batches)))
+    assert calls == [3, 5] and pd.concat(got, ignore_index=True).equals(rows)
