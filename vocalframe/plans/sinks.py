@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalframe.functions.text import with_normalized
+from vocalframe.operators.numbering import number_rows
 from vocalframe.plans import oracle_views as V
 from vocalframe.plans.registry import register
-from vocalframe.session import checkpoint_dir, written
+from vocalframe.session import checkpoint_dir
 from vocalframe.sources import documents, fixtures
 
 COLUMNS = ("shape", "idx", "audio_path", "speaker", "prediction", "reference", "prediction_norm", "reference_norm")
 
 
+def _predicted(utt: DataFrame) -> DataFrame:
+    utt = fixtures.with_prediction(utt).withColumn("prediction", F.concat("prediction", F.lit("!")))
+    return with_normalized(utt, "prediction", "pn")
+
+
 @register("prediction_documents", ("S11", "S10", "U5"), V.with_views(V.LINES, V.UTT, V.TOK, V.HYP, "np AS (SELECT *, array_to_string(hw, ' ') AS hs FROM hyp)") + f""",
 p AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS k, speaker, text, norm, hs || '!' AS pred, {V.t1("hs || '!'")} AS pn,
              speaker || '/' || idx || '.wav' AS audio FROM np)
@@ -26,9 +32,9 @@ UNION ALL SELECT 'samples', NULL, NULL, NULL, pred, text, NULL, NULL FROM p
 UNION ALL SELECT 'indexed', k, NULL, NULL, pred, text, pn, norm FROM p""")
 def prediction_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four prediction documents over every line, each one file, and their records."""
-    utt = fixtures.with_prediction(fixtures.lines(spark, sf_dir)).withColumn("prediction", F.concat("prediction", F.lit("!")))
-    utt = written(with_normalized(utt.select("idx", "speaker", "text", "norm", "prediction"), "prediction", "pn"))
-    df = utt.select("idx", "speaker", "prediction", F.col("text").alias("reference"), F.col("text").alias("transcription"),
+    # one table in order and numbered, for all documents; texts are normalised after the shuffle
+    utt = number_rows(fixtures.lines(spark, sf_dir).select("idx", "speaker", "text"), ["idx"], "position", then=_predicted)
+    df = utt.select("idx", "position", "speaker", "prediction", F.col("text").alias("reference"), F.col("text").alias("transcription"),
                     F.concat("speaker", F.lit("/"), F.col("idx"), F.lit(".wav")).alias("audio_path"),
                     *[F.col("pn").alias(c) for c in ("pred_normalized", "normalized_prediction")],
                     *[F.col("norm").alias(c) for c in ("trans_normalized", "normalized_reference")])
@@ -37,7 +43,7 @@ def prediction_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
              "normalized_prediction": "prediction_norm", "transcription": "reference"}
     out = None
     for shape, (*_, fields) in documents.SHAPES.items():
-        documents.write_predictions(df, f"{root}/{shape}.json", shape)
+        documents.write_predictions(df, f"{root}/{shape}.json", shape, position="position")
         got = documents.read_document(spark, f"{root}/{shape}.json", ", ".join(f"{f} {'bigint' if f == 'idx' else 'string'}" for f in fields))
         got = got.withColumnsRenamed(named).withColumn("shape", F.lit(shape))
         got = got.select(*[F.col(c) if c in got.columns else F.lit(None).cast("bigint" if c == "idx" else "string").alias(c) for c in COLUMNS])

@@ -1,12 +1,13 @@
 """One ordered document from a distributed table.
 
-``ordered_document`` is a Spark data source for writing: tasks write their rows, in
-order, as fragments beside the target, and the commit strings the fragments together
-behind each other into one file that replaces the target. No row, task or driver
-holds the document: rows are written as they come, and the commit copies a few MB at
-a time. Fragments of failed attempts are never part of the document, and an aborted
-job leaves the old document as it was. Lines of the document are records, so it can be
-read back in splits (``read_document``).
+``ordered_document`` is a Spark data source for writing: tasks write each run of rows
+whose places follow each other as a fragment beside the target, and the commit strings
+the fragments together, by their first places, into one file that replaces the target.
+Rows that already lie in order and know their place (``number_rows``) are not shuffled
+for it. No row, task or driver holds the document: rows are written as they come, and
+the commit copies a few MB at a time. Fragments of failed attempts are never part of the
+document, and an aborted job leaves the old document as it was. Lines of the document are
+records, so it can be read back in splits (``read_document``).
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -28,9 +29,8 @@ COPY_BYTES = 4 << 20
 
 
 @dataclass
-class Fragment(WriterCommitMessage):
-    part: int
-    uri: str | None
+class Fragments(WriterCommitMessage):
+    made: list[tuple[int, str]]         # first place, uri
 
 
 class DocumentWriter(DataSourceArrowWriter):
@@ -40,30 +40,40 @@ class DocumentWriter(DataSourceArrowWriter):
         self.overwrite = overwrite
         self.folder = f"{self.target}.fragments-{uuid.uuid4().hex}"
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Fragment:
-        part, uri, out = TaskContext.get().partitionId(), None, None
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Fragments:
+        made, out, following = [], None, None
         between = self.between.encode()
         for batch in iterator:
-            texts = [t.encode() for t in batch.column(0).to_pylist() if t is not None]
-            if texts and out is None:
-                uri = f"{self.folder}/{part:06d}-{uuid.uuid4().hex}"
-                f, path = open_fs(uri)
-                f.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                out = f.open_output_stream(path, compression=None)
-            elif texts:
-                out.write(between)
-            if texts:
-                out.write(between.join(texts))
+            values, places = batch.column(0), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(places) != 1) + 1).tolist(), len(places)]
+            for start, stop in zip(cuts, cuts[1:]):
+                if start == stop:
+                    continue
+                if out is not None and places[start] != following:
+                    out.close()
+                    out = None
+                following = places[stop - 1] + 1
+                texts = [t.encode() for t in values.slice(start, stop - start).to_pylist() if t is not None]
+                if texts and out is None:
+                    uri = f"{self.folder}/{uuid.uuid4().hex}"
+                    f, path = open_fs(uri)
+                    f.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    out = f.open_output_stream(path, compression=None)
+                    made.append((int(places[start]), uri))
+                elif texts:
+                    out.write(between)
+                if texts:
+                    out.write(between.join(texts))
         if out is not None:
             out.close()
-        return Fragment(part, uri)
+        return Fragments(made)
 
-    def commit(self, messages: list[Fragment | None]) -> None:
+    def commit(self, messages: list[Fragments | None]) -> None:
         f, path = open_fs(self.target)
         if not self.overwrite and f.get_file_info(path).type.name != "NotFound":
             self.abort(messages)
             raise ValueError(f"document exists: {self.target}")
-        parts = sorted((m.part, m.uri) for m in messages if m and m.uri)
+        parts = sorted(part for m in messages if m for part in m.made)
         f.create_dir(path.rsplit("/", 1)[0], recursive=True)
         made = f"{path}.{uuid.uuid4().hex}.tmp"
         with f.open_output_stream(made, compression=None) as out:
@@ -79,35 +89,42 @@ class DocumentWriter(DataSourceArrowWriter):
         f.move(made, path)
         self.abort(messages)
 
-    def abort(self, messages: list[Fragment | None]) -> None:
+    def abort(self, messages: list[Fragments | None]) -> None:
         f, path = open_fs(self.folder)
         if f.get_file_info(path).type.name != "NotFound":
             f.delete_dir(path)
 
 
 class DocumentSink(DataSource):
-    """``df.write.format("ordered_document").save(path)``: the first column, a string, row by row."""
+    """``df.write.format("ordered_document").save(path)``: the first column, a string, row by row in the
+    order of the second, the row's place; rows whose places follow each other go on in one fragment."""
 
     @classmethod
     def name(cls) -> str:
         return "ordered_document"
 
     def schema(self) -> str:
-        return "value string"
+        return "value string, place bigint"
 
     def writer(self, schema, overwrite: bool) -> DocumentWriter:
         return DocumentWriter(self.options, overwrite)
 
 
 def write_document(df: DataFrame, value: Column, order: Sequence[str], path: str, head: str = "", foot: str = "",
-                   between: str = "\n", overwrite: bool = True) -> None:
-    """Write ``value`` of every row, in ``order`` (null values go), as one file."""
+                   between: str = "\n", overwrite: bool = True, position: str | None = None) -> None:
+    """Write ``value`` of every row, in ``order`` (null values go), as one file. ``position`` names a
+    column of distinct places that the rows already lie by, as ``number_rows`` gives it: it replaces
+    ``order``, and nothing is shuffled."""
     spark = df.sparkSession
     spark.dataSource.register(DocumentSink)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.select(value.cast("string").alias("value"), *[F.col(c).alias(f"_order_{i}") for i, c in enumerate(order)])
-    keys = [f"_order_{i}" for i in range(len(order))]
-    rows = dealt.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("value")
+    text = value.cast("string").alias("value")
+    if position is not None:
+        rows = df.select(text, F.col(position).cast("bigint").alias("place"))
+    else:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = df.select(text, *[F.col(c).alias(f"_order_{i}") for i, c in enumerate(order)])
+        keys = [f"_order_{i}" for i in range(len(order))]
+        rows = dealt.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("value", F.monotonically_increasing_id().alias("place"))
     rows.write.format("ordered_document").options(head=head, foot=foot, between=between).mode("overwrite" if overwrite else "append").save(path)
 
 
@@ -130,18 +147,22 @@ SHAPES = {
 }
 
 
-def write_predictions(df: DataFrame, path: str, shape: str, order: str = "idx") -> None:
+def write_predictions(df: DataFrame, path: str, shape: str, order: str = "idx", position: str | None = None) -> None:
     """Predictions as one document in ``order``: an ``array`` of paths and predictions, JSON ``lines``
     with raw and normalised texts, an object of ``samples``, or ``indexed`` JSON lines, whose ``idx`` is the
-    row's position. A missing column raises; an empty table gives an empty array, object or file."""
+    row's position. ``position`` names the rows' positions where ``number_rows`` has given them, so that several
+    documents of one table need neither a table nor a shuffle each. A missing column raises; an empty table gives
+    an empty array, object or file."""
     if shape not in SHAPES:
         raise ValueError(f"unknown prediction shape {shape!r}; expected one of {sorted(SHAPES)}")
     head, foot, between, fields = SHAPES[shape]
     if missing := [c for c in fields.values() if c != "idx" and c not in df.columns]:
         raise ValueError(f"shape {shape!r} needs the columns {missing}")
-    if shape == "indexed":
+    if shape == "indexed" and position is not None:
+        df = df.withColumn("idx", F.col(position))
+    elif shape == "indexed":
         # numbering writes its rows: only what the records hold
         held = df.select(F.col(order).alias("_given"), *[c for c in fields.values() if c != "idx"])
         df = number_rows(held, ["_given"], "idx")
         order = "_given"
-    write_document(df, _record(**fields), [order], path, head, foot if shape in ("array", "samples") else "", between)
+    write_document(df, _record(**fields), [order], path, head, foot if shape in ("array", "samples") else "", between, position=position)
